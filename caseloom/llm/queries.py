@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, sharding
+from . import bpe, exact_dedup, packing, quality, sharding, url_filter, warc
 from .common import table
 
 
@@ -15,6 +15,22 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.op1(table(spark, sf_dir, "documents"))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_filter(table(spark, sf_dir, "pages"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.op5(table(spark, sf_dir, "pages"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.op7(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.bpe_digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -26,8 +42,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op9_byte_bpe, op10_packing)}
+    return {f.__name__: f for f in (op1_sharding, op2_url_filter, op5_warc, op7_quality_rules, op8_exact_dedup, op9_byte_bpe, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_warc": warc.ORACLE_SQL, "op8_exact_dedup": exact_dedup.ORACLE_SQL}
