@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, near_dedup, packing, quality, sharding, url_filter, warc
+from . import bpe, exact_dedup, near_dedup, packing, quality, sharding, suffix_dedup, url_filter, warc
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.op5(table(spark, sf_dir, "pages"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op7(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,7 +50,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_url_filter, op4_minhash, op5_warc, op7_quality_rules, op8_exact_dedup, op9_byte_bpe, op10_packing)}
+    return {f.__name__: f for f in (op1_sharding, op2_url_filter, op4_minhash, op5_warc, op6_suffix_dedup, op7_quality_rules, op8_exact_dedup, op9_byte_bpe, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
