@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, near_dedup, packing, quality, sharding, suffix_dedup, url_filter, warc
+from . import bpe, exact_dedup, near_dedup, packing, quality, sharding, suffix_dedup, toxicity, url_filter, warc
 from .common import table
 
 
@@ -19,6 +19,10 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(table(spark, sf_dir, "pages"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op3(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"), words=2, percent=80)
 
@@ -50,7 +54,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_url_filter, op4_minhash, op5_warc, op6_suffix_dedup, op7_quality_rules, op8_exact_dedup, op9_byte_bpe, op10_packing)}
+    return {f.__name__: f for f in (op1_sharding, op2_url_filter, op3_toxicity, op4_minhash, op5_warc, op6_suffix_dedup, op7_quality_rules, op8_exact_dedup, op9_byte_bpe, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
