@@ -115,25 +115,50 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(build, "node long, digest binary, shingles array<long>")
 
 
-def _strays(members: DataFrame, least: int) -> DataFrame:
-    """Pairs across components within a bucket, other than with its pivot, by estimate.
-
-    ``members``: key, chunk, node, label, stray, home, sig. Strays are in every chunk of
-    their bucket; ``home`` marks the chunk where they also stand among the others.
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements of each set some other set of the list has too."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    values, back, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    return np.bincount(owner, weights=count[back] > 1, minlength=len(sets)).astype(np.int64)
+
+
+def _strays(members: DataFrame, least: int, percent: int) -> DataFrame:
+    """Likely links across components within a bucket, other than with its pivot.
+
+    ``members``: key, chunk, node, label, stray, home, sig, low (halves of the shingles'
+    hashes). Strays are in every chunk of their bucket; ``home`` marks the chunk where they
+    also stand among the others. A pair must pass, in this order: the estimate; the bound
+    that neither set shares more with the chunk than the threshold needs; the overlap of
+    the halved hashes, which is never below the true one. So only pairs that are links
+    but for a clash of hashes leave the task, one for each stray and component.
     """
 
     def hold(pdf: pd.DataFrame) -> pd.DataFrame:
         sig = np.stack(pdf["sig"].to_numpy()).astype(np.int64).view(np.uint64)
         node, label, home = pdf["node"].to_numpy(), pdf["label"].to_numpy(), pdf["home"].to_numpy()
+        sets = [np.unique(x) for x in pdf["low"]]
+        size, shared = np.array([len(x) for x in pdf["low"]]), shared_counts(sets)
+        # A halved set may hold fewer values; what it lacks could be shared as well.
+        shared += size - np.array([len(x) for x in sets])
         others, pairs = np.flatnonzero(home), []
         odd = np.uint64(0x5555555555555555)
         for i in np.flatnonzero(pdf["stray"].to_numpy()):
             x = sig[others] ^ sig[i]
             equal = HASHES - np.bitwise_count((x | (x >> np.uint64(1))) & odd).sum(axis=1)
-            fits = others[(equal >= least) & (label[others] != label[i])]
-            pairs.append(np.stack([np.minimum(node[fits], node[i]), np.maximum(node[fits], node[i])], axis=1))
-        out = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": out[:, 0], "b": out[:, 1]})
+            both = size[others] + size[i]
+            # common * 100 >= percent * (both - common)
+            enough = (100 + percent) * np.minimum(shared[others], shared[i]) >= percent * both
+            done: set[int] = set()
+            for j in others[(equal >= least) & enough & (label[others] != label[i])].tolist():
+                if label[j] in done:
+                    continue
+                spare = size[i] + size[j] - len(sets[i]) - len(sets[j])
+                common = len(np.intersect1d(sets[i], sets[j], assume_unique=True)) + spare
+                if (100 + percent) * common >= percent * (size[i] + size[j]):
+                    pairs.append((min(node[i], node[j]), max(node[i], node[j])))
+                    if (100 + percent) * (common - spare - 2) >= percent * (size[i] + size[j]):
+                        done.add(label[j])  # a link even if two of the halved hashes clash
+        return pd.DataFrame(pairs, columns=["a", "b"], dtype=np.int64)
 
     return members.groupBy("key", "chunk").applyInPandas(hold, "a long, b long").distinct()
 
@@ -174,16 +199,14 @@ def near_dedup(
         s, t = sigs.selectExpr("node as a", "sig as s"), sigs.selectExpr("node as b", "sig as t")
         return pairs.join(s, "a").join(t, "b").where(f"{EQUAL_SQL} >= {least}").select("a", "b")
 
+    # Full sets of the nodes that share a bucket, built once.
+    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "digest")
+    texts = plain.join(wanted.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+    sets = _sets(texts, words).join(wanted, ["node", "digest"]).dropDuplicates(["node", "digest"])
+    sets = stage(sets.select("node", "shingles"), "near-sets")
+
     def confirmed(pairs: DataFrame) -> DataFrame:
-        """Pairs whose full sets reach the threshold; sets are built for their nodes only."""
-        pairs = stage(pairs, "near-pairs")
-        wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node")
-        wanted = wanted.join(nodes.select("node", "digest"), "node")
-        texts = plain.join(wanted.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-        sets = stage(
-            _sets(texts, words).join(wanted, ["node", "digest"]).dropDuplicates(["node", "digest"]).select("node", "shingles"),
-            "near-sets",
-        )
+        """Pairs whose full sets reach the threshold."""
         a, b = sets.selectExpr("node as a", "shingles as s"), sets.selectExpr("node as b", "shingles as t")
         both = pairs.join(a, "a").join(b, "b").selectExpr("a", "b", "size(s) + size(t) as n", "size(array_intersect(s, t)) as common")
         return stage(both.where(f"100 * common >= {percent} * (n - common)").select("a", "b"), "near-links")
@@ -204,9 +227,10 @@ def near_dedup(
         .withColumn("chunk", F.explode(F.when(F.col("stray"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("own"))))
         .withColumn("home", F.col("chunk") == F.col("own"))
         .join(sigs, "node")
-        .select("key", "chunk", "node", "label", "stray", "home", "sig")
+        .join(sets.selectExpr("node", "transform(shingles, x -> cast(shiftright(x, 32) as int)) as low"), "node")
+        .select("key", "chunk", "node", "label", "stray", "home", "sig", "low")
     )
-    found = stage(_strays(apart, least), "near-strays")
+    found = stage(_strays(apart, least, percent), "near-strays")
     if not found.isEmpty():
         labels = components(links.unionByName(confirmed(found)))
     of = nodes_of.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("component_id"))
