@@ -73,44 +73,34 @@ def personalized_pagerank(
     rounds, no case moves more than its node count times ``tolerance``.
     """
     pairs = undirected(edges)
-    degree = pairs.groupBy("case_id", F.col("a").alias("entity_id")).agg(F.count(F.lit(1)).alias("degree"))
-    base = nodes.join(degree, ["case_id", "entity_id"], "left").join(
-        seeds.select("case_id", "entity_id", F.lit(1.0).alias("seed")), ["case_id", "entity_id"], "left"
+    degree = pairs.groupBy("case_id", "a").agg(F.count(F.lit(1)).alias("degree"))
+    one = seeds.select("case_id", F.col("entity_id").alias("b")).distinct()
+    alone = nodes.select("case_id", F.col("entity_id").alias("a")).join(degree, ["case_id", "a"], "left_anti").join(one, "case_id")
+    links = stage(
+        pairs.join(degree, ["case_id", "a"]).select("case_id", "a", "b", "degree").unionByName(alone.withColumn("degree", F.lit(1).cast("bigint"))), "ppr"
     )
-    base = stage(base.select("case_id", "entity_id", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("seed", F.lit(0.0)).alias("seed")), "ppr")
-    links = stage(pairs.join(base.select("case_id", F.col("entity_id").alias("a"), "degree"), ["case_id", "a"]), "ppr")
-    sizes = base.groupBy("case_id").agg(F.count(F.lit(1)).alias("size"))
+    restart = one.select("case_id", F.col("b").alias("entity_id"), F.lit(1 - alpha).alias("score"))
     size = F.count(F.lit(1)).over(_case())
-    rank = base.select("case_id", "entity_id", (1 / size).alias("score"))
+    rank = nodes.select("case_id", "entity_id", (1 / size).alias("score"))
     done, most = 0, iterations if iterations is not None else max_iterations
     while done < most:
         last = rank
-        for _ in range(min(10, most - done)):
-            sent = (
-                links.join(rank.select("case_id", F.col("entity_id").alias("a"), "score"), ["case_id", "a"])
-                .groupBy("case_id", F.col("b").alias("entity_id"))
-                .agg(F.sum(F.col("score") / F.col("degree")).alias("got"))
+        for i in range(min(10, most - done)):
+            last = rank
+            sent = links.join(rank.select("case_id", F.col("entity_id").alias("a"), "score"), ["case_id", "a"]).select(
+                "case_id", F.col("b").alias("entity_id"), (alpha * F.col("score") / F.col("degree")).alias("score")
             )
-            lost = (
-                rank.join(base.where("degree = 0").select("case_id", "entity_id"), ["case_id", "entity_id"])
-                .groupBy("case_id").agg(F.sum("score").alias("lost"))
-            )
-            last, rank = rank, (
-                base.join(sent, ["case_id", "entity_id"], "left").join(lost, "case_id", "left").select(
-                    "case_id", "entity_id",
-                    (
-                        alpha * F.coalesce("got", F.lit(0.0))
-                        + (1 - alpha + alpha * F.coalesce("lost", F.lit(0.0))) * F.col("seed")
-                    ).alias("score"),
-                )
-            )
-            rank = stage(rank, "ppr")
+            rank = sent.unionByName(restart).groupBy("case_id", "entity_id").agg(F.sum("score").alias("score"))
             done += 1
+            if i % 5 == 4 or done == most:  # each round reads the one before once, so a few can be one plan
+                rank = stage(rank, "ppr")
+            elif i == 8:
+                rank = stage(rank, "ppr")  # the last round is compared with this one
         if iterations is None:
             moved = rank.join(last.withColumnRenamed("score", "was"), ["case_id", "entity_id"]).groupBy("case_id").agg(
-                F.sum(F.abs(F.col("score") - F.col("was"))).alias("moved")
+                F.sum(F.abs(F.col("score") - F.col("was"))).alias("moved"), F.count(F.lit(1)).alias("size")
             )
-            if moved.join(sizes, "case_id").where(F.col("moved") >= F.col("size") * tolerance).isEmpty():
+            if moved.where(F.col("moved") >= F.col("size") * tolerance).isEmpty():
                 break
     return rank
 
