@@ -237,3 +237,24 @@ def near_dedup(
     by_set = signed.select("doc_id", "n_shingles", "digest").join(of, "digest", "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     return by_set.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def oracle_sql(words: int, percent: int) -> str:
+    """The components by brute force over shared shingles, for small tables."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    shingle = " || ' ' || ".join(f"ws[i + {j}]" for j in range(words))
+    return rf"""
+WITH RECURSIVE w AS MATERIALIZED (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{upper}', '{lower}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= {words} THEN list_transform(range(1, len(ws) - {words - 2}), lambda i: {shingle})
+                                      WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM w
+), n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), sn AS MATERIALIZED (SELECT s.*, n.n FROM s JOIN n ON n.doc_id = s.doc_id
+), l AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM sn a JOIN sn b ON a.g = b.g AND a.doc_id <> b.doc_id AND 100 * a.n >= {percent} * b.n AND 100 * b.n >= {percent} * a.n
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))
+), r AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.other)
+SELECT c.doc_id, coalesce(n, 0) AS n_shingles, c.component_id, c.doc_id = c.component_id AS kept
+FROM (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id) c LEFT JOIN n ON n.doc_id = c.doc_id
+"""

@@ -58,4 +58,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc": warc.ORACLE_SQL, "op8_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {
+        "op4_minhash": near_dedup.oracle_sql(words=2, percent=80),
+        "op5_warc": warc.ORACLE_SQL,
+        "op6_suffix_dedup": suffix_dedup.ORACLE_SQL,
+        "op8_exact_dedup": exact_dedup.ORACLE_SQL,
+    }

@@ -86,23 +86,38 @@ class BlockMaxIndex:
         self.cut = np.searchsorted(cell, np.arange(n_terms * blocks + 1))
         self.blocks = blocks
 
+    def _scores(self, terms: np.ndarray, weights: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+        """Similarities of all examples of the chosen blocks, a row for each block."""
+        cell = terms[:, None] * self.blocks + chosen
+        lo = self.cut[cell].ravel()
+        n = self.cut[cell + 1].ravel() - lo
+        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        place = np.repeat(np.tile(np.arange(len(chosen)) * BLOCK, len(terms)), n) + self.doc[at] % BLOCK
+        share = np.repeat(np.repeat(weights, len(chosen)), n) * self.weight[at]
+        return np.bincount(place, share, minlength=len(chosen) * BLOCK).reshape(len(chosen), BLOCK)
+
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
-        """(similarity, example) of the k nearest above 0, nearest first."""
+        """(similarity, example) of the k nearest above 0, nearest first.
+
+        Blocks are looked at in the order of their bounds, a few at a time, until no bound
+        reaches the k-th similarity.
+        """
         bound = weights @ self.most[terms]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or (len(best) == k and bound[b] < -best[-1][0] - 1e-9):
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        best, found = np.zeros(0), np.zeros(0, np.int64)
+        for at in range(0, len(order), 4):
+            chosen = order[at : at + 4]
+            if len(best) == k and bound[chosen[0]] < best[-1] - 1e-9:
                 break
-            score = np.zeros(BLOCK)
-            for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-                lo, hi = self.cut[t * self.blocks + b], self.cut[t * self.blocks + b + 1]
-                if lo < hi:
-                    score[self.doc[lo:hi] - b * BLOCK] += w * self.weight[lo:hi]
-            for i in np.flatnonzero(score > 0).tolist():
-                if b * BLOCK + i != without:
-                    best.append((-round(min(score[i], 1.0), 12), b * BLOCK + i))
-            best = sorted(best)[:k]
-        return [(-s, i) for s, i in best]
+            score = self._scores(terms, weights, chosen)
+            example = (chosen[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            score = np.round(np.minimum(score.ravel(), 1.0), 12)
+            keep = (score > 0) & (example != without)
+            best, found = np.concatenate([best, score[keep]]), np.concatenate([found, example[keep]])
+            top = np.lexsort((found, -best))[:k]
+            best, found = best[top], found[top]
+        return list(zip(best.tolist(), found.tolist(), strict=True))
 
 
 @dataclass
@@ -264,11 +279,17 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         found_in = Vocabulary(own.terms).find
+        known: dict[tuple, list[tuple[float, int]]] = {}
         for batch in batches:
             out, evidence = [], []
             for text in batch.column(at):
-                terms, weights = own.vector(found_in(text.as_py() or ""))
-                near = own.index.nearest(terms, weights, NEIGHBOURS) if len(terms) else []
+                found = found_in(text.as_py() or "")
+                key = tuple(sorted(found.items()))
+                near = known.get(key)
+                if near is None:
+                    near = own.index.nearest(*own.vector(found), NEIGHBOURS) if found else []
+                    if len(key) <= 8 and len(known) < 20_000:  # short ones come again
+                        known[key] = near
                 out.append(own.score(own.vote(near)) if near else own.none)
                 evidence.append([{"doc_id": own.ids[i], "similarity": s, "toxic": int(own.labels[i])} for s, i in near[:3]])
             cols = [*batch.columns, pa.array(out, pa.float64()), pa.array(evidence, kind)]
