@@ -133,3 +133,14 @@ def alpha_sweep(hits: DataFrame, graph_scores: DataFrame, weights: DataFrame) ->
     """Fusion under each (alpha, beta) of a small table of weights."""
     both = fuse(hits, graph_scores).drop("hybrid_score").join(F.broadcast(weights))  # a handful of rows
     return both.withColumn("hybrid_score", F.col("alpha") * F.col("graph_score") + F.col("beta") * F.col("vector_score"))
+
+
+def shortlist(texts: DataFrame, definitions: DataFrame, k: int = 5, encoder=None) -> DataFrame:
+    """case_id, slug, rank: the fault types whose ``slug: definition`` is nearest to a text.
+
+    ``definitions`` (slug, definition) is a dimension of some dozens of rows. A blank text
+    gives no rows; the caller then takes all slugs.
+    """
+    known = definitions.select("slug", F.concat_ws(": ", "slug", "definition").alias("text"))
+    vectors = F.broadcast(term_weights(known, ["slug"], encoder))
+    return text_topk(term_weights(texts, ["case_id"], encoder), vectors, ["case_id"], ["slug"], [], k).select("case_id", "slug", "rank")

@@ -145,3 +145,10 @@ def test_error_rows_stay_and_are_left_out_of_means(spark):
     grid = evaluate.system_grid(cases, systems, report, errors)
     assert {(r.case_id, r.error, r.final_score) for r in grid.collect()} == {("a", None, 1.0), ("b", "boom", None)}
     assert evaluate.leaderboard(grid).first().final_score == 1.0
+
+
+def test_shortlist_by_text(spark):
+    d = spark.createDataFrame([("F1-disk", "disk writes are slow"), ("F2-dns", "lookups fail"), ("F3-cpu", "cpu is busy")], "slug string, definition string")
+    t = spark.createDataFrame([("a", "slow disk, slow writes"), ("b", " "), ("c", "cpu and dns lookups fail")], "case_id string, text string")
+    got = [(r.case_id, r.slug) for r in retrieve.shortlist(t, d, 2).orderBy("case_id", "rank").collect()]
+    assert got == [("a", "F1-disk"), ("c", "F2-dns"), ("c", "F3-cpu")]
