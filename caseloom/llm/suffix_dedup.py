@@ -370,9 +370,10 @@ def whole_characters(text: np.ndarray, gone: np.ndarray) -> str:
     """What is left as text: a character goes if one of its bytes does."""
     if gone.any():
         head = (text & 0xC0) != 0x80
+        head[0] = True
         char = np.cumsum(head) - 1
         gone = np.maximum.reduceat(gone, np.flatnonzero(head))[char]
-    return text[~gone].tobytes().decode()
+    return text[~gone].tobytes().decode(errors="replace")
 
 
 def suffix_dedup(docs: DataFrame, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
