@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 
 #: Bound of the examples that are learned from, for each of the two labels.
 EXAMPLES = 6_000
-#: Bound of the vocabulary, and how far the labels must set a term apart (chi-squared).
-TERMS, LEAST_CHI2, LEAST_SUPPORT = 2_000, 25.0, 3
+#: Bound of the vocabulary, and how far the labels must set a term apart: chi-squared, and
+#: chi-squared over the number of examples (the square of the correlation).
+TERMS, LEAST_CHI2, LEAST_PHI2, LEAST_SUPPORT = 2_000, 25.0, 0.01, 3
 PREFIXES = (4, 5, 6)
 NEIGHBOURS, BLOCK = 15, 64
 #: From this score on a text is called toxic.
@@ -99,22 +100,24 @@ class BlockMaxIndex:
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
         """(similarity, example) of the k nearest above 0, nearest first.
 
-        Blocks are looked at in the order of their bounds, a few at a time, until no bound
-        reaches the k-th similarity.
+        The blocks of the highest bounds are looked at first; they give a similarity that
+        the k-th nearest has at least. Then all other blocks whose bounds reach it.
         """
         bound = weights @ self.most[terms]
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         best, found = np.zeros(0), np.zeros(0, np.int64)
-        for at in range(0, len(order), 4):
-            chosen = order[at : at + 4]
-            if len(best) == k and bound[chosen[0]] < best[-1] - 1e-9:
+        first = 4
+        for chosen in (order[:first], order[first:]):
+            if len(best) == k:
+                chosen = chosen[bound[chosen] >= best[-1] - 1e-9]
+            if not len(chosen):
                 break
-            score = self._scores(terms, weights, chosen)
-            example = (chosen[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            score = np.round(np.minimum(score.ravel(), 1.0), 12)
-            keep = (score > 0) & (example != without)
-            best, found = np.concatenate([best, score[keep]]), np.concatenate([found, example[keep]])
+            score = np.round(np.minimum(self._scores(terms, weights, chosen).ravel(), 1.0), 12)
+            at = np.flatnonzero(score > 0)
+            example = chosen[at // BLOCK] * BLOCK + at % BLOCK
+            at, example = at[example != without], example[example != without]
+            best, found = np.concatenate([best, score[at]]), np.concatenate([found, example])
             top = np.lexsort((found, -best))[:k]
             best, found = best[top], found[top]
         return list(zip(best.tolist(), found.tolist(), strict=True))
@@ -217,7 +220,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     best = (
         counts.where((F.col("term") != "") & (a + b >= LEAST_SUPPORT) & (a + b < n0 + n1))
         .withColumn("chi2", chi2)
-        .where(F.col("chi2") >= LEAST_CHI2)
+        .where(F.col("chi2") >= max(LEAST_CHI2, LEAST_PHI2 * (n0 + n1)))
         .orderBy(F.desc("chi2"), "term")
         .limit(TERMS)
     )
