@@ -35,7 +35,7 @@ LANES = 64 // BITS
 WORDS = HASHES // LANES
 #: Standard errors that an estimate may lie below the threshold.
 MARGIN = 5.0
-#: Members of a bucket that one task holds against its strays.
+#: Members of a bucket, and strays, that one group holds against each other.
 CHUNK = 2048
 
 _RNG = np.random.default_rng(0x5EED)
@@ -125,11 +125,13 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
 def _strays(members: DataFrame, least: int, percent: int) -> DataFrame:
     """Likely links across components within a bucket, other than with its pivot.
 
-    ``members``: key, chunk, node, label, stray, home, sig, low (halves of the shingles'
-    hashes). Strays are in every chunk of their bucket; ``home`` marks the chunk where they
-    also stand among the others. A pair must pass, in this order: the estimate; the bound
-    that neither set shares more with the chunk than the threshold needs; the overlap of
-    the halved hashes, which is never below the true one. So only pairs that are links
+    ``members``: key, part, chunk, node, label, stray, home, sig, low (halves of the
+    shingles' hashes). A bucket's strays are cut into parts and its members into chunks;
+    each part meets each chunk in one group, so no group holds more than about CHUNK of
+    either. ``home`` marks a chunk's own members, ``stray`` the strays of the part. A pair
+    must pass, in this order: the estimate; the bound that neither set shares more with
+    the group than the threshold needs; the overlap of the halved hashes, which is never
+    below the true one. So only pairs that are links
     but for a clash of hashes leave the task, one for each stray and component.
     """
 
@@ -160,7 +162,7 @@ def _strays(members: DataFrame, least: int, percent: int) -> DataFrame:
                         done.add(label[j])  # a link even if two of the halved hashes clash
         return pd.DataFrame(pairs, columns=["a", "b"], dtype=np.int64)
 
-    return members.groupBy("key", "chunk").applyInPandas(hold, "a long, b long").distinct()
+    return members.groupBy("key", "part", "chunk").applyInPandas(hold, "a long, b long").distinct()
 
 
 def near_dedup(
@@ -217,18 +219,35 @@ def near_dedup(
     placed = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     split = placed.where("size > 2").groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
     main = labels.selectExpr("node as pivot", "label as main")
-    apart = (
+    flagged = stage(
         placed.where("size > 2 and node <> pivot")
         .join(split.select("key"), "key")
         .join(main, "pivot", "left")
         .withColumn("stray", F.col("label") != F.coalesce("main", "pivot"))
+        .select("key", "node", "label", "size", "stray"),
+        "near-apart",
+    )
+    strays = flagged.groupBy("key").agg(F.count_if("stray").alias("strays")).where("strays > 0")
+    apart = (
+        flagged.join(strays, "key")
         .withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int"))
-        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-        .withColumn("chunk", F.explode(F.when(F.col("stray"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("own"))))
-        .withColumn("home", F.col("chunk") == F.col("own"))
+        .withColumn("parts", F.ceil(F.col("strays") / CHUNK).cast("int"))
+        .withColumn("chunk_of", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+        .withColumn("part_of", F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts")).cast("int"))
+        .withColumn(
+            "cell",
+            # Every part of the own chunk; for a stray also every other chunk of its part.
+            F.explode(
+                F.expr(
+                    "concat(transform(sequence(0, parts - 1), p -> struct(p as part, chunk_of as chunk, true as home, stray and p = part_of as stray)), "
+                    "if(stray, transform(filter(sequence(0, chunks - 1), c -> c <> chunk_of), c -> struct(part_of as part, c as chunk, false as home, true as stray)), array()))"
+                )
+            ),
+        )
+        .select("key", "node", "label", "cell.*")
         .join(sigs, "node")
         .join(sets.selectExpr("node", "transform(shingles, x -> cast(shiftright(x, 32) as int)) as low"), "node")
-        .select("key", "chunk", "node", "label", "stray", "home", "sig", "low")
+        .select("key", "part", "chunk", "node", "label", "stray", "home", "sig", "low")
     )
     found = stage(_strays(apart, least, percent), "near-strays")
     if not found.isEmpty():

@@ -196,9 +196,10 @@ def test_near_copies(spark, docs, none, k):
     assert near_dedup.near_dedup(none).count() == 0
 
 
-def test_a_large_group_of_near_copies_with_strays(spark, monkeypatch):
+@pytest.mark.parametrize("chunk", [40, 6])
+def test_a_large_group_of_near_copies_with_strays(spark, monkeypatch, chunk):
     """Copies edited so much that many link with some only, and some with none."""
-    monkeypatch.setattr(near_dedup, "CHUNK", 40)
+    monkeypatch.setattr(near_dedup, "CHUNK", chunk)
     base, rows = words(5, 150), []
     for i in range(150):
         r = random.Random(i)
