@@ -333,8 +333,8 @@ def _split(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def _cut(parts: int, with_text: bool):
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["text"] * with_text]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), *[pa.string()] * with_text]
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["text", "input_sha256"] * with_text]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), *[pa.string()] * 2 * with_text]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -360,7 +360,9 @@ def _cut(parts: int, with_text: bool):
                     kept = pack.text[a:b][~off].tobytes()
                     spans = int((np.diff(off.astype(np.int8), prepend=0) == 1).sum())
                     row = (None if doc == NO_ID else doc, b - a, int(off.sum()), spans, hashlib.sha256(kept).hexdigest())
-                    rows.append((*row, whole_characters(pack.text[a:b], off)) if with_text else row)
+                    if with_text:
+                        row = (*row, whole_characters(pack.text[a:b], off), hashlib.sha256(pack.text[a:b].tobytes()).hexdigest())
+                    rows.append(row)
                 yield _batch(names, rows, kinds)
 
     return cut
@@ -380,7 +382,8 @@ def suffix_dedup(docs: DataFrame, with_text: bool = False, id_col: str = "doc_id
     """Remove bytes covered by a 50-byte string that a document of smaller id has too.
 
     One row for each input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if
-    asked for, the text left (whole characters). Matches lie within documents. Null texts
+    asked for, the text left (whole characters) and input_sha256 (of the text before, which
+    tells apart rows that share an id or have none). Matches lie within documents. Null texts
     are empty. Rows that repeat an id aren't smaller than each other, so neither loses
     bytes to the other; a row without an id is larger than all. Texts under 50 bytes stay
     whole. Other columns are ignored; an empty table gives no rows.
@@ -396,7 +399,7 @@ def suffix_dedup(docs: DataFrame, with_text: bool = False, id_col: str = "doc_id
     sent = both.mapInArrow(_send_segments(parts), "part long, pack long, segments binary")
     told = sent.groupBy("part").applyInArrow(_least_documents, "pack long, part long, least binary")
     told = stage(told.groupBy("pack").agg(F.collect_list(F.struct("part", "least")).alias("told")), "suffix-told")
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * with_text
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string, input_sha256 string" * with_text
     return both.join(told, "pack", "left").mapInArrow(_cut(parts, with_text), schema)
 
 
