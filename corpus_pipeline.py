@@ -33,11 +33,17 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the strings that a document of smaller id has too."""
-    cut = suffix_dedup.suffix_dedup(docs, with_text=True).select(F.col("doc_id").alias("__id"), "text").where("__id is not null")
-    cut = cut.dropDuplicates(["__id"])
+    """All documents, without the strings that a document of smaller id has too.
+
+    Rows that share an id, or have none, get their own text back, by its digest.
+    """
+    cut = suffix_dedup.suffix_dedup(docs, with_text=True)
+    cut = cut.select(F.col("doc_id").alias("__id"), F.col("input_sha256").alias("__sha"), F.col("text").alias("__left"))
+    cut = cut.groupBy("__id", "__sha").agg(F.max("__left").alias("__left"))
     names = [c for c in docs.columns if c != "text"]
-    joined = docs.select(*names).join(cut, docs["doc_id"] == F.col("__id"), "left")
+    keyed = docs.select(*names, F.sha2(F.coalesce("text", F.lit("")), 256).alias("__of"))
+    joined = keyed.join(cut, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__of") == F.col("__sha")), "left")
+    joined = joined.withColumn("text", F.col("__left"))
     if "n_chars" in names:
         joined = joined.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return joined.select(*docs.columns)
