@@ -20,7 +20,8 @@ def test_stages_take_effect(spark, tmp_path):
     clean = " ".join(make(100))
     near = clean.split(" ")
     near[50] = "edited"
-    rows += [(200, clean), (201, clean), (202, clean.replace(" ", "\n")), (203, " ".join(near)), (204, " ".join([*make(40), passage, *make(40)])), (205, passage), (206, None), (None, "some text without an id")]
+    rows += [(200, clean), (201, clean), (202, clean.replace(" ", "\n")), (203, " ".join(near)), (204, " ".join([*make(40), passage, *make(40)])), (205, passage), (206, None), (None, "some text without an id"), (None, "another without an id")]
+    rows += [(210, "first text of an id that comes twice"), (210, "second text of an id that comes twice")]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
@@ -36,6 +37,9 @@ def test_stages_take_effect(spark, tmp_path):
     assert ids("exact dedup") == ids("toxicity") - {201, 202}
     assert ids("near dedup") == ids("exact dedup") - {203}
     cut = {x.doc_id: x for x in steps["suffix dedup"].collect()}
+    texts = lambda name, i: sorted(x.text for x in steps[name].collect() if x.doc_id == i)
+    assert texts("suffix dedup", None) == ["another without an id", "some text without an id"]
+    assert texts("suffix dedup", 210) == texts("near dedup", 210) != []
     assert set(cut) == ids("near dedup")
     assert passage in cut[204].text and cut[205].text == "" and cut[205].n_chars == 0
     assert steps["packing"].where("doc_id = 204").count() >= 1
