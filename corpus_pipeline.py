@@ -38,11 +38,13 @@ def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Rows that share an id, or have none, get their own text back, by its digest.
     """
     cut = suffix_dedup.suffix_dedup(docs, with_text=True)
-    cut = cut.select(F.col("doc_id").alias("__id"), F.col("input_sha256").alias("__sha"), F.col("text").alias("__left"))
-    cut = cut.groupBy("__id", "__sha").agg(F.max("__left").alias("__left"))
+    # Plain keys without nulls, so that the join finds the texts where the grouping left them.
+    by_id = [F.coalesce("doc_id", F.lit(0).cast("long")).alias("__id"), F.isnull("doc_id").alias("__none")]
+    cut = cut.select(*by_id, F.unhex("input_sha256").alias("__of"), F.col("text").alias("__left"))
+    cut = cut.groupBy("__id", "__none", "__of").agg(F.max("__left").alias("__left"))
     names = [c for c in docs.columns if c != "text"]
-    keyed = docs.select(*names, F.sha2(F.coalesce("text", F.lit("")), 256).alias("__of"))
-    joined = keyed.join(cut, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__of") == F.col("__sha")), "left")
+    keyed = docs.select(*names, *by_id, F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("__of"))
+    joined = keyed.join(cut, ["__id", "__none", "__of"], "left")
     joined = joined.withColumn("text", F.col("__left"))
     if "n_chars" in names:
         joined = joined.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
