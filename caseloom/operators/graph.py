@@ -145,10 +145,13 @@ def _case():
 
 
 def top_scores(ranked: DataFrame, k: int = 15) -> DataFrame:
-    """The k best of each case (score, then id), divided by the case's best."""
+    """The k best of each case (score, then id), divided by the case's best.
+
+    Scores that differ by the order of their sums only are ties.
+    """
     from pyspark.sql import Window
 
-    order = Window.partitionBy("case_id").orderBy(F.desc("score"), "entity_id")
+    order = Window.partitionBy("case_id").orderBy(F.desc(F.round("score", 12)), "entity_id")
     top = ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     most = F.coalesce(F.nullif(F.max("score").over(_case()), F.lit(0.0)), F.lit(1.0))
     return top.select("case_id", "entity_id", "rank", "score", (F.col("score") / most).alias("graph_score"))

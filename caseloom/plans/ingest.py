@@ -152,12 +152,12 @@ def ts_epoch_units(spark, sf):
 
 
 @query("""SELECT case_id, 'supplier:' || s_suppkey AS entity_id, l_shipdate AS ts, '[metric] ' || s_name || ' quantity=' || CAST(l_quantity AS BIGINT) || '.0' AS text
-FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN (SELECT n_nationkey, 'r' || n_regionkey AS case_id FROM nation) n ON n_nationkey = s_nationkey WHERE l_orderkey % 8 = 0""")
+FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN (SELECT n_nationkey, 'r' || n_regionkey AS case_id FROM nation) n ON n_nationkey = s_nationkey""")
 def obs_metrics(spark, sf):
     """Even orders state the supplier's id, the others its name alone."""
-    raw = view(spark, sf, """SELECT 'r' || n_regionkey AS case_id, l_orderkey * 10 + l_linenumber AS row_ord, CASE WHEN l_orderkey % 16 = 0 THEN 'supplier:' || s_suppkey ELSE '' END AS entity_id,
+    raw = view(spark, sf, """SELECT 'r' || n_regionkey AS case_id, l_orderkey * 10 + l_linenumber AS row_ord, CASE WHEN l_orderkey % 2 = 0 THEN 'supplier:' || s_suppkey ELSE '' END AS entity_id,
       s_name AS entity_name, CASE WHEN l_linenumber % 2 = 0 THEN s_name END AS service, 'quantity' AS metric, l_quantity AS value, l_shipdate
-      FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey WHERE l_orderkey % 8 = 0""").withColumn("time", F.unix_micros("l_shipdate"))
+      FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey""").withColumn("time", F.unix_micros("l_shipdate"))
     return normalize.metrics(raw, _index(spark, sf)).select("case_id", "entity_id", "ts", "text")
 
 

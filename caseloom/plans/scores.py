@@ -15,7 +15,7 @@ FAULT = "fm AS (SELECT p.case_id, system, CASE WHEN lower(fault) = lower(slug) O
 TOKENS = "list_distinct(list_filter(string_split_regex(lower({}), '\\s+'), lambda w: w <> ''))"
 CHAIN = f"""cs AS (SELECT case_id, pos, {TOKENS.format("replace(step, ':', ' ')")} AS t FROM fx_steps), ps AS (SELECT case_id, system, {TOKENS.format('step1')} AS p FROM fx_pred UNION ALL SELECT case_id, system, {TOKENS.format('step2')} FROM fx_pred),
 jb AS (SELECT ps.case_id, system, pos, max(len(list_intersect(p, t))::DOUBLE / len(list_distinct(list_concat(p, t)))) AS best FROM ps JOIN cs ON cs.case_id = ps.case_id GROUP BY ps.case_id, system, pos), co AS (SELECT case_id, system, avg(best) AS chain_overlap FROM jb GROUP BY case_id, system)"""
-SYS_EV = "se AS (SELECT e.*, system FROM fx_evidence e CROSS JOIN fx_systems y WHERE row_ord % (sys + 2) = 0)"
+SYS_EV = "se AS (SELECT e.*, system FROM fx_evidence e CROSS JOIN fx_systems y)"
 HITS = f"""{SYS_EV}, sk AS (SELECT DISTINCT case_id, system FROM se), ch AS (SELECT sk.case_id, sk.system, avg(CASE WHEN signal <> '' AND EXISTS (SELECT 1 FROM se WHERE se.case_id = sk.case_id AND se.system = sk.system AND contains(lower(text), lower(signal))) THEN 1.0::DOUBLE ELSE 0 END) AS checkpoint_rate
 FROM sk JOIN fx_points p ON p.case_id = sk.case_id GROUP BY sk.case_id, sk.system)"""
 FINAL = f"""fp AS (SELECT el.case_id, el.system, entity_localization, fault_identification, round_even(0.5 * chain_overlap + 0.5 * coalesce(checkpoint_rate, 0), 4) AS reasoning_process FROM el JOIN fm ON fm.case_id = el.case_id AND fm.system = el.system JOIN co ON co.case_id = el.case_id AND co.system = el.system LEFT JOIN ch ON ch.case_id = el.case_id AND ch.system = el.system),
@@ -51,7 +51,7 @@ def _chain(spark, sf):
 
 
 def _system_evidence(spark, sf):
-    return view(spark, sf, "SELECT e.*, system FROM fx_evidence e CROSS JOIN fx_systems y WHERE row_ord % (sys + 2) = 0")
+    return view(spark, sf, "SELECT e.*, system FROM fx_evidence e CROSS JOIN fx_systems y")
 
 
 def _hits(spark, sf):

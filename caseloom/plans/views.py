@@ -26,34 +26,34 @@ FROM customer JOIN nation ON n_nationkey = c_nationkey""",
 SELECT DISTINCT 'r' || cn.n_regionkey AS case_id, 'customer:' || c_custkey AS src, 'supplier:' || s_suppkey AS dst
 FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation cn ON cn.n_nationkey = c_nationkey
 JOIN supplier ON s_suppkey = l_suppkey JOIN nation sn ON sn.n_nationkey = s_nationkey
-WHERE l_linenumber = 1 AND o_orderkey % 8 = 0 AND cn.n_regionkey = sn.n_regionkey""",
+WHERE cn.n_regionkey = sn.n_regionkey""",
     "fx_edges": """
 SELECT case_id, src, dst, relation, row_number() OVER (ORDER BY src, dst) AS ord FROM (
 SELECT case_id, src, dst, 'calls' AS relation FROM fx_calls
 UNION ALL
 SELECT 'r' || n_regionkey, 'supplier:' || s_suppkey, 'nation:' || s_nationkey, 'instance_of' FROM supplier JOIN nation ON n_nationkey = s_nationkey
 UNION ALL
-SELECT 'r' || n_regionkey, 'customer:' || c_custkey, 'nation:' || c_nationkey, 'operation_of' FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey % 3 = 0) e""",
+SELECT 'r' || n_regionkey, 'customer:' || c_custkey, 'nation:' || c_nationkey, 'operation_of' FROM customer JOIN nation ON n_nationkey = c_nationkey) e""",
     "fx_seed": """
 SELECT case_id, entity_id, name FROM (
 SELECT 'r' || n_regionkey AS case_id, 'customer:' || c_custkey AS entity_id, c_name AS name,
        row_number() OVER (PARTITION BY n_regionkey ORDER BY count(*) DESC, c_custkey) AS n
 FROM events JOIN customer ON c_custkey = user_id JOIN nation ON n_nationkey = c_nationkey
-WHERE event_type = 'error' AND user_id % 3 = 0 GROUP BY n_regionkey, c_custkey, c_name) s WHERE n = 1""",
+WHERE event_type = 'error' GROUP BY n_regionkey, c_custkey, c_name) s WHERE n = 1""",
     "fx_alerts": """
 SELECT case_id, entity_id AS entry_entity_id, name AS entity_name,
        'High error rate, latency: ' || name || ' errors; timeout of quantity and click. click metric errors;' AS alert_text FROM fx_seed""",
     "fx_obs": """
 SELECT 'r' || n_regionkey AS case_id, 'metrics' AS modality, 0 AS mod_ord, l_orderkey * 10 + l_linenumber AS row_ord, 'supplier:' || s_suppkey AS entity_id,
        l_shipdate AS ts, '[metric] ' || s_name || ' quantity=' || CAST(l_quantity AS BIGINT) AS text, 'metrics' AS source_file
-FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey WHERE l_orderkey % 8 = 0
+FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey
 UNION ALL
 SELECT 'r' || n_regionkey, 'logs', 1, doc_id, 'supplier:' || s_suppkey, CAST(NULL AS TIMESTAMP), '[log:] ' || s_name || ': ' || text, 'logs'
 FROM documents JOIN supplier ON s_suppkey = doc_id % 10 JOIN nation ON n_nationkey = s_nationkey
 UNION ALL
 SELECT 'r' || n_regionkey, 'traces', 2, o_orderkey, 'customer:' || c_custkey, o_orderdate,
        '[span] ' || c_name || '.order duration=' || (o_orderkey % 2000) || '.000ms status=' || CASE o_orderstatus WHEN 'P' THEN 'UNSET' WHEN 'O' THEN 'OK' ELSE 'ERROR' END, 'traces'
-FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE o_orderkey % 8 = 0
+FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey
 UNION ALL
 SELECT 'r' || n_regionkey, 'events', 3, event_id, CASE WHEN user_id % 7 = 0 THEN CAST(NULL AS STRING) WHEN user_id % 11 = 0 THEN '' ELSE 'customer:' || c_custkey END, ts, '[event:' || event_type || '] ' || props, 'events'
 FROM events JOIN customer ON c_custkey = user_id JOIN nation ON n_nationkey = c_nationkey
@@ -76,13 +76,13 @@ FROM fx_obs o CROSS JOIN (SELECT 0 AS q UNION ALL SELECT 1 UNION ALL SELECT 2) q
     "fx_evidence": """
 SELECT case_id, modality, mod_ord, row_ord, entity_id, ts, text, source_file, hybrid_score, row_number() OVER (PARTITION BY case_id ORDER BY hybrid_score DESC, mod_ord, row_ord, entity_id, text) AS rank
 FROM (SELECT o.*, CAST((row_ord * 37 + mod_ord * 11) % 997 AS DOUBLE) / 997 AS hybrid_score FROM fx_obs o
-WHERE row_ord % 5 = 0 AND (entity_id IS NULL OR entity_id NOT LIKE 'host:%' OR mod_ord = 4)) t""",
-    "fx_windows": "SELECT 'r' || n_regionkey AS case_id, event_id AS centre_id, ts AS centre FROM events JOIN customer ON c_custkey = user_id JOIN nation ON n_nationkey = c_nationkey WHERE event_type = 'error' AND event_id % 5 = 0",
+WHERE entity_id IS NULL OR entity_id NOT LIKE 'host:%' OR mod_ord = 4) t""",
+    "fx_windows": "SELECT 'r' || n_regionkey AS case_id, event_id AS centre_id, ts AS centre FROM events JOIN customer ON c_custkey = user_id JOIN nation ON n_nationkey = c_nationkey WHERE event_type = 'error'",
     "fx_systems": "SELECT 'proposed_hybrid' AS system, 0 AS sys UNION ALL SELECT 'graphrag_only', 1 UNION ALL SELECT 'direct_llm', 2",
     "fx_truth": """
 SELECT case_id, entity_id AS target, slug FROM (
 SELECT case_id, dst AS entity_id, row_number() OVER (PARTITION BY case_id ORDER BY count(*) DESC, dst) AS n FROM fx_calls GROUP BY case_id, dst) t
-JOIN (SELECT 'r' || n_regionkey AS case_id, min(o_orderpriority) AS slug FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE o_orderkey % 3 = n_regionkey % 3 GROUP BY n_regionkey) p USING (case_id) WHERE n = 1""",
+JOIN (SELECT 'r' || n_regionkey AS case_id, min(o_orderpriority) AS slug FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY n_regionkey) p USING (case_id) WHERE n = 1""",
     "fx_pred": """
 SELECT s.case_id, system, sys, CASE sys WHEN 0 THEN s.entity_id WHEN 1 THEN g.entity_id ELSE 'host:' || substring(s.entity_id, 10) END AS predicted,
        CASE sys WHEN 0 THEN slug WHEN 1 THEN 'likely ' || lower(slug) ELSE 'other' END AS fault,
