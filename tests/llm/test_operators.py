@@ -144,6 +144,19 @@ def test_toxicity_scores(spark, none):
     assert kept.columns[:5] == docs.columns
 
 
+def test_a_rare_toxic_word_is_a_term_among_many_examples(spark):
+    """In 32 of 2,000 toxic examples only: chi-squared 32, however many examples there are."""
+    known = [i for i in range(6000) if zlib.crc32(str(i).encode()) % 4 != 2][:4000]
+    rare = set(range(1, 64, 2))
+    text = lambda i: f"w{i % 97} rarevile" if i in rare else f"w{i % 97} scumbag" if i % 2 else f"w{i % 97} fine"
+    rows = [(d, text(i), "en", "s", 0) for i, d in enumerate(known)] + [(10**6, "rarevile", "en", "s", 0)]
+    labels = [(d, 1, i % 2) for i, d in enumerate(known)]
+    model = toxicity.fit(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert "rarevile" in model.terms
+    scored = toxicity.score(spark.createDataFrame(rows[-1:], SCHEMA), model).first()
+    assert scored.toxicity_evidence and scored.toxicity_score >= toxicity.THRESHOLD
+
+
 def test_block_max_index_is_exact():
     r = np.random.default_rng(1)
     vectors = []
