@@ -9,9 +9,12 @@ Sorting every suffix of the corpus would move each byte many times. Instead:
 3. Segments, the text that the windows of such an anchor cover, go to the task of that
    anchor, each different one once per pack. A two-stage suffix array of the segments and
    the common prefixes of adjacent suffixes give, for each window, the least document.
+   Anchors with more than ``HOT_SEGMENTS`` segments send single windows instead, each to
+   the task of its own hash: a window needs only its equals.
 4. Packs mark what a smaller document has, cut it, and digest the rest.
 
-No step collects a group: a passage that many documents hold is one segment per pack.
+No step collects a group: a passage that many documents hold is one segment (or window) per
+pack, and an anchor in many contexts is spread over all tasks.
 """
 
 from __future__ import annotations
@@ -36,6 +39,8 @@ GRAM = 20
 SPAN = LENGTH - GRAM + 1
 #: Text of one pack, text of one anchor task, and text of one suffix array (bytes).
 PACK_BYTES, PART_BYTES, ARRAY_BYTES = 2 << 20, 16 << 20, 1 << 20
+#: Segments of an anchor (at most 80 bytes each) that may share a suffix array.
+HOT_SEGMENTS = 8192
 NO_ID = np.iinfo(np.int64).max
 _LOW = np.uint64((1 << 40) - 1)
 
@@ -104,15 +109,17 @@ class Anchors:
         return np.searchsorted(self.pack.ends, self.at, "right")
 
     def once(self) -> tuple[np.ndarray, np.ndarray]:
-        """Different keys, and whether two documents of the pack have them."""
+        """Different keys, and a byte for each: 128 if two documents of the pack have it,
+        plus the least power of 2 that its anchors don't exceed."""
         order = np.lexsort((self.doc(), self.key))
         key, doc = self.key[order], self.doc()[order]
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         last = np.r_[first[1:], len(key)] - 1
-        return key[first], doc[first] != doc[last]
+        power = np.ceil(np.log2(last - first + 1)).astype(np.uint8)
+        return key[first], (doc[first] != doc[last]).astype(np.uint8) << np.uint8(7) | power
 
-    def segments(self, known: np.ndarray) -> "Segments":
-        """Segments of anchors whose key is in ``known`` (sorted)."""
+    def segments(self, known: np.ndarray, hot: np.ndarray, parts: int) -> "Segments":
+        """Segments of anchors whose key is in ``known`` (sorted); single windows where ``hot``."""
         where = np.searchsorted(known, self.key)
         hit = np.flatnonzero(known[np.minimum(where, len(known) - 1)] == self.key) if len(known) else np.zeros(0, np.int64)
         at, key, rank = self.at[hit], self.key[hit], self.rank[hit]
@@ -123,7 +130,26 @@ class Anchors:
             own = self.padded[at[cut, None] + np.arange(SPAN)] == rank[cut, None]
             lo[cut] = at[cut] - (SPAN - 1) + own.argmax(axis=1)
             hi[cut] = at[cut] - own[:, ::-1].argmax(axis=1)
-        return Segments(self.pack, key, lo, hi, np.searchsorted(self.pack.ends, at, "right"))
+        if hot.any():
+            split = hot[np.searchsorted(known, key)]
+            n = (hi - lo + 1)[split]
+            window = np.unique(np.repeat(lo[split], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+            own = _digest(self.pack.text, window, window)
+            own = (((own >> np.uint64(40)) % np.uint64(parts)) << np.uint64(40)) | (own & _LOW)
+            key = np.concatenate([key[~split], own])
+            lo, hi = np.concatenate([lo[~split], window]), np.concatenate([hi[~split], window])
+        return Segments(self.pack, key, lo, hi, np.searchsorted(self.pack.ends, lo, "right"))
+
+
+def _digest(text: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Hash of each segment: its first and its last window cover it."""
+    text = np.concatenate([text, np.zeros(8, np.uint8)])
+    view = np.ndarray((len(text) - 7,), "<u8", buffer=text.data, strides=(1,))
+    both = (hi - lo).astype(np.uint64)
+    for at in (lo, hi):
+        for skip in [*range(0, LENGTH - 8, 8), LENGTH - 8]:
+            both = mix(both * np.uint64(0x9E3779B97F4A7C15) + view[at + skip])
+    return both
 
 
 @dataclass
@@ -137,12 +163,7 @@ class Segments:
     doc: np.ndarray
 
     def __post_init__(self):
-        text = np.concatenate([self.pack.text, np.zeros(8, np.uint8)])
-        view = np.ndarray((len(text) - 7,), "<u8", buffer=text.data, strides=(1,))
-        both = (self.hi - self.lo).astype(np.uint64)
-        for at in (self.lo, self.hi):  # the first and the last window cover the segment
-            for skip in [*range(0, LENGTH - 8, 8), LENGTH - 8]:
-                both = mix(both * np.uint64(0x9E3779B97F4A7C15) + view[at + skip])
+        both = _digest(self.pack.text, self.lo, self.hi)
         owner = self.pack.ids[self.doc]
         order = np.lexsort((owner, both, self.key))
         k, c = self.key[order], both[order]
@@ -218,14 +239,14 @@ def _send_anchors(parts: int):
                 found = _pack(*(b.as_py() for b in blobs)).anchors(parts)
                 if found is None:
                     continue
-                key, twice = found.once()
+                key, seen = found.once()
                 part = (key >> np.uint64(40)).astype(np.int64)
                 cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
                 rows = []
                 for a, b in zip(cuts, [*cuts[1:], len(part)], strict=True):
                     low = np.ascontiguousarray((key[a:b] & _LOW).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
-                    rows.append((int(part[a]), pack.as_py(), low.tobytes(), np.packbits(twice[a:b]).tobytes()))
-                yield _batch(["part", "pack", "keys", "twice"], rows, [pa.int64(), pa.int64(), pa.binary(), pa.binary()])
+                    rows.append((int(part[a]), pack.as_py(), low.tobytes(), seen[a:b].tobytes()))
+                yield _batch(["part", "pack", "keys", "seen"], rows, [pa.int64(), pa.int64(), pa.binary(), pa.binary()])
 
     return send
 
@@ -236,27 +257,32 @@ def _five(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _known_elsewhere(table: pa.Table) -> pa.Table:
-    """For each pack of a part, its keys that occur in two documents anywhere."""
-    part = table.column("part")[0].as_py()
-    keys = [_five(x.as_py()) for x in table.column("keys")]
-    sizes = [len(k) for k in keys]
-    twice = np.concatenate([np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=n) for x, n in zip(table.column("twice"), sizes, strict=True)])
-    key = np.concatenate(keys)
-    order = np.argsort(key, kind="stable")
-    new = np.r_[True, key[order][1:] != key[order][:-1]]
-    first = np.flatnonzero(new)
-    many = (np.diff([*first, len(key)]) > 1) | (np.maximum.reduceat(twice[order], first) > 0)
-    hit = np.empty(len(key), bool)
-    hit[order] = many[np.cumsum(new) - 1]
-    rows, at = [], 0
-    for pack, own, n in zip(table.column("pack").to_pylist(), keys, sizes, strict=True):
-        mine = own[hit[at : at + n]]
-        at += n
-        if len(mine):
-            low = np.ascontiguousarray(mine.view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
-            rows.append((pack, part, low))
-    return pa.Table.from_batches([_batch(["pack", "part", "keys"], rows, [pa.int64(), pa.int64(), pa.binary()])])
+def _known_elsewhere(hot_segments: int):
+    def elsewhere(table: pa.Table) -> pa.Table:
+        """For each pack of a part, its keys that occur in two documents anywhere, and the hot ones."""
+        part = table.column("part")[0].as_py()
+        keys = [_five(x.as_py()) for x in table.column("keys")]
+        sizes = [len(k) for k in keys]
+        seen = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in table.column("seen")])
+        key = np.concatenate(keys)
+        order = np.argsort(key, kind="stable")
+        new = np.r_[True, key[order][1:] != key[order][:-1]]
+        first = np.flatnonzero(new)
+        many = (np.diff([*first, len(key)]) > 1) | (np.maximum.reduceat(seen[order], first) >= 128)
+        most = np.add.reduceat(np.int64(1) << (seen[order] & np.uint8(127)).astype(np.int64), first) > hot_segments
+        group = np.empty(len(key), np.int64)
+        group[order] = np.cumsum(new) - 1
+        hit, hot = many[group], most[group]
+        rows, at = [], 0
+        for pack, own, n in zip(table.column("pack").to_pylist(), keys, sizes, strict=True):
+            mine = hit[at : at + n]
+            if mine.any():
+                low = np.ascontiguousarray(own[mine].view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+                rows.append((pack, part, low, np.packbits(hot[at : at + n][mine]).tobytes()))
+            at += n
+        return pa.Table.from_batches([_batch(["pack", "part", "keys", "hot"], rows, [pa.int64(), pa.int64(), pa.binary(), pa.binary()])])
+
+    return elsewhere
 
 
 def _found(batch: pa.RecordBatch, i: int, parts: int) -> tuple[Pack, Segments | None]:
@@ -266,8 +292,10 @@ def _found(batch: pa.RecordBatch, i: int, parts: int) -> tuple[Pack, Segments |
     anchors = pack.anchors(parts) if known else None
     if anchors is None:
         return pack, None
-    keys = np.sort(np.concatenate([_five(k["keys"]) | np.uint64(k["part"] << 40) for k in known]))
-    return pack, anchors.segments(keys)
+    keys = np.concatenate([_five(k["keys"]) | np.uint64(k["part"] << 40) for k in known])
+    hot = np.concatenate([np.unpackbits(np.frombuffer(k["hot"], np.uint8), count=len(k["keys"]) // 5) for k in known])
+    order = np.argsort(keys)
+    return pack, anchors.segments(keys[order], hot[order] > 0, parts)
 
 
 def _send_segments(parts: int):
@@ -378,7 +406,7 @@ def whole_characters(text: np.ndarray, gone: np.ndarray) -> str:
     return text[~gone].tobytes().decode(errors="replace")
 
 
-def suffix_dedup(docs: DataFrame, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def suffix_dedup(docs: DataFrame, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text", hot_segments: int = HOT_SEGMENTS) -> DataFrame:
     """Remove bytes covered by a 50-byte string that a document of smaller id has too.
 
     One row for each input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if
@@ -392,9 +420,9 @@ def suffix_dedup(docs: DataFrame, with_text: bool = False, id_col: str = "doc_id
     packs = stage(plain.mapInArrow(_pack_rows, "pack long, ids binary, sizes binary, body binary"), "suffix-packs")
     n_bytes = packs.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).first()[0] * 2
     parts = max(32, -(-n_bytes // PART_BYTES))
-    anchors = packs.mapInArrow(_send_anchors(parts), "part long, pack long, keys binary, twice binary")
-    known = anchors.groupBy("part").applyInArrow(_known_elsewhere, "pack long, part long, keys binary")
-    known = stage(known.groupBy("pack").agg(F.collect_list(F.struct("part", "keys")).alias("known")), "suffix-known")
+    anchors = packs.mapInArrow(_send_anchors(parts), "part long, pack long, keys binary, seen binary")
+    known = anchors.groupBy("part").applyInArrow(_known_elsewhere(hot_segments), "pack long, part long, keys binary, hot binary")
+    known = stage(known.groupBy("pack").agg(F.collect_list(F.struct("part", "keys", "hot")).alias("known")), "suffix-known")
     both = packs.join(known, "pack", "left")
     sent = both.mapInArrow(_send_segments(parts), "part long, pack long, segments binary")
     told = sent.groupBy("part").applyInArrow(_least_documents, "pack long, part long, least binary")

@@ -9,6 +9,8 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import tiktoken
 
@@ -285,6 +287,50 @@ def test_repeated_strings_go(docs, none, monkeypatch):
     assert whole[1] == dict(odd_texts())[1] and whole[3] == "" and whole[5] == ""
 
 
+def batch_of(pack):
+    zipped = suffix_dedup._zip(pack.text.tobytes())
+    cols = [pa.array([0]), *(pa.array([x], pa.binary()) for x in (pack.ids.astype("<i8").tobytes(), pack.sizes.astype("<i8").tobytes(), zipped))]
+    return pa.RecordBatch.from_arrays(cols, names=["pack", "ids", "sizes", "body"])
+
+
+def hot_texts():
+    """One passage under 50 bytes in a new context per document, and a few contexts that come again."""
+    gram = "this passage of 48 bytes stands in every text !"
+    own = [f"{' '.join(words(i, 12))} {gram} {' '.join(words(900 + i, 12))}" for i in range(120)]
+    return [(i, t) for i, t in enumerate(own + own[:3] + [own[5][20:] + "z", own[7][:90]])]
+
+
+def test_repeated_strings_go_where_anchors_are_hot(spark):
+    rows = odd_texts() + [(1000 + i, t) for i, t in hot_texts()]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for hot in (0, 4, 50):
+        got = suffix_dedup.suffix_dedup(df, hot_segments=hot).collect()
+        assert Counter(tuple(r)[:5] for r in got) == removed_by_force(rows)
+
+
+def test_a_hot_anchor_is_spread_over_tasks():
+    """One anchor in many contexts: its segments don't all share a task and a suffix array."""
+    data = [t.encode() for _, t in hot_texts()[:120]]
+    pack = suffix_dedup.Pack(np.arange(120), np.array([len(t) for t in data]), np.frombuffer(b"".join(data), np.uint8))
+    anchors = pack.anchors(64)
+    key, n = np.unique(anchors.key, return_counts=True)
+    assert n.max() >= 100
+    table = next(suffix_dedup._send_anchors(64)(iter([batch_of(pack)])))
+    hot = []
+    for part in set(table.column("part").to_pylist()):
+        own = pa.Table.from_batches([table]).filter(pc.equal(table.column("part"), part))
+        for row in suffix_dedup._known_elsewhere(16)(own).to_pylist():
+            keys = suffix_dedup._five(row["keys"]) | np.uint64(part << 40)
+            hot += list(zip(keys.tolist(), np.unpackbits(np.frombuffer(row["hot"], np.uint8), count=len(keys)).tolist(), strict=True))
+    hot.sort()
+    known = np.array([k for k, _ in hot], np.uint64)
+    assert key[n.argmax()] in known
+    got = anchors.segments(known, np.array([h for _, h in hot]) > 0, 64)
+    most = Counter(got.key[got.first].tolist()).most_common(1)[0][1]
+    assert most <= 16
+    assert max(Counter((got.key[got.first] >> np.uint64(40)).tolist()).values()) < len(got.first) / 8
+
+
 def test_two_stage_sort_orders_suffixes():
     r = np.random.default_rng(2)
     for alphabet in (2, 4, 200):
