@@ -6,11 +6,18 @@ adds graph_score, vector_score, hybrid_score and an order (query_ord, rank).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Modalities whose text is searched.
 INDEXED = ("logs", "metrics", "events")
+#: Rows of one block of a vector search.
+QUERY_BLOCK, VECTOR_BLOCK = 256, 2048
 #: What tells two observations apart.
 IDENTITY = ("case_id", "source_file", "entity_id", "ts", "text")
 
@@ -60,24 +67,46 @@ def text_topk(queries: DataFrame, vectors: DataFrame, query_key: list[str], key:
     return dots.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def dot(a: Column, b: Column) -> Column:
-    pair = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
-    return F.aggregate(pair, F.lit(0.0), lambda s, x: s + x)
+def _blocks(df: DataFrame, key: str, vector: str, rows: int) -> DataFrame:
+    """``rows`` vectors at most to a row: their ids in order and their unit vectors, end to end."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                part = part.take(pc.sort_indices(part.column(0)))
+                x = np.array(part.column(1).to_pylist(), float)
+                x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+                ids = pa.array([part.column(0).to_pylist()], pa.list_(part.schema.field(0).type))
+                yield pa.RecordBatch.from_arrays([ids, pa.array([x.tobytes()], pa.binary())], names=[key, vector])
+
+    kind = df.select(key).schema[0].dataType.simpleString()
+    return df.select(key, vector).where(F.col(vector).isNotNull()).mapInArrow(pack, f"{key} array<{kind}>, {vector} binary")
 
 
 def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int = 20) -> DataFrame:
-    """query_id, vec_id, score, rank by exact cosine of dense vectors.
+    """query_id, vec_id, score, rank by exact cosine of dense vectors; null vectors have none.
 
-    ``queries``: a stated, small set with query_id and query; ``vectors``: vec_id and
-    embedding. Each partition of vectors keeps its own k best before the shuffle
-    (window group limit).
+    ``queries``: query_id and query; ``vectors``: vec_id and embedding; both may be large.
+    Blocks of QUERY_BLOCK queries meet blocks of VECTOR_BLOCK vectors, so a pair of blocks
+    holds QUERY_BLOCK * VECTOR_BLOCK scores; each pair keeps its own k best a query.
     """
-    def unit(c: Column) -> Column:
-        return F.sqrt(dot(c, c))
 
-    q = queries.select("query_id", "query", unit(F.col("query")).alias("qn"))
-    v = vectors.select("vec_id", "embedding", unit(F.col("embedding")).alias("vn"))
-    scored = v.join(q).select("query_id", "vec_id", (dot(F.col("query"), F.col("embedding")) / (F.col("qn") * F.col("vn"))).alias("score"))
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                q_ids, q, v_ids, v = (batch.column(c)[i] for c in range(4))
+                q = np.frombuffer(q.as_py()).reshape(len(q_ids), -1)
+                v = np.frombuffer(v.as_py()).reshape(len(v_ids), -1)
+                score = q @ v.T
+                top = np.argsort(-np.round(score, 9), axis=1, kind="stable")[:, :k]
+                cols = [q_ids.values.take(pa.array(np.repeat(np.arange(len(q)), top.shape[1]))), v_ids.values.take(pa.array(top.ravel()))]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(np.take_along_axis(score, top, 1).ravel())], names=["query_id", "vec_id", "score"])
+
+    q, v = _blocks(queries, "query_id", "query", QUERY_BLOCK), _blocks(vectors, "vec_id", "embedding", VECTOR_BLOCK)
+    of = lambda df, c: df.select(c).schema[0].dataType.simpleString()
+    schema = f"query_id {of(queries, 'query_id')}, vec_id {of(vectors, 'vec_id')}, score double"
+    scored = q.crossJoin(v).mapInArrow(best, schema)
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "vec_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -34,15 +34,15 @@ def tf_norms(spark, sf):
 
 @query("""SELECT query_id, vec_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM (
 SELECT q.vec_id AS query_id, v.vec_id, sum(CAST(v.x AS DOUBLE) * q.x) / sqrt(sum(CAST(v.x AS DOUBLE) * v.x)) / sqrt(sum(CAST(q.x AS DOUBLE) * q.x)) AS score
-FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE vec_id >= 10) v
-JOIN (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE vec_id < 10) q ON q.i = v.i GROUP BY q.vec_id, v.vec_id) s) t WHERE rank <= 20""")
+FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) v
+JOIN (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE vec_id % 20 = 0) q ON q.i = v.i GROUP BY q.vec_id, v.vec_id) s) t WHERE rank <= 20""")
 def cosine_topk(spark, sf):
     emb = base(spark, sf, "embeddings")
-    q = emb.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    return retrieve.cosine_topk(q, emb.where("vec_id >= 10")).withColumn("score", F.round("score", 6))
+    q = emb.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return retrieve.cosine_topk(q, emb).withColumn("score", F.round("score", 6))
 
 
-TOPK = f"""WITH w AS MATERIALIZED ({WORDS}), q AS (SELECT doc_id AS query_id, term, weight FROM w WHERE doc_id < 5)
+TOPK = f"""WITH w AS MATERIALIZED ({WORDS}), q AS (SELECT doc_id AS query_id, term, weight FROM w WHERE doc_id % 20 = 0)
 SELECT query_id, doc_id, round(s, 6) AS vector_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, doc_id) AS rank FROM (
 SELECT query_id, w.doc_id, sum(q.weight * w.weight) AS s FROM q JOIN w ON w.term = q.term GROUP BY query_id, w.doc_id) d) r WHERE rank <= 20"""
 
@@ -50,7 +50,7 @@ SELECT query_id, w.doc_id, sum(q.weight * w.weight) AS s FROM q JOIN w ON w.term
 @query(TOPK)
 def text_topk(spark, sf):
     w = retrieve.term_weights(base(spark, sf, "documents"), ["doc_id"])
-    q = w.where("doc_id < 5").withColumnRenamed("doc_id", "query_id")
+    q = w.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
     top = retrieve.text_topk(q, w, ["query_id"], ["doc_id"], [])
     return top.withColumn("vector_score", F.round("vector_score", 6))
 
@@ -134,14 +134,14 @@ def retrieval_stats(spark, sf):
 
 
 @query("""WITH v AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), p AS (SELECT label AS fault, i, avg(x) AS x FROM v GROUP BY label, i)
-SELECT vec_id, fault, rank FROM (SELECT vec_id, fault, row_number() OVER (PARTITION BY vec_id ORDER BY round(sum(v.x * p.x) / sqrt(sum(v.x * v.x)) / sqrt(sum(p.x * p.x)), 9) DESC, fault) AS rank FROM v JOIN p ON p.i = v.i WHERE vec_id < 50 GROUP BY vec_id, fault) t WHERE rank <= 5""")
+SELECT vec_id, fault, rank FROM (SELECT vec_id, fault, row_number() OVER (PARTITION BY vec_id ORDER BY round(sum(v.x * p.x) / sqrt(sum(v.x * v.x)) / sqrt(sum(p.x * p.x)), 9) DESC, fault) AS rank FROM v JOIN p ON p.i = v.i GROUP BY vec_id, fault) t WHERE rank <= 5""")
 def fault_shortlist(spark, sf):
     """The five nearest of the mean vectors of the labels, which stand for fault types."""
     emb = base(spark, sf, "embeddings")
     x = emb.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x"))
     proto = x.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("embedding"))
-    q = emb.where("vec_id < 50").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    top = retrieve.cosine_topk(q, F.broadcast(proto.withColumnRenamed("label", "vec_id")), 5)  # one row a label
+    q = emb.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    top = retrieve.cosine_topk(q, proto.withColumnRenamed("label", "vec_id"), 5)
     return top.select(F.col("query_id").alias("vec_id"), F.col("vec_id").alias("fault"), "rank")
 
 
