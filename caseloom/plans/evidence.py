@@ -60,9 +60,9 @@ def corpus_select(spark, sf):
     return retrieve.corpus(view(spark, sf, "fx_obs")).groupBy("case_id", "modality").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT case_id, modality, row_ord, entity_id, text FROM (SELECT *, row_number() OVER (PARTITION BY case_id, modality ORDER BY row_ord, entity_id NULLS FIRST, text) AS n FROM fx_obs) t WHERE n <= 100")
+@query("SELECT case_id, modality, row_ord, entity_id, text FROM (SELECT *, row_number() OVER (PARTITION BY case_id, modality ORDER BY row_ord, entity_id NULLS FIRST, text) AS n FROM fx_obs) t WHERE n <= 1500")
 def modality_head(spark, sf):
-    return retrieve.head_per_modality(view(spark, sf, "fx_obs"), 100).select("case_id", "modality", "row_ord", "entity_id", "text")
+    return retrieve.head_per_modality(view(spark, sf, "fx_obs"), 1500).select("case_id", "modality", "row_ord", "entity_id", "text")
 
 
 FUSED = "SELECT h.*, coalesce(graph_score, 0) AS g, 0.5 * coalesce(graph_score, 0) + 0.5 * vector_score AS hybrid_score FROM fx_hits h LEFT JOIN fx_scores s ON s.case_id = h.case_id AND s.entity_id = h.entity_id"

@@ -38,3 +38,11 @@ def test_each_system_sees_all_evidence(spark):
 
     n = {r["count"] for r in _system_evidence(spark, SF).groupBy("system").count().collect()}
     assert n == {view(spark, SF, "fx_evidence").count()}
+
+
+def test_the_head_of_a_modality_is_1500_rows(spark):
+    from caseloom.plans.evidence import modality_head
+
+    n = {tuple(r)[:2]: r["count"] for r in view(spark, SF, "fx_obs").groupBy("case_id", "modality").count().collect()}
+    got = {tuple(r)[:2]: r["count"] for r in modality_head(spark, SF).groupBy("case_id", "modality").count().collect()}
+    assert got == {k: min(v, 1500) for k, v in n.items()}
