@@ -89,15 +89,19 @@ def two_stage_sort(text: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarr
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-def shares_prefix(text: np.ndarray, sorted_at: np.ndarray, length: int) -> np.ndarray:
-    """Whether each suffix has a common prefix of ``length`` (8 or more) with the one before."""
-    same = np.zeros(len(sorted_at), bool)
-    if len(sorted_at) > 1:
-        same[1:] = True
-        for skip in [*range(0, length - 8, 8), length - 8]:
-            key = _word(text, sorted_at, skip)
-            same[1:] &= key[1:] == key[:-1]
-    return same
+def common_prefixes(text: np.ndarray, sorted_at: np.ndarray, most: int) -> np.ndarray:
+    """Bytes that each suffix shares with the one before it, ``most`` at most (0 for the first)."""
+    shared = np.zeros(len(sorted_at), np.int64)
+    same = np.arange(1, len(sorted_at))
+    for skip in range(0, most, 8):
+        key = _word(text, sorted_at[same], skip) ^ _word(text, sorted_at[same - 1], skip)
+        shared[same] += 8 - np.searchsorted(_FIRST_BYTE, key, "right")
+        same = same[key == 0]
+    return np.minimum(shared, most)
+
+
+#: The least word whose eighth, seventh, ... first byte isn't zero.
+_FIRST_BYTE = np.uint64(1) << np.arange(0, 64, 8, dtype=np.uint64)
 
 
 def least_owner(segments: list[np.ndarray], starts: np.ndarray, owner: np.ndarray, length: int) -> np.ndarray:
@@ -125,7 +129,7 @@ def least_owner(segments: list[np.ndarray], starts: np.ndarray, owner: np.ndarra
     order = order[valid[order]]
     number = np.cumsum(valid) - 1  # place of a start among all starts
     of = np.repeat(owner, starts)
-    groups = np.flatnonzero(~shares_prefix(text, order, length))
+    groups = np.flatnonzero(common_prefixes(text, order, length) < length)
     by_order = of[number[order]]
     least = np.minimum.reduceat(by_order, groups) if len(groups) else by_order
     out = np.empty(len(of), owner.dtype)
