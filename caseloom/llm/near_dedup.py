@@ -35,8 +35,8 @@ LANES = 64 // BITS
 WORDS = HASHES // LANES
 #: Standard errors that an estimate may lie below the threshold.
 MARGIN = 5.0
-#: Members of a bucket, and strays, that one group holds against each other.
-CHUNK = 2048
+#: Members of a bucket, and strays, that one group holds against each other, and shingles of either.
+CHUNK, CHUNK_SHINGLES = 2048, 1 << 21
 
 _RNG = np.random.default_rng(0x5EED)
 _MUL = (_RNG.integers(0, 1 << 32, HASHES, np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
@@ -86,7 +86,7 @@ EQUAL_SQL = f"({HASHES} - ({_DIFFER}))"
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """One row per document: doc_id, n_shingles, digest of the set, band keys, packed bits."""
+    """``docs`` (doc_id, text, row) with n_shingles, digest of the set, band keys, packed bits for text."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,21 +98,26 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                 keys.append(band_keys(least).view(np.int64) if len(s) else np.zeros(0, np.int64))
                 sig.append(pack_bits(least).view(np.int64) if len(s) else np.zeros(0, np.int64))
             longs = pa.list_(pa.int64())
-            cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, longs), pa.array(sig, longs)]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "digest", "bands", "sig"])
+            cols = [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, longs), pa.array(sig, longs)]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "row", "n_shingles", "digest", "bands", "sig"])
 
-    return docs.mapInArrow(sign, "doc_id long, n_shingles long, digest binary, bands array<long>, sig array<long>")
+    return docs.mapInArrow(sign, "doc_id long, row binary, n_shingles long, digest binary, bands array<long>, sig array<long>")
 
 
-def _sets(docs: DataFrame, words: int) -> DataFrame:
+def _sets(texts: DataFrame, words: int) -> DataFrame:
+    """``texts`` (node, text) -> node and its set."""
+
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = list(shingle_sets(batch.column(1), words))
-            digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            arrays = [batch.column(0), pa.array(digest, pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["node", "digest", "shingles"])
+            lo = 0
+            for hi in range(1, batch.num_rows + 1):  # a few hundred sets at once
+                if hi - lo == 256 or hi == batch.num_rows:
+                    part = batch.slice(lo, hi - lo)
+                    sets = [s.view(np.int64) for s in shingle_sets(part.column(1), words)]
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+                    lo = hi
 
-    return docs.mapInArrow(build, "node long, digest binary, shingles array<long>")
+    return texts.mapInArrow(build, "node long, shingles array<long>")
 
 
 def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -128,7 +133,7 @@ def _strays(members: DataFrame, least: int, percent: int) -> DataFrame:
     ``members``: key, part, chunk, node, label, stray, home, sig, low (halves of the
     shingles' hashes). A bucket's strays are cut into parts and its members into chunks;
     each part meets each chunk in one group, so no group holds more than about CHUNK of
-    either. ``home`` marks a chunk's own members, ``stray`` the strays of the part. A pair
+    either, nor more than about CHUNK_SHINGLES shingles (one longer set apart). ``home`` marks a chunk's own members, ``stray`` the strays of the part. A pair
     must pass, in this order: the estimate; the bound that neither set shares more with
     the group than the threshold needs; the overlap of the halved hashes, which is never
     below the true one. So only pairs that are links
@@ -166,72 +171,87 @@ def _strays(members: DataFrame, least: int, percent: int) -> DataFrame:
 
 
 def near_dedup(
-    docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", with_rows: bool = False
 ) -> DataFrame:
     """Components of documents whose shingle sets have a similarity of ``percent`` or more.
 
     One row for each input row: doc_id, n_shingles, component_id (smallest id reachable),
-    kept (doc_id is that id). Null and empty texts have no shingles and stand alone; texts
-    of fewer words are one shingle. A row without an id is linked to nothing: component_id
-    null, kept true. Rows that repeat an id are one document, linked by any of its sets
-    that is whole in a group, and by the set of the smallest digest otherwise. Other
-    columns are ignored; an empty table gives no rows.
+    kept (doc_id is that id) and, if asked for, row (SHA-256 of the text) and group (a
+    number of the component, null for rows that aren't linked). Null and empty texts have no
+    shingles and stand alone; texts of fewer words are one shingle; very long texts are sets
+    like all others. Each row is a document of its own, also where rows repeat an id. A row
+    without an id is linked to nothing: component_id null, kept true. Other columns are
+    ignored, whatever their names; an empty table gives no rows.
+
+    Nodes are different sets, so equal texts are one node. Tables that are joined on keys
+    which many rows may hold are written first: adaptive execution can split such joins.
     """
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    # Tells a text from others of its id; all of it where the caller asks for rows.
+    row = F.unhex(F.sha2(text, 256)) if with_rows else F.unhex(F.hex(F.xxhash64(text)))
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), row.alias("row"))
     least = least_equal(percent / 100)
     signed = stage(signatures(plain, words), "near-signatures")
-    linked = signed.where("n_shingles > 0 and doc_id is not null")
-    nodes_of = stage(linked.groupBy("digest").agg(F.min("doc_id").alias("node")), "near-nodes")
-    nodes = stage(
-        linked.join(nodes_of, [linked["digest"] == nodes_of["digest"], linked["doc_id"] == nodes_of["node"]])
-        .select("node", linked["digest"], "bands", "sig")
-        .dropDuplicates(["node", "digest"])
-        .groupBy("node")
-        .agg(F.min_by(F.struct("digest", "bands", "sig"), "digest").alias("s"))
-        .select("node", "s.*"),
-        "near-nodes",
+    numbered = (
+        signed.where("n_shingles > 0 and doc_id is not null")
+        .groupBy("digest")
+        .agg(
+            F.min(F.struct("doc_id", "row")).alias("at"),
+            F.first("n_shingles").alias("n"),
+            F.first("bands").alias("bands"),
+            F.first("sig").alias("sig"),
+        )
+        .withColumn("node", F.monotonically_increasing_id())  # fixed once written
     )
+    nodes = stage(numbered, "near-nodes")
     banded = nodes.select("node", F.explode("bands").alias("key"))
     pivots = banded.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = stage(banded.join(pivots, "key"), "near-members")
+    members = stage(banded.join(stage(pivots, "near-pivots"), "key"), "near-members")
 
     sigs = nodes.select("node", "sig")
 
     def likely(pairs: DataFrame) -> DataFrame:
         s, t = sigs.selectExpr("node as a", "sig as s"), sigs.selectExpr("node as b", "sig as t")
-        return pairs.join(s, "a").join(t, "b").where(f"{EQUAL_SQL} >= {least}").select("a", "b")
+        return pairs.join(t, "b").join(s, "a").where(f"{EQUAL_SQL} >= {least}").select("a", "b")
 
-    # Full sets of the nodes that share a bucket, built once.
-    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "digest")
-    texts = plain.join(wanted.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    sets = _sets(texts, words).join(wanted, ["node", "digest"]).dropDuplicates(["node", "digest"])
-    sets = stage(sets.select("node", "shingles"), "near-sets")
+    # Full sets of the nodes that share a bucket, built once, from one row of each.
+    wanted = stage(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "at.*"), "near-wanted")
+    texts = plain.join(wanted, ["doc_id", "row"]).select("node", "text")
+    sets = stage(_sets(texts, words).dropDuplicates(["node"]), "near-sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        """Pairs whose full sets reach the threshold."""
+        """Pairs whose full sets reach the threshold; the set of a (often the same) is joined last."""
         a, b = sets.selectExpr("node as a", "shingles as s"), sets.selectExpr("node as b", "shingles as t")
-        both = pairs.join(a, "a").join(b, "b").selectExpr("a", "b", "size(s) + size(t) as n", "size(array_intersect(s, t)) as common")
+        both = pairs.join(b, "b").join(a, "a").selectExpr("a", "b", "size(s) + size(t) as n", "size(array_intersect(s, t)) as common")
         return stage(both.where(f"100 * common >= {percent} * (n - common)").select("a", "b"), "near-links")
 
     stars = members.where("node <> pivot").selectExpr("pivot as a", "node as b").distinct()
-    links = confirmed(likely(stars))
+    links = confirmed(stage(likely(stars), "near-likely"))
     labels = components(links)
-    placed = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    split = placed.where("size > 2").groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+    placed = stage(
+        members.where("size > 2").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "near-placed"
+    )
+    split = stage(placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key"), "near-split")
     main = labels.selectExpr("node as pivot", "label as main")
     flagged = stage(
-        placed.where("size > 2 and node <> pivot")
-        .join(split.select("key"), "key")
+        placed.where("node <> pivot")
+        .join(split, "key")
         .join(main, "pivot", "left")
         .withColumn("stray", F.col("label") != F.coalesce("main", "pivot"))
-        .select("key", "node", "label", "size", "stray"),
+        .join(nodes.select("node", "n"), "node")
+        .select("key", "node", "label", "n", "stray"),
         "near-apart",
     )
-    strays = flagged.groupBy("key").agg(F.count_if("stray").alias("strays")).where("strays > 0")
+    # Parts and chunks are bounded by members and by the shingles of their sets.
+    in_parts = lambda n, shingles: F.greatest(F.ceil(n / CHUNK), F.ceil(shingles / CHUNK_SHINGLES)).cast("int")
+    strays = (
+        flagged.groupBy("key")
+        .agg(F.count_if("stray").alias("strays"), F.sum(F.when(F.col("stray"), F.col("n"))).alias("of_strays"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("of_all"))
+        .where("strays > 0")
+        .select("key", in_parts(F.col("size"), F.col("of_all")).alias("chunks"), in_parts(F.col("strays"), F.col("of_strays")).alias("parts"))
+    )
     apart = (
-        flagged.join(strays, "key")
-        .withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int"))
-        .withColumn("parts", F.ceil(F.col("strays") / CHUNK).cast("int"))
+        flagged.join(stage(strays, "near-strays"), "key")
         .withColumn("chunk_of", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
         .withColumn("part_of", F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts")).cast("int"))
         .withColumn(
@@ -249,13 +269,19 @@ def near_dedup(
         .join(sets.selectExpr("node", "transform(shingles, x -> cast(shiftright(x, 32) as int)) as low"), "node")
         .select("key", "part", "chunk", "node", "label", "stray", "home", "sig", "low")
     )
-    found = stage(_strays(apart, least, percent), "near-strays")
+    found = stage(_strays(apart, least, percent), "near-found")
     if not found.isEmpty():
         labels = components(links.unionByName(confirmed(found)))
-    of = nodes_of.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("component_id"))
-    by_set = signed.select("doc_id", "n_shingles", "digest").join(of, "digest", "left")
-    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
-    return by_set.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    of = nodes.selectExpr("node", "digest", "at.doc_id as least_id").join(labels, "node", "left").withColumn("group", F.coalesce("label", "node"))
+    of = stage(of.select("digest", "group", "least_id"), "near-groups")
+    ids = of.groupBy("group").agg(F.min("least_id").alias("component_id"))
+    of = stage(of.select("digest", "group").join(stage(ids, "near-ids"), "group"), "near-components")
+    by_set = signed.select("doc_id", "row", "n_shingles", "digest").join(of, "digest", "left")
+    linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    component = F.when(linked, F.col("component_id")).otherwise(F.col("doc_id"))
+    verdict = [component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept")]
+    rows = ["row", F.when(linked, F.col("group")).alias("group")] if with_rows else []
+    return by_set.select("doc_id", "n_shingles", *verdict, *rows)
 
 
 def oracle_sql(words: int, percent: int) -> str:
