@@ -9,11 +9,16 @@ look up their hash; only where a chain has several entries are bytes compared ag
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACES, stage, text_of
 
+#: Bits up to which the directory (2**bits rows of two numbers) is broadcast.
+BROADCAST_DEPTH = 16
+
 
 def directory(keys: DataFrame, capacity: int, max_depth: int) -> DataFrame:
     """``cell`` (the leading ``max_depth`` bits) -> ``bucket``, at most 2**max_depth rows.
@@ -35,23 +40,23 @@ def directory(keys: DataFrame, capacity: int, max_depth: int) -> DataFrame:
     return cells.select("cell", "bucket").join(fits.select("bucket"), "bucket").groupBy("cell").agg(F.min("bucket").alias("bucket"))
 
 
-def build_index(docs: DataFrame, capacity: int, max_depth: int, hot_share: int) -> DataFrame:
+def build_index(texts: DataFrame, probes: DataFrame, hot: DataFrame, capacity: int, depth: int) -> DataFrame:
     """The index: bucket, key, norm, keep_id, group_size, chain (place among texts of that hash), chain_size.
 
-    ``docs`` has id, key and norm. Keys that hold a ``hot_share``-th of the rows or more
-    (``hot_share`` at most) are summed before they are sent to their owner.
+    ``texts`` has id, key and norm, ``probes`` id and key. ``hot`` (a few keys) are summed
+    before they are sent to their owner. Up to ``BROADCAST_DEPTH`` bits the directory is
+    broadcast, beyond that it is joined by shuffle.
     """
-    rows = docs.count()
-    keys = stage(docs.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "exact-keys")
-    hot = keys.where(F.col("n") >= max(2, -(-rows // hot_share))).select("key", F.lit(True).alias("hot"))
-    cells = stage(directory(keys, capacity, max_depth), "exact-directory")
-    marked = docs.join(F.broadcast(hot), "key", "left")  # at most hot_share rows
+    keys = probes.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    cells = stage(directory(keys, capacity, depth), "exact-directory")
+    cells = F.broadcast(cells) if depth <= BROADCAST_DEPTH else cells
+    marked = texts.join(F.broadcast(hot), "key", "left")
     warm = marked.where("hot").groupBy("key", "norm").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     cold = marked.where("hot is null").select("key", "norm", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     owned = (
         cold.unionByName(warm)
-        .withColumn("cell", F.shiftrightunsigned("key", 64 - max_depth))
-        .join(F.broadcast(cells), "cell")  # at most 2**max_depth rows
+        .withColumn("cell", F.shiftrightunsigned("key", 64 - depth))
+        .join(cells, "cell")
         .drop("cell")
         .repartition("bucket")
         .groupBy("bucket", "key", "norm")
@@ -65,27 +70,46 @@ def build_index(docs: DataFrame, capacity: int, max_depth: int, hot_share: int)
     return stage(chained, "exact-index")
 
 
+def normalised(text_col: str = "text") -> Column:
+    """The text with each run of white space as one space; null as the empty text."""
+    return F.regexp_replace(text_of(text_col), SPACES, " ")
+
+
 def exact_dedup(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     capacity: int = 2_000,
-    max_depth: int = 14,
+    depth: int | None = None,
     hot_share: int = 512,
 ) -> DataFrame:
     """Groups of documents whose texts are equal but for runs of white space.
 
     One row for each input row: doc_id, keep_id, group_size, kept, text_sha256 (of the
     normalised text). Null texts are empty ones. Null ids sort after all others; a group
-    of null ids only keeps them all. Rows that repeat an id and its text have one verdict.
-    Other columns are ignored; an empty table gives no rows.
+    of null ids only keeps them all. Rows that repeat an id and its text have one verdict,
+    so ties are told apart by nothing. Very long texts are keys like all others. Other
+    columns are ignored, whatever their names; an empty table gives no rows.
+
+    ``depth`` bounds the directory's doublings; by default it follows the number of rows,
+    so that buckets hold ``capacity`` different texts at most. Texts that make up a
+    ``hot_share``-th of the rows or more (``hot_share`` keys at most) are broadcast.
     """
-    norm = F.regexp_replace(text_of(text_col), SPACES, " ")
-    texts = docs.select(F.col(id_col).alias("id"), norm.alias("norm")).withColumn("key", F.xxhash64("norm"))
-    index = build_index(texts, capacity, max_depth, hot_share)
+    plain = docs.select(F.col(id_col).alias("id"), normalised(text_col).alias("norm"))
+    texts = plain.withColumn("key", F.xxhash64("norm"))
+    probes = stage(texts.select("id", "key", F.sha2("norm", 256).alias("text_sha256")), "exact-probes")
+    rows = probes.count()
+    if depth is None:
+        depth = max(1, math.ceil(math.log2(max(1, rows / capacity))) + 3)
+    hot = probes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(2, -(-rows // hot_share)))
+    hot = stage(hot.select("key", F.lit(True).alias("hot")), "exact-hot")
+    index = build_index(texts, probes, hot, capacity, depth)
     entry = ["keep_id", "group_size"]
-    probes = texts.select("id", "key", F.sha2("norm", 256).alias("text_sha256"))
-    found = probes.join(index.where("chain_size = 1").select("key", *entry), "key").drop("key")
+    single = index.where("chain_size = 1").select("key", *entry)
+    marked = probes.join(F.broadcast(hot), "key", "left")
+    found = marked.where("hot is null").drop("hot").join(single.join(F.broadcast(hot.select("key")), "key", "left_anti"), "key")
+    frequent = single.join(F.broadcast(hot.select("key")), "key")  # hot_share rows at most
+    found = found.unionByName(marked.where("hot").drop("hot").join(F.broadcast(frequent), "key")).drop("key")
     if not index.where("chain_size > 1").isEmpty():  # texts that share a 64-bit hash
         chains = index.where("chain_size > 1").select("key", "norm", *entry)
         again = texts.join(chains, ["key", "norm"]).withColumn("text_sha256", F.sha2("norm", 256))
