@@ -9,6 +9,8 @@ by similarity give a raw score; isotonic regression on left-out examples calibra
 
 from __future__ import annotations
 
+import functools
+import itertools
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -19,10 +21,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stage
+
 #: Bound of the examples that are learned from, for each of the two labels.
 EXAMPLES = 6_000
-#: Bound of the vocabulary, and how far the labels must set a term apart (chi-squared).
-TERMS, LEAST_CHI2, LEAST_SUPPORT = 2_000, 25.0, 3
+#: How far the labels must set a term apart (chi-squared), and in how many examples it must stand
+#: for that to mean anything. All such terms are kept.
+LEAST_CHI2, LEAST_SUPPORT = 25.0, 3
 PREFIXES = (4, 5, 6)
 NEIGHBOURS, BLOCK = 15, 64
 #: From this score on a text is called toxic.
@@ -73,7 +78,7 @@ class BlockMaxIndex:
     """
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
-        self.size = len(vectors)
+        self.size, self.vectors = len(vectors), vectors
         blocks = -(-max(self.size, 1) // BLOCK)
         term = np.concatenate([v[0] for v in vectors]) if vectors else np.zeros(0, np.int64)
         weight = np.concatenate([v[1] for v in vectors]) if vectors else np.zeros(0)
@@ -86,45 +91,81 @@ class BlockMaxIndex:
         self.cut = np.searchsorted(cell, np.arange(n_terms * blocks + 1))
         self.blocks = blocks
 
-    def _scores(self, terms: np.ndarray, weights: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-        """Similarities of all examples of the chosen blocks, a row for each block."""
-        cell = terms[:, None] * self.blocks + chosen
-        lo = self.cut[cell].ravel()
-        n = self.cut[cell + 1].ravel() - lo
-        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        place = np.repeat(np.tile(np.arange(len(chosen)) * BLOCK, len(terms)), n) + self.doc[at] % BLOCK
-        share = np.repeat(np.repeat(weights, len(chosen)), n) * self.weight[at]
-        return np.bincount(place, share, minlength=len(chosen) * BLOCK).reshape(len(chosen), BLOCK)
+    @functools.cached_property
+    def _rows(self) -> dict[int, np.ndarray]:
+        """Postings of terms that an eighth of the examples hold, as a weight for each example."""
+        rows, ends = {}, self.cut[:: self.blocks].tolist()
+        for t, (a, b) in enumerate(itertools.pairwise(ends)):
+            if 8 * (b - a) >= self.size:
+                rows[t] = np.zeros(self.blocks * BLOCK)
+                rows[t][self.doc[a:b]] = self.weight[a:b]
+        return rows
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "_rows"}
+
+    def _scores(self, terms: np.ndarray, weights: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        """Similarities of the examples of the blocks lo to hi - 1."""
+        rows, out = self._rows, np.zeros((hi - lo) * BLOCK)
+        begin, end = self.cut[terms * self.blocks + lo].tolist(), self.cut[terms * self.blocks + hi].tolist()
+        doc, share = [], []
+        for t, w, a, b in zip(terms.tolist(), weights.tolist(), begin, end, strict=True):
+            if t in rows:
+                out += w * rows[t][lo * BLOCK : hi * BLOCK]
+            elif b > a:
+                doc.append(self.doc[a:b])
+                share.append(w * self.weight[a:b])
+        if doc:
+            out += np.bincount(np.concatenate(doc) - lo * BLOCK, np.concatenate(share), minlength=len(out))
+        return np.minimum(out, 1.0)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
         """(similarity, example) of the k nearest above 0, nearest first.
 
         The blocks of the highest bounds are looked at first; they give a similarity that
-        the k-th nearest has at least. Then all other blocks whose bounds reach it.
+        the k-th nearest has at least. Then all blocks whose bounds reach it, in runs of
+        neighbouring blocks.
         """
         bound = weights @ self.most[terms]
         order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        best, found = np.zeros(0), np.zeros(0, np.int64)
-        first = 4
-        for chosen in (order[:first], order[first:]):
-            if len(best) == k:
-                chosen = chosen[bound[chosen] >= best[-1] - 1e-9]
-            if not len(chosen):
-                break
-            score = np.round(np.minimum(self._scores(terms, weights, chosen).ravel(), 1.0), 12)
-            at = np.flatnonzero(score > 0)
-            example = chosen[at // BLOCK] * BLOCK + at % BLOCK
-            at, example = at[example != without], example[example != without]
-            best, found = np.concatenate([best, score[at]]), np.concatenate([found, example])
-            top = np.lexsort((found, -best))[:k]
-            best, found = best[top], found[top]
-        return list(zip(best.tolist(), found.tolist(), strict=True))
+        least = 1e-12
+        for lo in order[:2].tolist():
+            score = self._scores(terms, weights, lo, lo + 1)
+            if without // BLOCK != lo and len(score) >= k:
+                least = max(least, np.partition(score, -k)[-k] - 1e-9)
+        best, found = [], []
+        for lo, hi in _runs(np.flatnonzero(bound >= least)):
+            score = self._scores(terms, weights, lo, hi)
+            at = np.flatnonzero(score >= least)
+            best.append(score[at])
+            found.append(at + lo * BLOCK)
+        if not best:
+            return []
+        score, example = np.round(np.concatenate(best), 12), np.concatenate(found)
+        score[example == without] = 0
+        if len(score) > k:
+            near = np.flatnonzero(score >= np.partition(score, -k)[-k])
+            score, example = score[near], example[near]
+        near = np.lexsort((example, -score))[:k]
+        near = near[score[near] > 0]
+        return list(zip(score[near].tolist(), example[near].tolist(), strict=True))
+
+
+def _runs(blocks: np.ndarray, most: int = 4) -> list[tuple[int, int]]:
+    """Runs that cover the blocks (ascending); smaller gaps are bridged until ``most`` runs are left."""
+    if not len(blocks):
+        return []
+    gap = np.diff(blocks)
+    cuts = np.flatnonzero(gap > 1)
+    if len(cuts) >= most:
+        cuts = np.sort(cuts[np.argsort(-gap[cuts], kind="stable")[: most - 1]])
+    first, last = np.r_[0, cuts + 1], np.r_[cuts, len(blocks) - 1]
+    return list(zip(blocks[first].tolist(), (blocks[last] + 1).tolist(), strict=True))
 
 
 @dataclass
 class Model:
-    """Everything that scoring needs; its size is bounded by EXAMPLES and TERMS."""
+    """Everything that scoring needs; its size is bounded by the texts of 2 * EXAMPLES examples."""
 
     terms: list[str]
     idf: np.ndarray
@@ -173,12 +214,8 @@ def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """A model from at most EXAMPLES labelled texts of each label, none of them held out.
-
-    Ids with null or contradicting labels are left out. Document frequencies cover all of
-    ``docs``. With no labels, or one kind only, every score is that label's (else 0).
-    """
+def _examples(plain: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> tuple[DataFrame, dict[int, int]]:
+    """doc_id, text and label of the chosen rows, written; how many ids have each label."""
     known = (
         labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).alias("label"))
         .where(~held_out(F.col("doc_id")) & F.col("label").isin(0, 1))
@@ -187,11 +224,45 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         .where("label = other")
         .select("doc_id", F.col("label").cast("int").alias("label"))
     )
-    totals = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
+    totals = {0: 0, 1: 0} | {r[0]: r[1] for r in known.groupBy("label").count().collect()}
     by_hash = lambda y: known.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(EXAMPLES)
-    sample = by_hash(0).unionByName(by_hash(1))
+    sample = by_hash(0).unionByName(by_hash(1))  # 2 * EXAMPLES ids at most
+    rows = plain.join(F.broadcast(sample), "doc_id").withColumn("own", F.xxhash64("text")).dropDuplicates(["doc_id", "own"])
+    # Ids that several texts share may bring more rows than ids.
+    first = lambda y: rows.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id", "own").limit(EXAMPLES)
+    return stage(first(0).unionByName(first(1)).select("doc_id", "text", "label"), "toxicity-examples"), totals
+
+
+def _raw_votes(model: Model, examples: DataFrame) -> np.ndarray:
+    """Each example's vote by its nearest others, found in tasks."""
+    spark = examples.sparkSession
+    shared = spark.sparkContext.broadcast(model)
+
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            at = batch.column(0).to_pylist()
+            raw = [own.vote(own.index.nearest(*own.index.vectors[i], NEIGHBOURS, without=i)) for i in at]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.float64())], names=["at", "raw"])
+
+    n = model.index.size
+    out = np.zeros(n)
+    for r in spark.range(0, n, 1, max(1, -(-n // 500))).withColumnRenamed("id", "at").mapInArrow(vote, "at long, raw double").collect():
+        out[r.at] = r.raw  # 2 * EXAMPLES rows at most
+    shared.destroy()
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    """A model from at most EXAMPLES labelled texts of each label, none of them held out.
+
+    Ids with null or contradicting labels are left out; rows that repeat an id are examples
+    each, equal ones once. Document frequencies cover all of ``docs``. Where examples of one
+    label, or terms that set the labels apart, are missing, nothing tells texts apart and
+    every score is 0.
+    """
     plain = _plain(docs, id_col, text_col)
-    chosen = plain.join(F.broadcast(sample), "doc_id")  # 2 * EXAMPLES rows at most
+    chosen, totals = _examples(plain, labels, id_col, label_col)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = [0, 0]
@@ -204,26 +275,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["term", "clean", "toxic"])
 
     counts = chosen.mapInArrow(count, "term string, clean long, toxic long")
-    counts = counts.groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts = stage(counts.groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "toxicity-terms")
     size = counts.where("term = ''").first()
     n0, n1 = (size.clean, size.toxic) if size else (0, 0)
-    empty = BlockMaxIndex([], 1)
+    nothing = Model([], np.zeros(0), BlockMaxIndex([], 1), [], np.zeros(0), np.zeros(0), 0.0, 0.0)
     if not n0 or not n1:
-        only = 1.0 if n1 else 0.0
-        return Model([], np.zeros(0), empty, [], np.zeros(0), np.zeros(0), only, only)
+        return nothing
     a, b = F.col("toxic"), F.col("clean")
     chi2 = (
         (n0 + n1) * F.pow(a * (n0 - b) - b * (n1 - a), F.lit(2))
         / ((a + b).cast("double") * (n0 + n1 - a - b) * float(n0) * float(n1))
     )
-    best = (
-        counts.where((F.col("term") != "") & (a + b >= LEAST_SUPPORT) & (a + b < n0 + n1))
-        .withColumn("chi2", chi2)
-        .where(F.col("chi2") >= LEAST_CHI2)
-        .orderBy(F.desc("chi2"), "term")
-        .limit(TERMS)
-    )
-    terms = sorted(r.term for r in best.select("term").collect())  # TERMS rows at most
+    apart = counts.where((F.col("term") != "") & (a + b >= LEAST_SUPPORT) & (a + b < n0 + n1)).where(chi2 >= LEAST_CHI2)
+    terms = sorted(r.term for r in apart.select("term").collect())  # of 2 * EXAMPLES texts
+    if not terms:
+        return nothing
     found_in = Vocabulary(terms).find
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,11 +313,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             cols = [batch.column(0), batch.column(2), pa.array([list(f) for f in found], pa.list_(pa.int32())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "label", "terms", "n"])
 
-    examples = chosen.mapInArrow(vectorise, "doc_id long, label int, terms array<int>, n array<int>").collect()
+    examples = chosen.mapInArrow(vectorise, "doc_id long, label int, terms array<int>, n array<int>").collect()  # 2 * EXAMPLES rows at most
     rows = [(r.doc_id, r.label, *unit(dict(zip(r.terms, r.n, strict=True)), idf)) for r in examples]
     stands_for = {y: totals[y] / max(1, sum(r[1] == y for r in rows)) for y in (0, 1)}
     # Examples that share their strongest term are neighbours, which tightens block maxima.
-    used = sorted((r for r in rows if len(r[2])), key=lambda r: (int(r[2][np.argmax(r[3])]), r[0], r[1]))
+    used = sorted((r for r in rows if len(r[2])), key=lambda r: (int(r[2][np.argmax(r[3])]), r[0], r[1], r[2].tolist(), r[3].tolist()))
     weight = np.array([stands_for[r[1]] for r in used])
     prior = totals[1] / (totals[0] + totals[1])
     none = [0.0, 0.0]
@@ -259,21 +325,24 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         if not len(r[2]):
             none[r[1]] += stands_for[r[1]]
     none_score = (none[1] + prior) / (sum(none) + 1)
-    index = BlockMaxIndex([(r[2], r[3]) for r in used], max(1, len(terms)))
+    index = BlockMaxIndex([(r[2], r[3]) for r in used], len(terms))
     model = Model(terms, idf, index, [r[0] for r in used], np.array([float(r[1]) for r in used]), weight, prior, none_score)
-    if used:
-        raw = np.array([model.vote(index.nearest(r[2], r[3], NEIGHBOURS, without=i)) for i, r in enumerate(used)])
-        x, y = isotonic(raw, model.labels, weight)
-        model.knots = (np.concatenate([[0.0], x, [1.0]]), np.concatenate([[min(none_score, y[0])], y, [max(y[-1], 0.99)]]))
+    x, y = isotonic(_raw_votes(model, chosen), model.labels, weight)
+    model.knots = (np.concatenate([[0.0], x, [1.0]]), np.concatenate([[min(none_score, y[0])], y, [max(y[-1], 0.99)]]))
     return model
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+def score(
+    docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "toxicity_score", evidence_col: str = "toxicity_evidence"
+) -> DataFrame:
     """``docs`` with toxicity_score and toxicity_evidence (nearest examples), by one pass.
 
-    All other columns and their order stay. Null and empty texts get the score of a text
-    without any known term. No shuffle, so no key can be hot.
+    All other columns and their order stay; columns of the two names are replaced. Null and
+    empty texts get the score of a text without any known term; whole texts of any length
+    are scored; repeated rows are scored each; an empty table gives no rows. No shuffle, so
+    no key can be hot.
     """
+    docs = docs.drop(score_col, evidence_col)
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
@@ -295,12 +364,10 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 out.append(own.score(own.vote(near)) if near else own.none)
                 evidence.append([{"doc_id": own.ids[i], "similarity": s, "toxic": int(own.labels[i])} for s, i in near[:3]])
             cols = [*batch.columns, pa.array(out, pa.float64()), pa.array(evidence, kind)]
-            yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names, "toxicity_score", "toxicity_evidence"])
+            yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names, score_col, evidence_col])
 
-    extra = docs.limit(0).selectExpr(
-        "*", "cast(null as double) as toxicity_score",
-        "cast(null as array<struct<doc_id: bigint, similarity: double, toxic: int>>) as toxicity_evidence",
-    )
+    evidence = "array<struct<doc_id: bigint, similarity: double, toxic: int>>"
+    extra = docs.select("*", F.lit(None).cast("double").alias(score_col), F.lit(None).cast(evidence).alias(evidence_col))
     return docs.mapInArrow(judge, extra.schema)
 
 
