@@ -97,8 +97,8 @@ def write_archives(pages: DataFrame, folder: str, max_bytes: int = 64 << 20) ->
 def read_records(index: DataFrame, folder: str, gap: int = 64 << 10, most: int = 4 << 20, span: int = 16 << 20) -> DataFrame:
     """Records of the selected index rows, each checked against its digest.
 
-    Tasks take spans of ``span`` bytes of a file, so a large file is read by several.
-    Ranges at most ``gap`` apart are one read of at most ``most`` bytes (more for a record
+    Tasks take spans of ``span`` bytes of a file, so a large file is read by several, and
+    there are as many tasks as the selected bytes fill spans. Ranges at most ``gap`` apart are one read of at most ``most`` bytes (more for a record
     that is longer itself).
     """
 
@@ -150,9 +150,10 @@ def read_records(index: DataFrame, folder: str, gap: int = 64 << 10, most: int =
                 source.close()
 
     NAMES = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
+    selected = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     ranges = (
         index.select("page_id", "file", "offset", "length", F.expr(f"offset div {span}").alias("span"))
-        .repartition("file", "span")
+        .repartition(max(1, -(-selected // span)), "file", "span")
         .sortWithinPartitions("file", "offset")
         .drop("span")
     )
@@ -166,8 +167,9 @@ def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", tex
 
     Of rows with equal payloads of ``REVISIT_BYTES`` or more, the one with the smallest id
     is the response and the others revisit it; shorter payloads are all responses. Null
-    texts are empty payloads. Rows that repeat id and payload are responses each, where
-    that id is the smallest. Null ids sort last. An empty table gives an empty index.
+    texts are empty payloads; very long ones are records like all others. Rows that repeat
+    id and payload are responses each, where that id is the smallest. Null ids sort last.
+    Other columns are ignored, whatever their names. An empty table gives an empty index.
     Only payloads that occur again take part in the lookup of the response.
     """
     payload = F.coalesce(F.col(text_col), F.lit(""))
@@ -185,6 +187,8 @@ def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", tex
         .where("n > 1")
         .select("payload_digest", "first_id")
     )
+    # Written first, so that adaptive execution can broadcast it or split a payload that many rows hold.
+    again = stage(again, "warc-again")
     first = F.col("first_id")
     marked = plain.join(again, "payload_digest", "left").withColumn(
         "refers_to", F.when(first.isNotNull() & ~first.eqNullSafe(F.col("page_id")), first)
