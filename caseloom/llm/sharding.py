@@ -37,7 +37,8 @@ def fisher_yates(n: int, seed: int, bucket: int) -> np.ndarray:
 def _permuter(seed: int):
     """Streams sorted buckets and adds ``__at``, each record's place in its bucket.
 
-    Only the permutation is held (8 bytes a record); the records stream through.
+    Only the permutation is held (a list of numbers while it is drawn, some 40 bytes a
+    record, then 8); the records stream through.
     """
 
     def permute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,11 +60,39 @@ def _permuter(seed: int):
     return permute
 
 
+def _scattered(docs: DataFrame, rows: int, seed: int, id_col: str, text_col: str, hot_share: int) -> DataFrame:
+    """__id, __text and __key, the seeded hash that scatters a record.
+
+    Records equal in id and text have equal hashes. Where they make up a ``hot_share``-th
+    of all rows (at most ``hot_share`` such groups) they are summed to a count, and each
+    copy is hashed with its number, so that copies are spread like any other records.
+    """
+    base = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")).withColumn(
+        "__key", F.xxhash64(F.lit(seed), "__id", "__text")
+    )
+    hot = base.groupBy("__key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(1_000, -(-rows // hot_share)))
+    hot = F.broadcast(stage(hot.select("__key"), "shard-hot"))  # hot_share rows at most
+    cold = base.join(hot, "__key", "left_anti").select("__id", "__text", "__key")
+    if hot.isEmpty():
+        return cold
+    block = 1 << 16
+    copies = (
+        base.join(hot, "__key", "left_semi")
+        .groupBy("__id", "__text")
+        .agg(F.count(F.lit(1)).alias("__n"))
+        .withColumn("__block", F.explode(F.expr(f"sequence(0L, (__n - 1) div {block})")))
+        .repartition(max(1, rows // block), "__id", "__block")
+        .withColumn("__copy", F.explode(F.expr(f"sequence(__block * {block}, least(__n, (__block + 1) * {block}) - 1)")))
+    )
+    return cold.unionByName(copies.select("__id", "__text", F.xxhash64(F.lit(seed), "__id", "__text", "__copy").alias("__key")))
+
+
 def shard_documents(
     docs: DataFrame,
     shards: int = 40,
     seed: int = 20_240_601,
     bucket_bytes: int = 32 << 20,
+    hot_share: int = 512,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -71,18 +100,15 @@ def shard_documents(
 
     Returns doc_id, text, shard (0 to ``shards`` - 1) and slot (gapless from 0 in each
     shard). Row counts of shards differ by one at most. The order depends on the rows and
-    ``seed`` alone. Null texts stay null; null and repeated ids are ordinary records
-    (rows that repeat id and text share a bucket, of which only 8 bytes a row are held);
-    empty tables give an empty result; other columns are ignored.
+    ``seed`` alone. Null texts stay null; null and repeated ids, empty and very long texts
+    are ordinary records; equal rows are told apart by nothing, so which of them stands
+    where doesn't matter; an empty table gives an empty result; other columns are ignored,
+    whatever their names.
     """
     spark = docs.sparkSession
-    base = docs.select(
-        F.col(id_col).cast("long").alias("__id"),
-        F.col(text_col).alias("__text"),
-        F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("__key"),
-    )
     total, n_bytes = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text_col) + 16), F.lit(0))).first()
     buckets = max(shards, -(-int(n_bytes) // bucket_bytes))
+    base = _scattered(docs, total, seed, id_col, text_col, hot_share)
     scattered = base.withColumn("__bucket", F.pmod("__key", F.lit(buckets)))
     counts = scattered.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
     # The bucket table has a row for each `bucket_bytes` of input: its running sum is small work.
