@@ -147,8 +147,9 @@ def pack_documents(
     A row for each piece: doc_id, start, length, ids (little-endian unsigned 32-bit),
     doc_tokens, sequence_id, offset, window, step_id. Every id lies in one piece; windows
     are full, of lengths that are powers of two. Null and empty texts are the end id alone;
-    repeated rows are packed each; an empty table gives no rows; other columns are ignored.
-    Each task packs its own rows: no shuffle, and no key that could be hot. Strings in
+    very long texts fill windows of their own; rows that repeat an id, or have none, are
+    packed each, ties in the order of the task's rows; an empty table gives no rows; other
+    columns are ignored, whatever their names. Each task packs its own rows: no shuffle, and no key that could be hot. Strings in
     ``special`` are their ids, as the vocabulary file states.
     """
     marks = tuple(special.items())
@@ -157,7 +158,7 @@ def pack_documents(
         enc = encoder(ranks_path, pattern, marks)
         part = TaskContext.get().partitionId()
         packer, steps = TierPacker(window), StepGroups(window * step_windows)
-        held: dict[int, tuple[int | None, np.ndarray, int]] = {}
+        held: dict[int, tuple[int | None, np.ndarray, int]] = {}  # id, the ids not yet packed, count of all
         n_rows = n_seqs = 0
         cols: list[list] = [[] for _ in range(9)]
 
@@ -167,13 +168,13 @@ def pack_documents(
                 seq, step, offset = (part << 40) | n_seqs, (part << 40) | steps.of(size), 0
                 n_seqs += 1
                 for row, at, n in pieces:
-                    doc, ids, left = held[row]
-                    values = (doc, at, n, ids[at : at + n].tobytes(), len(ids), seq, offset, size, step)
+                    doc, rest, total = held[row]  # pieces of a document come in order
+                    values = (doc, at, n, rest[:n].tobytes(), total, seq, offset, size, step)
                     for col, v in zip(cols, values, strict=True):
                         col.append(v)
                     offset += n
-                    held[row] = (doc, ids, left - n)
-                    if left == n:
+                    held[row] = (doc, rest[n:], total)
+                    if len(rest) == n:
                         del held[row]
 
         def flush():
@@ -191,6 +192,8 @@ def pack_documents(
                 ids.append(end_id)
                 held[n_rows] = (doc, np.array(ids, "<u4"), len(ids))
                 emit(packer.add(n_rows, len(ids)))
+                if n_rows in held:  # only what waits is kept, not the views' whole array
+                    held[n_rows] = (doc, held[n_rows][1].copy(), len(ids))
                 n_rows += 1
                 if len(cols[0]) >= 4096:
                     yield flush()
