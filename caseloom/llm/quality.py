@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, stage, text_of
+from .common import stage, text_of
 
 #: Bound of the labelled rows that are learned from.
 LABELLED_ROWS = 20_000
@@ -39,13 +39,14 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     stand beside their equals; the places of those found twice or more, in order, cover
     three words each, less what the next one covers.
     """
-    only = lambda c, keep: F.length(F.regexp_replace(c, f"[^{keep}]+", ""))
+    only = lambda c, keep: F.length(c) - F.length(F.translate(c, keep, ""))
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     t = F.col("__text")
     cut = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("__text")).select(
         "doc_id",
         "__text",
         F.expr(r"filter(split(__text, '[\\x20\\x09-\\x0D]+', -1), x -> x <> '')").alias("__words"),
-        F.expr(r"filter(split(__text, '\n', -1), x -> x rlike '[^\\x20\\x09-\\x0D]')").alias("__lines"),
+        F.expr(r"filter(split(__text, '\n', -1), x -> btrim(x, ' \t\n\u000B\u000C\r') <> '')").alias("__lines"),
     )
     counted = cut.select(
         "doc_id",
@@ -54,9 +55,9 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         only(t, r"#*$%&|<>").cast("long").alias("n_symbols"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
         F.size("__lines").cast("long").alias("n_lines"),
-        only(t, "A-Z").cast("long").alias("n_upper"),
-        only(t, "A-Za-z").cast("long").alias("n_letters"),
-        only(t, "0-9").cast("long").alias("n_digits"),
+        only(t, upper).cast("long").alias("n_upper"),
+        only(t, upper + upper.lower()).cast("long").alias("n_letters"),
+        only(t, "0123456789").cast("long").alias("n_digits"),
         only(t, "!?").cast("long").alias("n_marks"),
         F.expr(
             "if(size(__words) < 3, cast(array() as array<bigint>), "
@@ -199,9 +200,11 @@ def quality_rules(
 
     Returns doc_id, the counts, base_failed, kept and rule (the number of the rule that
     dropped the document). Labels 0 are bad; ids with contradicting or null labels are not
-    learned from; nor are ids that several documents share. At most ``LABELLED_ROWS`` in
-    the order of a hash are learned from, none with crc32(id) mod 4 = 2. Null texts have
-    no words. Null and repeated ids are judged each; other columns are ignored.
+    learned from. At most ``LABELLED_ROWS`` rows in the order of a hash are learned from
+    (rows that repeat an id are rows of their own), none with crc32(id) mod 4 = 2. Null and
+    empty texts have no words; very long ones are counted whole; an empty table gives no
+    rows. Null and repeated ids are judged each; other columns are ignored, whatever their
+    names.
     """
     stats = stage(statistics(docs, id_col, text_col), "quality-statistics")
     features = [F.expr(sql).alias(name) for name, sql in FEATURES.items()]
@@ -219,7 +222,7 @@ def quality_rules(
         judged.where("not base_failed")
         .join(known, "doc_id")
         .select(*FEATURES, (F.col("label") == 0).cast("int").alias("bad"), F.xxhash64("doc_id").alias("h"))
-        .orderBy("h")
+        .orderBy("h", *FEATURES)
         .limit(LABELLED_ROWS)
         .select("*", F.pmod("h", F.lit(3)).alias("part"))
     )
