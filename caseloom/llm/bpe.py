@@ -149,8 +149,10 @@ def chunks(texts: list[str], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, li
 def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Token ids of every whole text: doc_id, ids (array of int).
 
-    Null and empty texts have no ids. Repeated rows are encoded each; an empty table gives
-    an empty one; other columns are ignored. No shuffle: each task encodes its own rows.
+    Null and empty texts have no ids; very long texts are encoded whole. Repeated rows, and
+    rows without an id, are encoded each; of equal pairs in a word the leftmost merges first;
+    an empty table gives an empty one; other columns are ignored, whatever their names. No
+    shuffle: each task encodes its own rows.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
