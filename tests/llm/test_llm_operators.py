@@ -303,8 +303,8 @@ def hot_texts():
 def test_repeated_strings_go_where_anchors_are_hot(spark):
     rows = odd_texts() + [(1000 + i, t) for i, t in hot_texts()]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    for hot in (0, 4, 50):
-        got = suffix_dedup.suffix_dedup(df, hot_segments=hot).collect()
+    for hot, wide in ((0, 64), (4, 1), (50, 1), (8192, 2)):
+        got = suffix_dedup.suffix_dedup(df, hot_segments=hot, wide_packs=wide).collect()
         assert Counter(tuple(r)[:5] for r in got) == removed_by_force(rows)
 
 
@@ -312,25 +312,68 @@ def test_a_hot_anchor_is_spread_over_tasks():
     """One anchor in many contexts: its segments don't all share a task and a suffix array."""
     data = [t.encode() for _, t in hot_texts()[:120]]
     pack = suffix_dedup.Pack(np.arange(120), np.array([len(t) for t in data]), np.frombuffer(b"".join(data), np.uint8))
-    anchors = pack.anchors(64)
-    key, n = np.unique(anchors.key, return_counts=True)
+    key, n = np.unique(np.concatenate([x.key for x in pack.slices(64)]), return_counts=True)
     assert n.max() >= 100
     table = next(suffix_dedup._send_anchors(64)(iter([batch_of(pack)])))
-    hot = []
+    known = []
     for part in set(table.column("part").to_pylist()):
         own = pa.Table.from_batches([table]).filter(pc.equal(table.column("part"), part))
-        for row in suffix_dedup._known_elsewhere(16)(own).to_pylist():
+        for row in suffix_dedup._known_elsewhere(16, 64)(own).to_pylist():
             keys = suffix_dedup._five(row["keys"]) | np.uint64(part << 40)
-            hot += list(zip(keys.tolist(), np.unpackbits(np.frombuffer(row["hot"], np.uint8), count=len(keys)).tolist(), strict=True))
-    hot.sort()
-    known = np.array([k for k, _ in hot], np.uint64)
-    assert key[n.argmax()] in known
-    got = anchors.segments(known, np.array([h for _, h in hot]) > 0, 64)
+            known += list(zip(keys.tolist(), row["flags"], strict=True))
+    known.sort()
+    keys, flags = np.array([k for k, _ in known], np.uint64), np.array([f for _, f in known], np.uint8)
+    assert key[n.argmax()] in keys
+    got = pack.segments(keys, flags, 64)
     most = Counter(got.key[got.first].tolist()).most_common(1)[0][1]
     assert most <= 16
     assert max(Counter((got.key[got.first] >> np.uint64(40)).tolist()).values()) < len(got.first) / 8
 
 
+def test_slices_find_the_anchors_of_the_whole(monkeypatch):
+    """Slices of a text meet without a seam, whatever their size."""
+    text = " ".join(words(5, 900)).encode() + "é日本".encode() * 40
+    sizes = np.array([700, 0, 49, 50, 51, len(text) - 850])
+    pack = suffix_dedup.Pack(np.arange(6), sizes, np.frombuffer(text, np.uint8))
+    whole = list(pack.slices(7))
+    assert len(whole) == 1
+    want = list(zip(whole[0].at.tolist(), whole[0].key.tolist(), *(x.tolist() for x in whole[0].ranges(np.arange(len(whole[0].at)))), strict=True))
+    for size in (1, 13, 64, 1000):
+        monkeypatch.setattr(suffix_dedup, "SLICE", size)
+        got = [
+            x for s in pack.slices(7)
+            for x in zip(s.at.tolist(), s.key.tolist(), *(y.tolist() for y in s.ranges(np.arange(len(s.at)))), strict=True)
+        ]
+        assert got == want
+        hit = np.random.default_rng(1).random(500) < 0.01
+        near = [any(hit[max(0, i - 49) : i + 1]) for i in range(500)]
+        assert suffix_dedup.covered(hit).tolist() == near
+
+
+def test_a_text_longer_than_a_pack(spark):
+    """4.5 MB, more than two packs hold; its second half comes again, and so does a short part."""
+    half = " ".join(words(31, 500_000))[:2_250_000]
+    rows = [(1, half), (2, " ".join(words(77, 30)) + " " + half + " " + half[:2000]), (3, half[1_000_000:1_000_300])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in suffix_dedup.suffix_dedup(df, with_text=True).collect()}
+    assert got[1].n_removed == 0 and got[3].n_removed == 300
+    head = rows[1][1][: -len(half) - 2001]
+    assert got[2].n_bytes == len(rows[1][1]) and head.startswith(got[2].text[:100])
+    assert len(head) - 60 <= got[2].n_bytes - got[2].n_removed <= len(head) + 120
+
+
+def test_adjacent_common_prefixes():
+    r = np.random.default_rng(8)
+    text = np.concatenate([r.integers(97, 99, 300).astype(np.uint8), np.full(80, 255, np.uint8)])
+    at = np.array(sorted(range(300), key=lambda p: text[p:].tobytes()))
+    got = suffix_array.common_prefixes(text, at, 50).tolist()
+    for k in range(1, 300):
+        a, b = text[at[k - 1] :].tobytes(), text[at[k] :].tobytes()
+        same = next((j for j, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), 50)
+        assert got[k] == min(same, 50)
+    assert got[0] == 0
+
+
 def test_two_stage_sort_orders_suffixes():
     r = np.random.default_rng(2)
     for alphabet in (2, 4, 200):
@@ -377,7 +420,7 @@ def test_exact_copies(spark, docs, none, monkeypatch):
     norm = lambda t: re.sub("[\x20\x09-\x0d]+", " ", t or "")
     for i, t in odd_texts():
         want.setdefault(norm(t), []).append(i)
-    for options in ({}, {"capacity": 1, "max_depth": 3, "hot_share": 4}):
+    for options in ({}, {"capacity": 1, "depth": 3, "hot_share": 4}, {"capacity": 1}):
         got = exact_dedup.exact_dedup(docs, **options).collect()
         assert len(got) == len(odd_texts())
         by = {hashlib.sha256(k.encode()).hexdigest(): v for k, v in want.items()}
@@ -390,8 +433,20 @@ def test_exact_copies(spark, docs, none, monkeypatch):
 
 def test_chained_texts_of_one_hash_are_told_apart(spark):
     texts = spark.createDataFrame([(1, 7, "a"), (2, 7, "b"), (3, 7, "a"), (4, 9, "c")], "id long, key long, norm string")
-    index = {r.norm: (r.keep_id, r.group_size, r.chain_size) for r in exact_dedup.build_index(texts, 1, 4, 512).collect()}
-    assert index == {"a": (1, 2, 2), "b": (2, 1, 2), "c": (4, 1, 1)}
+    hot = spark.createDataFrame([(7, True)], "key long, hot boolean")
+    for some in (hot, hot.limit(0)):
+        index = {r.norm: (r.keep_id, r.group_size, r.chain_size) for r in exact_dedup.build_index(texts, texts, some, 1, 4).collect()}
+        assert index == {"a": (1, 2, 2), "b": (2, 1, 2), "c": (4, 1, 1)}
+
+
+def test_near_copies_of_an_id_with_several_texts(spark):
+    """Each row is linked by its own text, also where its id has another one."""
+    t = words(50, 100)
+    near = t.copy()
+    near[50] = "edited"
+    rows = [(7, " ".join(words(51, 60))), (7, " ".join(t)), (9, " ".join(near)), (4, " ".join(words(52, 60))), (9, " ".join(words(52, 60)))]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(4, 56, 4, True), (7, 56, 7, True), (7, 96, 7, True), (9, 56, 4, False), (9, 96, 7, False)]
 
 
 def own_encoding():

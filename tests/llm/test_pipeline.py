@@ -44,3 +44,33 @@ def test_stages_take_effect(spark, tmp_path):
     assert passage in cut[204].text and cut[205].text == "" and cut[205].n_chars == 0
     assert steps["packing"].where("doc_id = 204").count() >= 1
     assert pipeline.run(spark, str(tmp_path)).count() == steps["packing"].count()
+
+
+def test_verdicts_are_of_rows_not_of_ids(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    schema = "doc_id long, text string, id string, none string, row string, left string, toxicity_score double, __left string"
+    long = " ".join(f"w{i}" for i in range(40))
+    rows = [(3, "x"), (5, "x"), (5, "y"), (None, "x"), (None, "z"), (None, "z"), (6, "q  q"), (6, "q q"), (7, long), (9, long + " end"), (None, long + " fin"), (8, None), (8, None)]
+    docs = spark.createDataFrame([(i, t, "a", "b", "c", "d", 0.5, "e") for i, t in rows], schema)
+    exact = pipeline.exact_stage(spark, docs, "")
+    assert exact.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in exact.collect()), key=str)
+    assert got == sorted([(3, "x"), (5, "y"), (None, "z"), (6, "q  q"), (7, long), (9, long + " end"), (None, long + " fin"), (8, None)], key=str)
+    near = pipeline.near_stage(spark, exact, "")
+    assert near.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in near.collect()), key=str)
+    assert got == sorted([(3, "x"), (5, "y"), (None, "z"), (6, "q  q"), (7, long), (None, long + " fin"), (8, None)], key=str)
+    cut = pipeline.suffix_stage(spark, docs, "")
+    assert cut.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in cut.collect()), key=str)
+    want = [(i, "" if t is None else t) for i, t in rows if i not in (7, 9) and t != long + " fin"]
+    assert [x for x in got if len(x[1]) < 5 and "end" not in x[1] and "fin" not in x[1]] == sorted(want, key=str)
+    assert all(x.id == "a" and x.left == "d" for x in cut.collect())
+
+
+def test_empty_table(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert pipeline.run(spark, str(tmp_path)).count() == 0
