@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.resolve import attach
-from .scalars import epoch_timestamp, first_valid, iso_timestamp, json_map, log_level, present
+from .scalars import epoch_timestamp, first_valid, iso_timestamp, json_map, log_level, number_text, present
 
 #: Modalities in their order; it decides ties later on.
 MODALITIES = ("metrics", "logs", "traces", "events", "alerts")
@@ -42,7 +42,9 @@ def metrics(raw: DataFrame, index: DataFrame) -> DataFrame:
     )
     found = attach(named.drop("entity_id"), "__name", index).withColumn("entity_id", F.coalesce("__given", "entity_id"))
     label = F.coalesce(first_valid(F.col("entity_name"), F.col("service")), F.lit(""))
-    text = F.concat(F.lit("[metric] "), label, F.lit(" "), _or_empty(F.col("metric")), F.lit("="), _or_empty(F.col("value")))
+    fractional = raw.schema["value"].dataType.simpleString() in ("double", "float")
+    value = number_text(F.col("value")) if fractional else F.coalesce(F.col("value").cast("string"), F.lit("None"))
+    text = F.concat(F.lit("[metric] "), label, F.lit(" "), F.coalesce(F.col("metric").cast("string"), F.lit("None")), F.lit("="), value)
     return _shape(found, "metrics", epoch_timestamp(F.col("time"), "us"), text)
 
 

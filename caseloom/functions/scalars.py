@@ -74,3 +74,31 @@ def is_error(text: Column) -> Column:
 def fault_slug(case_name: Column) -> Column:
     """What stands before the first dot."""
     return F.substring_index(case_name, ".", 1)
+
+
+def number_text(value: Column) -> Column:
+    """A double as text: the shortest digits, positional from 1e-4 on and below 1e16; nan for null.
+
+    Spark's own text (one digit, a dot, digits, E, exponent) is taken apart and set anew.
+    """
+    text = value.cast("double").cast("string")
+    part = lambda k: F.regexp_extract(text, r"^(-?)(\d)\.(\d+)E(-?\d+)$", k)
+    sign, head, rest = part(1), part(2), F.when(part(3) == "0", "").otherwise(part(3))
+    power = part(4).cast("int")
+    digits = F.concat(head, rest)
+    whole = F.rpad(digits, power + 1, F.lit("0"))
+    after = F.substring(digits, power + 2, F.length(digits))
+    long = F.concat(sign, F.substring(whole, F.lit(1), power + 1), F.lit("."), F.when(after == "", "0").otherwise(after))
+    small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    short = F.concat(
+        sign, head, F.when(rest == "", "").otherwise(F.concat(F.lit("."), rest)), F.lit("e"), F.when(power < 0, "-").otherwise("+"),
+        F.when(F.abs(power) < 10, "0").otherwise(""), F.abs(power).cast("string"),
+    )
+    return (
+        F.when(value.isNull() | F.isnan(value.cast("double")), "nan")
+        .when(text.isin("Infinity", "-Infinity"), F.replace(F.lower(text), F.lit("inity"), F.lit("")))
+        .when(~F.contains(text, F.lit("E")), text)
+        .when(power.between(0, 15), long)
+        .when(power.between(-4, -1), small)
+        .otherwise(short)
+    )

@@ -30,17 +30,19 @@ def checkpoints(truth: DataFrame) -> DataFrame:
 
 
 def target_ids(truth: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Given ids, else ids of target entities, else resolved names: case_id, targets.
+    """Given ids, else ids of target entities, else resolved names, else the entities' names: case_id, targets.
 
     ``resolved``: case_id, pos, entity_id of root cause names.
     """
     found = resolved.where("entity_id is not null").groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct("pos", "entity_id"))).alias("f"))
     none = F.array().cast("array<string>")
     given = F.coalesce("target_entity_ids", none)
-    of_entities = F.filter(F.transform(F.coalesce("target_entities", F.array().cast("array<struct<entity_id:string,entity_name:string>>")), lambda t: present(t["entity_id"])), lambda x: x.isNotNull())
+    entities = F.coalesce("target_entities", F.array().cast("array<struct<entity_id:string,entity_name:string>>"))
+    field = lambda name: F.filter(F.transform(entities, lambda t: present(t[name])), lambda x: x.isNotNull())
+    of_entities = field("entity_id")
     by_name = F.coalesce(F.transform("f", lambda x: x["entity_id"]), none)
     return truth.join(found, "case_id", "left").select(
-        "case_id", F.when(F.size(given) > 0, given).when(F.size(of_entities) > 0, of_entities).otherwise(by_name).alias("targets")
+        "case_id", F.when(F.size(given) > 0, given).when(F.size(of_entities) > 0, of_entities).when(F.size(by_name) > 0, by_name).otherwise(field("entity_name")).alias("targets")
     )
 
 

@@ -24,17 +24,22 @@ def undirected(edges: DataFrame) -> DataFrame:
     return one.unionByName(one.select("case_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
 
 
-def bfs(pairs: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
+def bfs(pairs: DataFrame, seeds: DataFrame, hops: int, wanted: DataFrame | None = None) -> DataFrame:
     """(case_id, entity_id, origin, hop): nodes within ``hops`` of any seed, each once.
 
     ``seeds`` may carry ``rank``; of seeds at equal distance the smallest rank, then the
-    smallest id, is a node's origin. The frontier alone is joined in each round.
+    smallest id, is a node's origin. The pairs are written once and the frontier alone is
+    joined in each round. With ``wanted`` (case_id, entity_id) it ends when all are found.
     """
+    pairs = stage(pairs, "pairs")
     if "rank" not in seeds.columns:
         seeds = seeds.withColumn("rank", F.lit(0).cast("bigint"))
     start = seeds.select("case_id", "entity_id", F.col("entity_id").alias("origin"), F.col("rank").cast("bigint").alias("rank")).distinct()
     seen = frontier = stage(start.withColumn("hop", F.lit(0)), "bfs")
+    wanted = None if wanted is None else stage(wanted.select("case_id", "entity_id").distinct(), "wanted")
     for hop in range(1, hops + 1):
+        if wanted is not None and wanted.join(seen, ["case_id", "entity_id"], "left_anti").isEmpty():
+            break
         step = (
             pairs.join(frontier.select("case_id", F.col("entity_id").alias("a"), "origin", "rank"), ["case_id", "a"])
             .groupBy("case_id", F.col("b").alias("entity_id"))
@@ -64,13 +69,14 @@ def induced(edges: DataFrame, inside: DataFrame) -> DataFrame:
 
 def personalized_pagerank(
     nodes: DataFrame, edges: DataFrame, seeds: DataFrame, alpha: float = 0.85, iterations: int | None = None,
-    max_iterations: int = 200, tolerance: float = 1e-6,
+    max_iterations: int = 200, tolerance: float = 1e-6, retry: tuple[int, float] | None = (1000, 1e-4),
 ) -> DataFrame:
     """(case_id, entity_id, score) of each case's nodes, all restarts at the seed.
 
     Edges are walked both ways; a node without a neighbour sends its mass to the seed.
     ``iterations`` fixes the number of rounds; else rounds go on until, looked at every ten
-    rounds, no case moves more than its node count times ``tolerance``.
+    rounds, no case moves more than its node count times ``tolerance``. Cases that still
+    move after ``max_iterations`` start again with the rounds and tolerance of ``retry``.
     """
     pairs = undirected(edges)
     degree = pairs.groupBy("case_id", "a").agg(F.count(F.lit(1)).alias("degree"))
@@ -100,11 +106,38 @@ def personalized_pagerank(
             moved = rank.join(last.withColumnRenamed("score", "was"), ["case_id", "entity_id"]).groupBy("case_id").agg(
                 F.sum(F.abs(F.col("score") - F.col("was"))).alias("moved"), F.count(F.lit(1)).alias("size")
             )
-            if moved.where(F.col("moved") >= F.col("size") * tolerance).isEmpty():
-                break
+            moving = stage(moved.where(F.col("moved") >= F.col("size") * tolerance).select("case_id"), "moving")
+            if moving.isEmpty():
+                return rank
+    if iterations is None and retry is not None:
+        only = [df.join(moving, "case_id", "left_semi") for df in (nodes, edges, seeds)]
+        again = personalized_pagerank(*only, alpha=alpha, max_iterations=retry[0], tolerance=retry[1], retry=None)
+        rank = rank.join(moving, "case_id", "left_anti").unionByName(again)
     return rank
 
 
+def ranked_entities(
+    nodes: DataFrame, edges: DataFrame, seeds: DataFrame, k: int = 15, hops: int = 3, iterations: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Nodes around each case's seed (case_id, entity_id), and its ``top_scores``.
+
+    Where the seed is null or isn't a node, all nodes of the case count and are ranked by
+    the directed PageRank of the whole graph. ``seeds`` has one row for each case.
+    """
+    edges = stage(edges.select("case_id", "src", "dst"), "edges")
+    nodes = stage(nodes.select("case_id", "entity_id").distinct(), "nodes")
+    seeds = stage(seeds.select("case_id", "entity_id"), "seeds")
+    here = seeds.join(nodes, ["case_id", "entity_id"], "left_semi")
+    lost = seeds.select("case_id").join(here, "case_id", "left_anti").distinct()
+    inside = stage(bfs(undirected(edges), here, hops).select("case_id", "entity_id"), "inside")
+    ranked = personalized_pagerank(inside, stage(induced(edges, inside), "induced"), here, iterations=iterations)
+    if not lost.isEmpty():
+        whole = nodes.join(lost, "case_id", "left_semi")
+        ranked = ranked.unionByName(global_pagerank(whole, edges.join(lost, "case_id", "left_semi")).select(*ranked.columns))
+        inside = inside.unionByName(whole)
+    return inside, stage(top_scores(ranked, k), "scores")
+
+
 def global_pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, iterations: int = 30) -> DataFrame:
     """Directed PageRank, restarts and the mass of sinks spread over the case's nodes."""
     arcs = edges.select("case_id", "src", "dst").distinct()
@@ -193,5 +226,6 @@ def path_lengths(edges: DataFrame, predicted: DataFrame, targets: DataFrame, hop
 
     Beyond 14 hops the score that uses it rounds to zero.
     """
-    reach = bfs(undirected(edges), targets.select("case_id", "entity_id").distinct(), hops)
-    return predicted.select("case_id", "entity_id").distinct().join(reach.select("case_id", "entity_id", "hop"), ["case_id", "entity_id"])
+    ends = predicted.select("case_id", "entity_id").distinct()
+    reach = bfs(undirected(edges), targets.select("case_id", "entity_id").distinct(), hops, wanted=ends)
+    return ends.join(reach.select("case_id", "entity_id", "hop"), ["case_id", "entity_id"])

@@ -2,11 +2,12 @@
 
 ``index``: case_id, key, entity_id, pos. Names are resolved once each, by equality, then as
 ``service::operation``, then by containment; of several fitting keys the earliest wins.
+Containment is joined on rare substrings, so names don't meet all keys of a case.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import present
@@ -54,6 +55,32 @@ def _first_key(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("case_id", "name").agg(F.min_by("entity_id", "pos").alias("entity_id"))
 
 
+def _grams(c: Column, sizes: tuple[int, ...] = (1, 2, 3)) -> Column:
+    """Distinct substrings of the given lengths."""
+    of = lambda n: F.transform(F.when(F.length(c) >= n, F.sequence(F.lit(1), F.length(c) - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: c.substr(i, F.lit(n)))
+    return F.array_distinct(F.concat(*[of(n) for n in sizes]))
+
+
+def contained(small: DataFrame, large: DataFrame) -> DataFrame:
+    """(case_id, small, large) where the non-empty text ``small`` stands in ``large``.
+
+    A pair meets on one substring: of the three-letter ones of ``small`` (shorter texts are
+    their own) that which the fewest of ``large`` hold.
+    """
+    held = large.select("case_id", "large").distinct().select("case_id", "large", F.explode(_grams(F.col("large"))).alias("gram"))
+    spread = held.groupBy("case_id", "gram").agg(F.count(F.lit(1)).alias("n"))
+    own = F.when(F.length("small") < 3, F.array("small")).otherwise(_grams(F.col("small"), (3,)))
+    asked = small.select("case_id", "small").distinct().where("small <> ''").select("case_id", "small", F.size(own).alias("all"), F.explode(own).alias("gram"))
+    rarest = (
+        asked.join(spread, ["case_id", "gram"])
+        .groupBy("case_id", "small")
+        .agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.count(F.lit(1)).alias("found"), F.first("all").alias("all"))
+        .where("found = all")
+        .select("case_id", "small", "gram")
+    )
+    return rarest.join(held, ["case_id", "gram"]).where("contains(large, small)").select("case_id", "small", "large")
+
+
 def composite(names: DataFrame, index: DataFrame) -> DataFrame:
     """``service::operation``: the first key with both parts, else the service itself."""
     key = F.lower("name")
@@ -61,9 +88,14 @@ def composite(names: DataFrame, index: DataFrame) -> DataFrame:
     rest = key.substr(F.instr(key, "::") + 2, F.length(key))
     operation = F.regexp_extract(F.regexp_replace(F.trim(rest), "^/+", ""), "([^/]*)$", 1)
     parts = names.where(F.col("name").contains("::")).select("case_id", "name", service.alias("service"), operation.alias("operation"))
-    both = _first_key(
-        parts.join(index, "case_id").where("contains(key, service) and contains(key, operation)").select("case_id", "name", "entity_id", "pos")
-    )
+    longer = F.when(F.length("service") >= F.length("operation"), F.col("service")).otherwise(F.col("operation"))
+    parts = parts.withColumn("small", longer)
+    near = contained(parts, index.withColumnRenamed("key", "large")).withColumnRenamed("large", "key")
+    fits = parts.join(near, ["case_id", "small"]).where("contains(key, service) and contains(key, operation)").join(index, ["case_id", "key"])
+    # Without either part every key fits, so the first of the case does.
+    first = index.groupBy("case_id").agg(F.min_by("entity_id", "pos").alias("entity_id"), F.min("pos").alias("pos"))
+    empty = parts.where("small = ''").join(first, "case_id")
+    both = _first_key(fits.select("case_id", "name", "entity_id", "pos").unionByName(empty.select("case_id", "name", "entity_id", "pos")))
     alone = parts.join(index.withColumnRenamed("key", "service"), ["case_id", "service"]).select(
         "case_id", "name", F.col("entity_id").alias("by_service")
     )
@@ -76,7 +108,10 @@ def composite(names: DataFrame, index: DataFrame) -> DataFrame:
 def substring(names: DataFrame, index: DataFrame) -> DataFrame:
     """The first key that holds the name or is held by it."""
     lowered = names.where(F.col("name").rlike(r"\S")).withColumn("low", F.lower("name"))
-    pairs = lowered.join(index, "case_id").where("contains(key, low) or contains(low, key)")
+    low, key = lowered.select("case_id", F.col("low").alias("small")), index.select("case_id", F.col("key").alias("small"))
+    inside = contained(low, key.withColumnRenamed("small", "large")).selectExpr("case_id", "small as low", "large as key")
+    around = contained(key, low.withColumnRenamed("small", "large")).selectExpr("case_id", "large as low", "small as key")
+    pairs = lowered.join(inside.unionByName(around).distinct(), ["case_id", "low"]).join(index, ["case_id", "key"])
     return _first_key(pairs.select("case_id", "name", "entity_id", "pos"))
 
 

@@ -167,9 +167,10 @@ def alpha_sweep(hits: DataFrame, graph_scores: DataFrame, weights: DataFrame) ->
 def shortlist(texts: DataFrame, definitions: DataFrame, k: int = 5, encoder=None) -> DataFrame:
     """case_id, slug, rank: the fault types whose ``slug: definition`` is nearest to a text.
 
-    ``definitions`` (slug, definition) is a dimension of some dozens of rows. A blank text
+    ``definitions`` (slug, definition) is a dimension of some dozens of rows; whether it is
+    broadcast is left to its measured size. A blank text
     gives no rows; the caller then takes all slugs.
     """
     known = definitions.select("slug", F.concat_ws(": ", "slug", "definition").alias("text"))
-    vectors = F.broadcast(term_weights(known, ["slug"], encoder))
+    vectors = term_weights(known, ["slug"], encoder)
     return text_topk(term_weights(texts, ["case_id"], encoder), vectors, ["case_id"], ["slug"], [], k).select("case_id", "slug", "rank")

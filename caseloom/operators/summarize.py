@@ -6,7 +6,7 @@ the merged list). Empty and null entities are ``unresolved``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import is_error, present
@@ -14,6 +14,9 @@ from ..functions.scalars import is_error, present
 #: Fixed texts of the summary.
 NO_SIGNAL = "No strong signal in retrieved evidence for this entity"
 UNRESOLVED = "unresolved"
+#: What agents and the last step are asked for.
+ASK = "Name the entity most likely implicated and why, as JSON with entity_id, summary, supporting_evidence and confidence."
+FINAL_ASK = "State the root cause as JSON with predicted_entity_ids, predicted_fault_type, reasoning_chain and confidence."
 #: Agents and the word by which a bullet is theirs.
 VIEWS = {"metrics_agent": "metric", "logs_agent": "log", "trace_agent": "span", "topology_agent": None}
 
@@ -107,25 +110,81 @@ def modality_view(summaries: DataFrame, word: str | None) -> DataFrame:
     return marked.withColumn("bullets", F.when(F.col("__some"), F.col("__kept")).otherwise(F.col("bullets"))).drop("__kept", "__some")
 
 
-def prompt_table(summaries: DataFrame, alerts: DataFrame, neighbours: DataFrame) -> DataFrame:
-    """One request text per case and agent, for an inference step outside."""
-    ask = "Name the entity most likely implicated and why, as JSON with entity_id, summary, supporting_evidence and confidence."
-    alert = F.concat(F.lit("Alert: "), F.col("alert_text"), F.lit("\n\n"))
+def _alert() -> Column:
+    return F.concat(F.lit("Alert: "), F.col("alert_text"), F.lit("\n\n"))
+
+
+def _in_order(df: DataFrame, order: str, item: Column, name: str) -> DataFrame:
+    """case_id and an array of a few items in order."""
+    listed = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), item.alias("i"))))
+    return df.groupBy("case_id").agg(F.transform(listed, lambda x: x["i"]).alias(name))
+
+
+def prompt_table(
+    summaries: DataFrame, alerts: DataFrame, neighbours: DataFrame, candidates: DataFrame, system: str = "proposed_hybrid"
+) -> DataFrame:
+    """One request text per case and specialist agent, for an inference step outside.
+
+    ``candidates``: case_id, entity_id, rank. Each agent sees its own bullets, the topology
+    agent the neighbours and the ranked candidates.
+    """
+    none = F.array().cast("array<string>")
     out = None
     for agent, word in VIEWS.items():
         if agent == "topology_agent":
+            ids = _in_order(candidates, "rank", F.col("entity_id"), "ids")
             body = F.concat(
-                F.lit("Upstream: "), F.to_json("upstream"), F.lit("\nDownstream: "), F.to_json("downstream"), F.lit("\n\n" + ask)
+                F.lit("Upstream: "), F.to_json("upstream"), F.lit("\nDownstream: "), F.to_json("downstream"),
+                F.lit("\nCandidates: "), F.to_json(F.coalesce("ids", none)), F.lit("\n\n" + ASK),
             )
-            rows = alerts.join(neighbours.drop("entity_id"), "case_id")
+            rows = alerts.join(neighbours.drop("entity_id"), "case_id").join(ids, "case_id", "left")
         else:
-            body = F.concat(F.lit("Evidence:\n"), F.col("summary_text"), F.lit("\n\n" + ask))
+            body = F.concat(F.lit("Evidence:\n"), F.col("summary_text"), F.lit("\n\n" + ASK))
             rows = alerts.join(summary_text(modality_view(summaries, word)), "case_id")
-        one = rows.select("case_id", F.lit(agent).alias("agent"), F.concat(alert, body).alias("prompt"))
+        one = rows.select("case_id", F.lit(system).alias("system"), F.lit(agent).alias("agent"), F.concat(_alert(), body).alias("prompt"))
         out = one if out is None else out.unionByName(one)
     return out
 
 
+def _types(shortlist: DataFrame) -> DataFrame:
+    return _in_order(shortlist, "rank", F.concat(F.lit("- "), "slug"), "types").withColumn("types", F.concat_ws("\n", "types"))
+
+
+def coordinator_prompts(alerts: DataFrame, found: DataFrame, shortlist: DataFrame, system: str = "proposed_hybrid") -> DataFrame:
+    """One request text per case for the coordinator: the agents' findings and likely fault types."""
+    said = F.struct("entity_id", "summary", "supporting_evidence", "confidence")
+    by_agent = F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("agent"), said.alias("f")))))
+    rows = alerts.join(found.groupBy("case_id").agg(F.to_json(by_agent).alias("said")), "case_id").join(_types(shortlist), "case_id", "left")
+    body = F.concat(F.lit("Findings:\n"), "said", F.lit("\n\nLikely fault types:\n"), F.coalesce("types", F.lit("")), F.lit("\n\n" + FINAL_ASK))
+    return rows.select("case_id", F.lit(system).alias("system"), F.lit("coordinator").alias("agent"), F.concat(_alert(), body).alias("prompt"))
+
+
+def baseline_prompts(alerts: DataFrame, texts: DataFrame, shortlist: DataFrame, candidates: DataFrame, slugs: DataFrame) -> DataFrame:
+    """Request texts of the systems of one call: text evidence, ranked entities, the alert alone.
+
+    ``slugs`` is the small table of fault types that the last two may choose from.
+    """
+    every = slugs.select(F.concat_ws("\n", F.sort_array(F.collect_list(F.concat(F.lit("- "), "slug")))).alias("types"))  # some dozens
+    ranked = _in_order(candidates, "rank", F.concat(F.col("rank").cast("string"), F.lit(". "), "entity_id"), "ids")
+    with_types = lambda title: F.concat(F.lit(title), F.coalesce("types", F.lit("")), F.lit("\n\n" + FINAL_ASK))
+    parts = {
+        "standard_rag": (
+            alerts.join(texts, "case_id").join(_types(shortlist), "case_id", "left"),
+            F.concat(F.lit("Evidence:\n"), "summary_text", with_types("\n\nLikely fault types:\n")),
+        ),
+        "graphrag_only": (
+            alerts.join(ranked, "case_id").crossJoin(F.broadcast(every)),  # one row
+            F.concat(
+                F.lit("Entry: "), F.coalesce("entry_entity_id", F.lit("none")), F.lit("\nCandidates:\n"), F.concat_ws("\n", "ids"),
+                with_types("\n\nFault types:\n"),
+            ),
+        ),
+        "direct_llm": (alerts.crossJoin(F.broadcast(every)), with_types("Fault types:\n")),  # one row
+    }
+    out = [rows.select("case_id", F.lit(k).alias("system"), F.lit("single").alias("agent"), F.concat(_alert(), body).alias("prompt")) for k, (rows, body) in parts.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 def parse_response(responses: DataFrame) -> DataFrame:
     """Adds parsed (JSON text, null if none) and parse_error to rows with ``raw``.
 

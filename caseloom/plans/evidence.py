@@ -210,12 +210,6 @@ def modality_view(spark, sf):
     return summarize.modality_view(_summary(spark, sf), "metric").withColumn("bullets", F.concat_ws("|", "bullets"))
 
 
-@query()
-def prompt_table(spark, sf):
-    near = graph.neighbours(view(spark, sf, "fx_edges"), view(spark, sf, "fx_seed"))
-    return summarize.prompt_table(_summary(spark, sf), view(spark, sf, "fx_alerts").select("case_id", "alert_text"), near)
-
-
 @query("SELECT event_id, CASE WHEN event_id % 3 < 2 THEN json_extract_string(props, '$.k') END AS k, event_id % 3 = 2 AS parse_error FROM events")
 def response_parse(spark, sf):
     out = summarize.parse_response(view(spark, sf, "fx_json"))

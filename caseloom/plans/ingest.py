@@ -44,10 +44,12 @@ def obs_all(spark, sf):
 @query("SELECT case_id, src, dst, relation FROM fx_edges")
 def topology_edges(spark, sf):
     """Each case's edges as one JSON topology, parsed again."""
-    e = view(spark, sf, "fx_edges").withColumn("half", F.col("ord") % 2)
+    e = view(spark, sf, "fx_edges").select("case_id", "src", "dst", "relation")
     item = F.struct(F.col("src").alias("source"), F.col("dst").alias("to"), F.col("relation").alias("type"))
-    # Blocks of edges, so that a document's size doesn't follow the case's.
-    docs = e.groupBy("case_id", F.pmod(F.xxhash64("src", "dst"), F.lit(16)).alias("block")).agg(F.collect_list(item).alias("links"))
+    # Blocks of some 1,000 edges, so that a document's size doesn't follow the case's.
+    size = e.groupBy("case_id").agg(F.ceil(F.count(F.lit(1)) / 1_000).alias("blocks"))
+    e = e.join(size, "case_id")
+    docs = e.groupBy("case_id", F.pmod(F.xxhash64("src", "dst"), F.col("blocks")).alias("block")).agg(F.collect_list(item).alias("links"))
     raw = docs.select(F.concat_ws("/", "case_id", "block").alias("case_id"), F.to_json(F.struct("links")).alias("value"))
     _, edges = cases.parse_topology(raw)
     return edges.select(F.substring_index("case_id", "/", 1).alias("case_id"), "src", "dst", "relation")
@@ -102,13 +104,6 @@ def case_mapping(spark, sf):
     return cases.parse_truth(tasks, cases.parse_mapping(pairs)).select("task_id", "case_id")
 
 
-@query()
-def results_roundtrip(spark, sf):
-    path = fresh_path(spark, "results")
-    cases.write_results(view(spark, sf, "fx_pred"), path)
-    return spark.read.parquet(f"{path}/parquet").groupBy("system").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("SELECT entity_type, count(*) AS n FROM fx_entities GROUP BY entity_type")
 def profile_entity_types(spark, sf):
     return view(spark, sf, "fx_entities").groupBy("entity_type").agg(F.count(F.lit(1)).alias("n"))
@@ -161,6 +156,20 @@ def obs_metrics(spark, sf):
     return normalize.metrics(raw, _index(spark, sf)).select("case_id", "entity_id", "ts", "text")
 
 
+VALUE = "CASE l_linenumber % 6 WHEN 0 THEN CAST(NULL AS DOUBLE) WHEN 1 THEN CAST(l_quantity AS DOUBLE) * 1e7 WHEN 2 THEN CAST(l_quantity AS DOUBLE) / 1e6 WHEN 3 THEN CAST(l_orderkey AS DOUBLE) * 1e12 WHEN 4 THEN CAST(l_quantity AS DOUBLE) * 1e15 ELSE CAST(l_quantity AS DOUBLE) / -4e0 END"
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, '[metric] ' || s_name || ' reading=' || coalesce(CAST(v AS VARCHAR), 'nan') AS text
+FROM (SELECT l_orderkey, l_linenumber, l_suppkey, {VALUE} AS v FROM lineitem) l JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey""")
+def metric_values(spark, sf):
+    """Readings that are missing, tiny or large, as text."""
+    raw = view(spark, sf, f"""SELECT 'r' || n_regionkey AS case_id, l_orderkey, l_linenumber, 'supplier:' || s_suppkey AS entity_id, s_name AS entity_name, CAST(NULL AS STRING) AS service, 'reading' AS metric,
+      {VALUE} AS value, CAST(NULL AS BIGINT) AS time FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey""")
+    keyed = raw.withColumn("row_ord", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    out = normalize.metrics(keyed, _index(spark, sf))
+    return out.select(F.expr("row_ord div 10").alias("l_orderkey"), F.expr("cast(row_ord % 10 as int)").alias("l_linenumber"), "text")
+
+
 @query(r"""SELECT case_id, doc_id AS row_ord, 'supplier:' || (doc_id % 10) AS entity_id, '[log:' || regexp_extract(line, '\b(TRACE|DEBUG|INFO|WARN|WARNING|ERROR|FATAL|Exception)\b', 1) || '] ' || s_name || ': ' || line AS text
 FROM (SELECT 'r' || n_regionkey AS case_id, doc_id, s_name, CASE doc_id % 3 WHEN 0 THEN 'ERROR ' WHEN 1 THEN 'no WARNING: ' ELSE 'INFORMED ' END || text AS line
 FROM documents JOIN supplier ON s_suppkey = doc_id % 10 JOIN nation ON n_nationkey = s_nationkey) x""")

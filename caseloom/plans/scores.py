@@ -1,10 +1,10 @@
-"""Queries of the evaluation operators (G), and the flagship query."""
+"""Queries of the evaluation operators (G)."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import evaluate, graph, resolve, retrieve, summarize
+from ..operators import evaluate, graph, resolve, summarize
 from .graphs import ROLLUP, TARGETS, reach
 from .ingest import INDEX
 from .registry import query
@@ -169,18 +169,3 @@ def system_grid(spark, sf):
 def leaderboard(spark, sf):
     out = evaluate.leaderboard(_grid(spark, sf))
     return out.select("system", *[F.round(c, 9).alias(c) for c in COLUMNS.split(", ")])
-
-
-@query()
-def top_entities(spark, sf):
-    """Flagship: for each case the eight entities around its alert with the best evidence.
-
-    Search around the seed, PageRank, fusion with the hits, buckets: all cases at once.
-    """
-    e, x, s = (view(spark, sf, v) for v in ("fx_entities", "fx_edges", "fx_seed"))
-    inside = graph.candidate_nodes(graph.nodes_of(e, x), x, s)
-    ranked = graph.personalized_pagerank(inside.select("case_id", "entity_id"), graph.induced(x, inside), s, iterations=20)
-    kept = retrieve.topology_filter(view(spark, sf, "fx_hits"), inside)
-    fused = retrieve.first_query_wins(retrieve.fuse(kept, graph.top_scores(ranked)))
-    buckets = summarize.entity_buckets(fused)
-    return buckets.select("case_id", "entity_rank", "entity_id", "items", F.round("best", 6).alias("best"))

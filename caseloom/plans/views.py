@@ -60,6 +60,8 @@ FROM events JOIN customer ON c_custkey = user_id JOIN nation ON n_nationkey = c_
 UNION ALL
 SELECT 'r' || n_regionkey, 'alerts', 4, event_id, 'host:' || user_id, ts, '[alert:firing] ' || event_type, 'alerts'
 FROM events JOIN customer ON c_custkey = user_id JOIN nation ON n_nationkey = c_nationkey WHERE event_type = 'error'""",
+    "fx_rows": """
+SELECT case_id, modality, mod_ord, CAST(row_number() OVER (PARTITION BY case_id, mod_ord ORDER BY row_ord, entity_id NULLS FIRST, text, ts) AS BIGINT) AS row_ord, entity_id, ts, text, source_file FROM fx_obs""",
     "fx_names": """
 SELECT 'r' || n_regionkey AS case_id, n_name AS name FROM nation
 UNION SELECT 'r' || n_regionkey, s_name FROM supplier JOIN nation ON n_nationkey = s_nationkey

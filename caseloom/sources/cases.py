@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import iso_timestamp, present, tag_attribute
+from ..functions.scalars import iso_timestamp, json_map, present, tag_attribute
 
 #: Fixed column names of the telemetry files.
 TELEMETRY = {
@@ -146,3 +146,17 @@ def profile(df: DataFrame) -> DataFrame:
     counts = df.agg(F.count(F.lit(1)).alias("__rows"), *[F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in df.columns])
     entries = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(t).alias("type"), F.col("__rows").alias("rows"), F.col(f"`{c}`").alias("nulls")) for c, t in df.dtypes])
     return counts.select(F.explode(entries).alias("e")).select("e.*")
+
+
+def profile_topology(raw: DataFrame) -> DataFrame:
+    """Top-level keys of each case's topology: case_id, key, n (length of a list, else null), head.
+
+    ``raw``: case_id, value (a JSON object). ``head`` is the start of the value.
+    """
+    keyed = raw.select("case_id", F.explode(json_map(F.col("value"))).alias("key", "value"))
+    return keyed.select("case_id", "key", F.json_array_length("value").alias("n"), F.substring("value", 1, 1000).alias("head"))
+
+
+def first_row(df: DataFrame, *order: str) -> DataFrame:
+    """The first row in the given order, as JSON."""
+    return df.orderBy(*order).limit(1).select(F.to_json(F.struct(*df.columns)).alias("first_row"))

@@ -152,3 +152,39 @@ def test_shortlist_by_text(spark):
     t = spark.createDataFrame([("a", "slow disk, slow writes"), ("b", " "), ("c", "cpu and dns lookups fail")], "case_id string, text string")
     got = [(r.case_id, r.slug) for r in retrieve.shortlist(t, d, 2).orderBy("case_id", "rank").collect()]
     assert got == [("a", "F1-disk"), ("c", "F2-dns"), ("c", "F3-cpu")]
+
+
+def test_ranking_falls_back_to_the_whole_graph(spark):
+    x = edges(spark, ("a", "b"), ("b", "c"), ("d", "c"), ("x", "y"))
+    nodes = graph.nodes_of(entities(spark, ("a", "x", None, None)), x)
+    inside, scores = graph.ranked_entities(nodes, x, seed(spark, "a"), hops=2)
+    assert {r.entity_id for r in inside.collect()} == {"a", "b", "c"}
+    assert scores.where("rank = 1").first().graph_score == 1.0
+    for lost in (None, "foreign"):
+        inside, scores = graph.ranked_entities(nodes, x, spark.createDataFrame([("c", lost)], "case_id string, entity_id string"))
+        assert {r.entity_id for r in inside.collect()} == {"a", "b", "c", "d", "x", "y"}
+        want = graph.top_scores(graph.global_pagerank(nodes, x))
+        assert [(r.entity_id, r.score) for r in scores.orderBy("rank").collect()] == [(r.entity_id, pytest.approx(r.score)) for r in want.orderBy("rank").collect()]
+
+
+def test_pagerank_tries_again_with_a_wider_tolerance(spark):
+    x = edges(spark, *[(f"n{i}", f"n{i + 1}") for i in range(12)])
+    nodes = graph.nodes_of(entities(spark, ("n0", "x", None, None)), x)
+    got = graph.personalized_pagerank(nodes, x, seed(spark, "n0"), max_iterations=10, tolerance=0.0, retry=(40, 1e-4))
+    want = graph.personalized_pagerank(nodes, x, seed(spark, "n0"), max_iterations=40, tolerance=1e-4, retry=None)
+    assert {r.entity_id: r.score for r in got.collect()} == pytest.approx({r.entity_id: r.score for r in want.collect()})
+
+
+def test_search_ends_when_all_are_found(spark):
+    x = edges(spark, *[(f"n{i}", f"n{i + 1}") for i in range(9)])
+    pairs = graph.undirected(x)
+    assert graph.bfs(pairs, seed(spark, "n0"), 9, wanted=seed(spark, "n2")).count() == 3
+    assert graph.bfs(pairs, seed(spark, "n0"), 9, wanted=seed(spark, "gone")).count() == 10
+    assert [r.hop for r in graph.path_lengths(x, seed(spark, "n3", "gone"), seed(spark, "n0")).collect()] == [3]
+
+
+def test_names_stand_in_for_target_ids(spark):
+    schema = "case_id string, target_entity_ids array<string>, target_entities array<struct<entity_id:string,entity_name:string>>"
+    truth = spark.createDataFrame([("a", None, [("", "pay")]), ("b", [], [("e1", "pay")]), ("c", ["e2"], [("e1", "pay")]), ("d", None, None)], schema)
+    found = spark.createDataFrame([("e", 0, "x")], "case_id string, pos int, entity_id string")
+    assert {r.case_id: r.targets for r in evaluate.target_ids(truth, found).collect()} == {"a": ["pay"], "b": ["e1"], "c": ["e2"], "d": []}

@@ -50,3 +50,10 @@ def test_5xx_matches_anywhere(spark):
     assert one(spark, "duration=1500.0ms status=OK", scalars.is_error)
     assert not one(spark, "all fine 499", scalars.is_error)
     assert one(spark, "F014-x.abc.d", scalars.fault_slug) == "F014-x"
+
+
+def test_numbers_as_text(spark):
+    values = [0.0, -0.0, 1.0, 50.0, -2.5, 0.001, 0.00099, 1e-4, 1.25e-4, 1e-5, -3.75e-7, 9999999.0, 1e7, 12345678.5, -1.5e10, 123456789012345.0, 1e15, 1e16, 1.5e16, 2.5e120, 1e-120, float("inf"), float("-inf"), float("nan"), None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    got = [r.x for r in df.orderBy("i").select(scalars.number_text(F.col("v")).alias("x")).collect()]
+    assert got == ["nan" if v is None else repr(v) for v in values]
