@@ -87,11 +87,11 @@ def chain_overlap(predicted: DataFrame, truth: DataFrame) -> DataFrame:
 def checkpoint_hits(points: DataFrame, evidence: DataFrame) -> DataFrame:
     """Share of checkpoints whose signal stands in any evidence text: case_id, system, rate."""
     signals = points.groupBy("case_id", F.lower(F.coalesce("signal", F.lit(""))).alias("signal")).agg(F.count(F.lit(1)).alias("n"))
-    texts = evidence.select("case_id", "system", F.lower("text").alias("text")).distinct()
-    hits = texts.join(signals.where("signal <> ''"), "case_id").where("contains(text, signal)").select("case_id", "system", "signal", "n").distinct()
+    seen = evidence.select("case_id", "system", "text")
+    hits = seen.join(signals.where("signal <> ''"), "case_id").where("contains(lower(text), signal)").select("case_id", "system", "signal", "n").distinct()
     total = signals.groupBy("case_id").agg(F.sum("n").alias("total"))
     hit = hits.groupBy("case_id", "system").agg(F.sum("n").alias("hit"))
-    return texts.select("case_id", "system").distinct().join(hit, ["case_id", "system"], "left").join(total, "case_id", "left").select(
+    return seen.select("case_id", "system").distinct().join(hit, ["case_id", "system"], "left").join(total, "case_id", "left").select(
         "case_id", "system", F.coalesce(F.col("hit") / F.col("total"), F.lit(0.0)).alias("checkpoint_rate")
     )
 

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from ..session import stage
 
+#: Rows of scores (ids and a number) up to which a round broadcasts them; beyond that it joins by shuffle.
+BROADCAST_ROWS = 200_000
+
 
 def nodes_of(entities: DataFrame, edges: DataFrame) -> DataFrame:
     """Entities and the ends of edges, which may have no entity."""
@@ -36,7 +39,9 @@ def bfs(pairs: DataFrame, seeds: DataFrame, hops: int, wanted: DataFrame | None
         seeds = seeds.withColumn("rank", F.lit(0).cast("bigint"))
     start = seeds.select("case_id", "entity_id", F.col("entity_id").alias("origin"), F.col("rank").cast("bigint").alias("rank")).distinct()
     seen = frontier = stage(start.withColumn("hop", F.lit(0)), "bfs")
-    wanted = None if wanted is None else stage(wanted.select("case_id", "entity_id").distinct(), "wanted")
+    if wanted is not None:  # ids without an edge can't be found, so they aren't waited for
+        ends = pairs.select("case_id", F.col("a").alias("entity_id")).distinct()
+        wanted = stage(wanted.select("case_id", "entity_id").distinct().join(ends, ["case_id", "entity_id"], "left_semi"), "wanted")
     for hop in range(1, hops + 1):
         if wanted is not None and wanted.join(seen, ["case_id", "entity_id"], "left_anti").isEmpty():
             break
@@ -87,13 +92,14 @@ def personalized_pagerank(
     )
     restart = one.select("case_id", F.col("b").alias("entity_id"), F.lit(1 - alpha).alias("score"))
     size = F.count(F.lit(1)).over(_case())
-    rank = nodes.select("case_id", "entity_id", (1 / size).alias("score"))
+    rank = stage(nodes.select("case_id", "entity_id", (1 / size).alias("score")), "ppr")
+    small = F.broadcast if rank.count() <= BROADCAST_ROWS else lambda df: df
     done, most = 0, iterations if iterations is not None else max_iterations
     while done < most:
         last = rank
         for i in range(min(10, most - done)):
             last = rank
-            sent = links.join(rank.select("case_id", F.col("entity_id").alias("a"), "score"), ["case_id", "a"]).select(
+            sent = links.join(small(rank.select("case_id", F.col("entity_id").alias("a"), "score")), ["case_id", "a"]).select(
                 "case_id", F.col("b").alias("entity_id"), (alpha * F.col("score") / F.col("degree")).alias("score")
             )
             rank = sent.unionByName(restart).groupBy("case_id", "entity_id").agg(F.sum("score").alias("score"))
@@ -151,9 +157,10 @@ def global_pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, ite
     )
     links = stage(arcs.join(base.select("case_id", F.col("entity_id").alias("src"), "degree"), ["case_id", "src"]), "pagerank")
     rank = base.select("case_id", "entity_id", (1 / F.col("size")).alias("score"))
+    small = F.broadcast if base.count() <= BROADCAST_ROWS else lambda df: df
     for _ in range(iterations):
         sent = (
-            links.join(rank.select("case_id", F.col("entity_id").alias("src"), "score"), ["case_id", "src"])
+            links.join(small(rank.select("case_id", F.col("entity_id").alias("src"), "score")), ["case_id", "src"])
             .groupBy("case_id", F.col("dst").alias("entity_id"))
             .agg(F.sum(F.col("score") / F.col("degree")).alias("got"))
         )
