@@ -230,7 +230,8 @@ def _examples(plain: DataFrame, labels: DataFrame, id_col: str, label_col: str)
     rows = plain.join(F.broadcast(sample), "doc_id").withColumn("own", F.xxhash64("text")).dropDuplicates(["doc_id", "own"])
     # Ids that several texts share may bring more rows than ids.
     first = lambda y: rows.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id", "own").limit(EXAMPLES)
-    return stage(first(0).unionByName(first(1)).select("doc_id", "text", "label"), "toxicity-examples"), totals
+    chosen = first(0).unionByName(first(1)).select("doc_id", "text", "label")
+    return stage(chosen.repartition(-(-2 * EXAMPLES // 500), "doc_id"), "toxicity-examples"), totals
 
 
 def _raw_votes(model: Model, examples: DataFrame) -> np.ndarray:
