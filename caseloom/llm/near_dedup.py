@@ -37,6 +37,8 @@ WORDS = HASHES // LANES
 MARGIN = 5.0
 #: Members of a bucket, and strays, that one group holds against each other, and shingles of either.
 CHUNK, CHUNK_SHINGLES = 2048, 1 << 21
+#: Bits of the map of rows whose sets are built (16 MB), in pages as Spark's bitmaps have them.
+MARK_BITS, _PAGE = 1 << 27, 1 << 15
 
 _RNG = np.random.default_rng(0x5EED)
 _MUL = (_RNG.integers(0, 1 << 32, HASHES, np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
@@ -170,6 +172,20 @@ def _strays(members: DataFrame, least: int, percent: int) -> DataFrame:
     return members.groupBy("key", "part", "chunk").applyInPandas(hold, "a long, b long").distinct()
 
 
+def _marked(rows: DataFrame, wanted: DataFrame, key: list[str]) -> DataFrame:
+    """``rows`` without most of those whose key isn't in ``wanted``, before they are shuffled.
+
+    Hashes of the wanted keys set bits in a broadcast map of MARK_BITS bits, whatever the
+    number of keys. Where very many are wanted it lets more rows through, never fewer.
+    """
+    bit = F.pmod(F.xxhash64(*key), F.lit(MARK_BITS))
+    page, at = F.floor(bit / _PAGE).cast("int"), F.pmod(bit, F.lit(_PAGE))
+    marks = wanted.groupBy(page.alias("page")).agg(F.bitmap_construct_agg(at).alias("marks"))
+    set_ = F.expr("shiftright(cast(conv(hex(substring(marks, cast(bit_at div 8 as int) + 1, 1)), 16, 10) as int), cast(bit_at % 8 as int)) & 1 = 1")
+    placed = rows.withColumn("page", page).withColumn("bit_at", at).join(F.broadcast(marks), "page")
+    return placed.where(set_).select(*rows.columns)
+
+
 def near_dedup(
     docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", with_rows: bool = False
 ) -> DataFrame:
@@ -216,7 +232,7 @@ def near_dedup(
 
     # Full sets of the nodes that share a bucket, built once, from one row of each.
     wanted = stage(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "at.*"), "near-wanted")
-    texts = plain.join(wanted, ["doc_id", "row"]).select("node", "text")
+    texts = _marked(plain, wanted, ["doc_id", "row"]).join(wanted, ["doc_id", "row"]).select("node", "text")
     sets = stage(_sets(texts, words).dropDuplicates(["node"]), "near-sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
