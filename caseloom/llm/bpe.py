@@ -21,76 +21,128 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text whose words are held at once.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 8 << 20
 #: Words whose ids a Python worker keeps between chunks; it starts anew beyond that.
 KEPT_WORDS = 400_000
 
 
-def replay(words: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
+class Merges:
+    """Which token two neighbouring tokens make, for arrays of them."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+        self.single = np.array([ranks[bytes([b])] for b in range(256)])
+        pairs = [
+            ((left << 32) | right, r)
+            for token, r in ranks.items()
+            for k in range(1, len(token))
+            if (left := ranks.get(token[:k])) is not None and (right := ranks.get(token[k:])) is not None
+        ]
+        pairs.sort()
+        self.pair, self.rank = (np.array(x, np.int64) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(1, np.int64) - 1, np.zeros(1, np.int64))
+
+    def of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of the token that each pair makes, NONE if it makes none."""
+        key = (left << 32) | right
+        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+        return np.where(self.pair[at] == key, self.rank[at], NONE)
+
+
+NONE = np.iinfo(np.int64).max
+
+
+def _together(p, own, r, token, after, before, merges) -> np.ndarray:
+    """Which of the places ``p`` (ascending, of the words ``own``) merge now.
+
+    Of places that overlap every second one stands back. A word's places merge from the
+    left as long as no pair of rank ``r`` or lower comes up beside them.
+    """
+    linked = np.r_[False, after[p[:-1]] == p[1:]]
+    head = np.maximum.accumulate(np.where(linked, 0, np.arange(len(p))))
+    out = (np.arange(len(p)) - head) % 2 == 0
+    s, own = p[out], own[out]
+    q, left = after[s], before[s]
+    right = after[q]
+    merged = np.r_[False, (q[:-1] == left[1:]) & (left[1:] >= 0)]
+    beside = np.where(merged, r, token[left])
+    low = (left >= 0) & (merges.of(beside, np.full(len(s), r)) <= r)
+    low |= (right >= 0) & (merges.of(np.full(len(s), r), token[right]) <= r)
+    before_it = np.cumsum(low) - low
+    start = np.r_[True, own[1:] != own[:-1]]
+    out[out] = before_it == np.maximum.accumulate(np.where(start, before_it, 0))
+    return out
+
+
+def replay(words: list[bytes], merges: Merges) -> list[list[int]]:
     """Ids of each word: the lowest-ranked pair is merged first, the leftmost of equals.
 
     All words lie in one array of parts. ``places`` is the inverted index: rank of a pair
-    -> positions of its left part. Positions that a merge has changed since are skipped.
-    A word that is itself a token is that token.
+    -> positions of its left part. In rank order, all words that have the pair merge it at
+    once and look at the neighbours of the merged places only. Where a pair of no higher
+    rank comes up in a word, its places further right come again after that. Positions
+    that a merge has changed since are skipped. A word that is itself a token is that token.
     """
+    ranks = merges.ranks
     out: list[list[int]] = [[ranks[w]] if w in ranks else [] for w in words]
     todo = [i for i, ids in enumerate(out) if not ids and words[i]]
-    parts: list[bytes | None] = []
-    nxt: list[int] = []
-    prv: list[int] = []
-    first: list[int] = []
-    places: dict[int, list[int]] = {}
-    single = [bytes([b]) for b in range(256)]
-    rank_of = ranks.get
-    for i in todo:
-        w, at = words[i], len(parts)
-        first.append(at)
-        end = at + len(w) - 1
-        for j, b in enumerate(w, at):
-            parts.append(single[b])
-            prv.append(j - 1 if j > at else -1)
-            nxt.append(j + 1 if j < end else -1)
-            if j < end and (r := rank_of(w[j - at : j - at + 2])) is not None:
-                if r in places:
-                    places[r].append(j)
-                else:
-                    places[r] = [j]
+    if not todo:
+        return out
+    sizes = np.array([len(words[i]) for i in todo])
+    token = merges.single[np.frombuffer(b"".join([words[i] for i in todo]), np.uint8)]
+    n, ends = len(token), np.cumsum(sizes)
+    word = np.repeat(np.arange(len(todo)), sizes)
+    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    after[ends - 1] = before[ends - sizes] = -1
+    rank, alive = np.full(n, NONE), np.ones(n, bool)
+    inner = np.flatnonzero(after >= 0)
+    rank[inner] = merges.of(token[inner], token[inner + 1])
+    start = inner[rank[inner] < NONE]
+    start = start[np.argsort(rank[start], kind="stable")]
+    cuts = np.flatnonzero(np.diff(rank[start])) + 1
+    places: dict[int, list[int]] = {int(rank[at[0]]): at.tolist() for at in np.split(start, cuts) if len(at)}
     heap = list(places)
     heapq.heapify(heap)
     while heap:
-        rank = heapq.heappop(heap)
-        todo_at = sorted(places.pop(rank, ()))
-        for k, p in enumerate(todo_at):
-            left, q = parts[p], nxt[p]
-            if left is None or q < 0 or rank_of(left + parts[q]) != rank:
+        r = heapq.heappop(heap)
+        p = np.array(places.pop(r))
+        p = p[rank[p] == r]
+        if len(p) > 1:
+            p.sort()
+            p = p[np.r_[True, p[1:] != p[:-1]]]
+            own = word[p]
+            if (own[1:] == own[:-1]).any():
+                first = _together(p, own, r, token, after, before, merges)
+                if not first.all():
+                    places[r] = p[~first].tolist()
+                    heapq.heappush(heap, r)
+                    p = p[first]
+        elif not len(p):
+            continue
+        q = after[p]
+        right = after[q]
+        token[p], rank[q], alive[q], after[p] = r, NONE, False, right
+        rank[p] = NONE
+        some = right >= 0
+        there, right = p[some], right[some]
+        before[right] = there
+        rank[there] = merges.of(token[there], token[right])
+        left = before[p]
+        left = left[left >= 0]
+        rank[left] = merges.of(token[left], token[after[left]])
+        touched = np.concatenate([left, there])
+        for at, new in zip(touched.tolist(), rank[touched].tolist(), strict=True):
+            if new == NONE:
                 continue
-            parts[p], parts[q] = left + parts[q], None
-            after = nxt[p] = nxt[q]
-            if after >= 0:
-                prv[after] = p
-            lower = False
-            for a, b in ((prv[p], p), (p, after)):
-                if a >= 0 and b >= 0 and (r := rank_of(parts[a] + parts[b])) is not None:
-                    if r in places:
-                        places[r].append(a)
-                    else:
-                        places[r] = [a]
-                        heapq.heappush(heap, r)
-                    lower |= r <= rank
-            if lower:  # a pair of no higher rank has come up: it goes first
-                rest = todo_at[k + 1 :]
-                if rest:
-                    if rank in places:
-                        places[rank].extend(rest)
-                    else:
-                        places[rank] = rest
-                        heapq.heappush(heap, rank)
-                break
-    for i, p in zip(todo, first, strict=True):
-        ids = out[i]
-        while p >= 0:
-            ids.append(ranks[parts[p]])
-            p = nxt[p]
+            if new in places:
+                places[new].append(at)
+            else:
+                places[new] = [at]
+                heapq.heappush(heap, new)
+    ids, bounds = token[alive].tolist(), np.cumsum(np.bincount(word[alive], minlength=len(todo))).tolist()
+    lo = 0
+    for i, hi in zip(todo, bounds, strict=True):
+        out[i] = ids[lo:hi]
+        lo = hi
     return out
 
 
@@ -105,6 +157,7 @@ class Codec:
 
     def __init__(self, ranks_path: str, pattern: str):
         self.ranks = load_ranks(ranks_path)
+        self.merges = Merges(self.ranks)
         self.split = regex.compile(pattern).findall
         self.ids: dict[str, tuple[int, ...]] = {}
         self.token = {i: b for b, i in self.ranks.items()}
@@ -117,7 +170,7 @@ class Codec:
             self.ids.clear()
             new = set().union(*cut)
         fresh = list(new)
-        self.ids.update(zip(fresh, replay([w.encode() for w in fresh], self.ranks), strict=True))
+        self.ids.update(zip(fresh, replay([w.encode() for w in fresh], self.merges), strict=True))
         get = self.ids.__getitem__
         for words in cut:
             ids: list[int] = []

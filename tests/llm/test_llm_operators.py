@@ -474,7 +474,9 @@ def test_replayed_merges_match_on_random_bytes():
     found = ["".join(r.choice("aabcdeh tionsr .'é日\u0301") for _ in range(r.randrange(1, 40))) for _ in range(1500)] + ["a" * 97, "the" * 50, " " * 33]
     codec = bpe.Codec(RANKS, public_tokenizers.PATTERN)
     assert list(codec.encode(found)) == [enc.encode_ordinary(t) for t in found]
-    assert bpe.replay([b"", b"the"], ranks) == [[], [ranks[b"the"]]]
+    assert bpe.replay([b"", b"the"], bpe.Merges(ranks)) == [[], [ranks[b"the"]]]
+    long = "".join(r.choice("ab") for _ in range(3000)) + "a" * 50_000
+    assert list(codec.encode([long])) == [enc.encode_ordinary(long)]
 
 
 def test_packing_is_whole_and_full(docs, none):

@@ -246,3 +246,27 @@ def test_rules_are_those_of_plain_covering(spark):
     assert [[c[:2] for c in rule] for rule in got] == [[c[:2] for c in rule] for rule in want]
     assert [c[2] for rule in got for c in rule] == pytest.approx([c[2] for rule in want for c in rule], abs=1e-9)
     assert len(want) >= 2 and max(map(len, want)) >= 2
+
+
+@there
+def test_packed_ids_are_those_of_the_vocabulary_file(spark):
+    """The encoder of the packing gives the ids of ``tokenizers`` for every document and odd strings."""
+    tokenizers = pytest.importorskip("tokenizers")
+    slow = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    texts += ["", " ", "\n\n \t", "é日本 \x1c\x85​", "a" * 5000, "it's we'll I'D", "  two  spaces ", "<|endoftext|> in <|endoftext|>", "́́", "🙂🙃 x", "12345 67.8,9"]
+    special = {"<|endoftext|>": 50256}
+    fast = packing.encoder(RANKS, public_tokenizers.PATTERN, tuple(special.items()))
+    for t in texts:
+        ids = fast.encode(t, allowed_special="all") if any(m in t for m in special) else fast.encode_ordinary(t)
+        assert ids == slow.encode(t, add_special_tokens=False).ids
+
+
+def test_marks_let_all_wanted_rows_through(spark, monkeypatch):
+    rows = spark.range(3000).selectExpr("id as doc_id", "cast(id as string) as row", "'t' as text")
+    wanted = rows.where("doc_id % 7 = 0").select("doc_id", "row")
+    for bits, most in ((1 << 27, 10), (1 << 15, 100), (64, 3000)):
+        monkeypatch.setattr(near_dedup, "MARK_BITS", bits)
+        got = {r.doc_id for r in near_dedup._marked(rows, wanted, ["doc_id", "row"]).collect()}
+        want = set(range(0, 3000, 7))
+        assert want <= got and len(got - want) <= most

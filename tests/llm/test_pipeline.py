@@ -74,3 +74,79 @@ def test_empty_table(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def without_repeats(rows):
+    """Texts (ASCII) less what a 50-byte string of a smaller id covers, by force."""
+    first, out = {}, {}
+    for i, t in sorted(rows):
+        for p in range(len(t) - 49):
+            first.setdefault(t[p : p + 50], i)
+    for i, t in rows:
+        gone = [False] * len(t)
+        for p in range(len(t) - 49):
+            if first[t[p : p + 50]] < i:
+                gone[p : p + 50] = [True] * 50
+        out[i] = "".join(c for c, g in zip(t, gone, strict=True) if not g)
+    return out
+
+
+def test_stages_as_by_force(spark, tmp_path):
+    """Each stage against a plain version on its own input, one after the other."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    import public_tokenizers
+    import tokenizers
+    from test_llm_operators import components_by_force
+    from test_llm_whole import toxicity_by_force
+
+    r = random.Random(17)
+    pool, bad, good = [f"w{i}" for i in range(400)], [f"vile{i}" for i in range(6)], [f"kind{i}" for i in range(6)]
+    rows, labels = [], {}
+    for i in range(150):
+        w = [r.choice(pool) for _ in range(70)]
+        for _ in range(4):
+            w[r.randrange(70)] = r.choice(bad if i % 3 == 0 else good)
+        rows.append((i, " ".join(w)))
+        labels[i] = int(i % 3 == 0)
+    passage = " ".join(r.choice(pool) for _ in range(60))
+    for i in range(200, 230):
+        base = rows[r.randrange(150)][1].split(" ")
+        kind = i % 4
+        if kind == 1:
+            base[r.randrange(70)] = f"edit{i}"
+        if kind == 2:
+            base = [*base[:30], passage, *base[30:], *(r.choice(pool) for _ in range(40))]
+        rows.append((i, (" " if kind else "  ").join(base)))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    spark.createDataFrame([(i, 1, y) for i, y in labels.items()], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    at = {i: t for i, t in rows}
+
+    def run(k):
+        nonlocal docs
+        out = pipeline.STAGES[k][1](spark, docs, str(tmp_path))
+        out.write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        return docs
+
+    scores = toxicity_by_force(list(at.items()), labels)
+    at = {i: t for i, t in at.items() if scores[i] < 0.3}
+    assert {x.doc_id: x.text for x in run(0).collect()} == at
+    norm = {}
+    for i in sorted(at):
+        norm.setdefault(" ".join(at[i].split()), i)
+    at = {i: at[i] for i in norm.values()}
+    assert {x.doc_id: x.text for x in run(1).collect()} == at
+    groups = components_by_force(list(at.items()), 5, 80)
+    at = {i: t for i, t in at.items() if groups[i][1] == i}
+    assert {x.doc_id: x.text for x in run(2).collect()} == at
+    at = without_repeats(list(at.items()))
+    assert {x.doc_id: x.text for x in run(3).collect()} == at
+    encoder = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    sizes = {i: len(encoder.encode(t, add_special_tokens=False).ids) + 1 for i, t in at.items()}
+    pieces = run(4).collect()
+    got = {}
+    for x in pieces:
+        assert x.doc_tokens == sizes[x.doc_id]
+        got.setdefault(x.doc_id, []).append((x.start, x.length))
+    for i, n in sizes.items():
+        assert sorted(got[i])[0][0] == 0 and sum(k for _, k in got[i]) == n
