@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, near_dedup, packing, quality, sharding, suffix_dedup, toxicity, url_filter, warc
+from . import bpe, divergence, exact_dedup, near_dedup, packing, pieces, quality, resampling, sharding, suffix_dedup, toxicity, url_filter, warc
 from .common import table
 
 
@@ -53,8 +53,24 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.op10(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.piece_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_url_filter, op3_toxicity, op4_minhash, op5_warc, op6_suffix_dedup, op7_quality_rules, op8_exact_dedup, op9_byte_bpe, op10_packing)}
+    every = (
+        op1_sharding, op2_url_filter, op3_toxicity, op4_minhash, op5_warc, op6_suffix_dedup, op7_quality_rules, op8_exact_dedup,
+        op9_byte_bpe, op10_packing, op11_pieces, op12_divergence, op13_resampling,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -63,4 +79,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_warc": warc.ORACLE_SQL,
         "op6_suffix_dedup": suffix_dedup.ORACLE_SQL,
         "op8_exact_dedup": exact_dedup.ORACLE_SQL,
+        "op12_divergence": divergence.ORACLE_SQL,
+        "op13_resampling": resampling.ORACLE_SQL,
     }
