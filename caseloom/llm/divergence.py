@@ -83,55 +83,60 @@ def kept_terms(counted: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
 
 def _p(n: str, size: str) -> str:
     """A group's share of a term with ``n`` of its occurrences; ``size`` is N + V, null where there are no terms."""
-    return f"1 + (cast({n} + 1 as decimal(20,0)) * {SCALE}) div {size}"
+    whole = f"({n} + 1) * {SCALE} div {size}"  # in long numbers as far as they reach
+    return f"1 + case when {n} < 9000000000 then {whole} else (cast({n} + 1 as decimal(20,0)) * {SCALE}) div {size} end"
 
 
 def _f(p: str, q: str) -> str:
     return f"(({p} - {q}) * ({p} - {q})) div {q}"
 
 
-def group_sizes(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """lang, source, v (kept terms of the language), size (N + V), p0 (share of a term that the group lacks)."""
+def like_counts(terms: DataFrame) -> DataFrame:
+    """lang, source, n, terms: how many terms stand ``n`` times in a group."""
+    each = terms.select("lang", F.explode("by_source").alias("s"))
+    return each.groupBy("lang", "s.source", "s.n").agg(F.count(F.lit(1)).alias("terms"))
+
+
+def group_sizes(docs: DataFrame, terms: DataFrame, alike: DataFrame) -> DataFrame:
+    """lang, source, v (kept terms of the language), size (N + V), p0 (share of a term that the group lacks), whole (size of the language)."""
     every = docs.select(_or_empty("lang").alias("lang"), _or_empty("source").alias("source")).distinct()
-    occurring = terms.select("lang", F.explode("by_source").alias("s")).groupBy("lang", "s.source").agg(F.sum("s.n").alias("n"))
-    v = terms.groupBy("lang").agg(F.count(F.lit(1)).alias("v"))
-    sized = every.join(occurring, ["lang", "source"], "left").join(v, "lang", "left").fillna(0, ["n", "v"])
-    return sized.select("lang", "source", "v", F.expr("nullif(n + v, 0) as size")).withColumn("p0", F.expr(_p("0", "size")))
+    occurring = alike.groupBy("lang", "source").agg(F.sum(F.col("n") * F.col("terms")).alias("n"))
+    of_lang = terms.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("n_lang"))
+    sized = every.join(occurring, ["lang", "source"], "left").join(of_lang, "lang", "left").fillna(0, ["n", "v", "n_lang"])
+    sized = sized.select("lang", "source", "v", F.expr("nullif(n + v, 0) as size"), F.expr("nullif(n_lang + v, 0) as whole"))
+    return sized.withColumn("p0", F.expr(_p("0", "size")))
 
 
-def source_pairs(terms: DataFrame, groups: DataFrame) -> DataFrame:
+def source_pairs(terms: DataFrame, alike: DataFrame, groups: DataFrame) -> DataFrame:
     """lang, source, item (another source of the language), value: f summed over all kept terms.
 
     Were all terms lacking in both, the sum would be V * f(p0, q0). Terms of one of the two
     correct that by their count, so by how many terms of a group have the same count; terms of
-    both correct it once more, and these are the only ones that are paired.
+    both correct it once more, and these are the only ones that are paired, once for both ways.
     """
     g = groups.select("lang", "source", "v", F.col("size").alias("gs"), F.col("p0").alias("g0"))
     h = groups.select("lang", F.col("source").alias("item"), F.col("size").alias("hs"), F.col("p0").alias("h0"))
     key = ["lang", "source", "item"]
     base = g.join(h, "lang").where("source <> item").select(*key, F.expr(f"coalesce(v * ({_f('g0', 'h0')}), 0) as value"))
-    each = terms.select("lang", F.explode("by_source").alias("s")).select("lang", "s.source", "s.n")
-    alike = each.groupBy("lang", "source", "n").agg(F.count(F.lit(1)).alias("terms"))
     mine = alike.join(g, ["lang", "source"]).withColumn("p", F.expr(_p("n", "gs"))).join(h, "lang").where("source <> item")
     mine = mine.groupBy(*key).agg(F.expr(f"sum(terms * ({_f('p', 'h0')} - {_f('g0', 'h0')})) as value"))
     other = alike.withColumnRenamed("source", "item").join(h, ["lang", "item"]).withColumn("q", F.expr(_p("n", "hs"))).join(g, "lang").where("source <> item")
     other = other.groupBy(*key).agg(F.expr(f"sum(terms * ({_f('g0', 'q')} - {_f('g0', 'h0')})) as value"))
     both = terms.where("size(by_source) > 1").select("lang", "by_source", F.explode("by_source").alias("a"))
-    both = both.select("lang", "a.source", F.col("a.n").alias("gn"), F.explode(F.filter("by_source", lambda x: x["source"] > F.col("a.source"))).alias("b"))
-    both = both.select("lang", "source", "gn", F.col("b.source").alias("item"), F.col("b.n").alias("hn")).join(g, ["lang", "source"]).join(h, ["lang", "item"])
-    both = both.withColumns({"p": F.expr(_p("gn", "gs")), "q": F.expr(_p("hn", "hs"))})
+    both = both.select("lang", "a.source", F.col("a.n").alias("n"), F.filter("by_source", lambda x: x["source"] > F.col("a.source")).alias("after"))
+    both = both.join(g, ["lang", "source"]).withColumn("p", F.expr(_p("n", "gs"))).select("lang", "source", "p", "g0", F.explode("after").alias("b"))
+    both = both.select("lang", "source", "p", "g0", F.col("b.source").alias("item"), F.col("b.n").alias("n")).join(h, ["lang", "item"]).withColumn("q", F.expr(_p("n", "hs")))
     there, back = (f"{_f(x, y)} - {_f(x, y0)} - {_f(x0, y)} + {_f(x0, y0)}" for x, x0, y, y0 in (("p", "g0", "q", "h0"), ("q", "h0", "p", "g0")))
     both = both.groupBy(*key).agg(F.expr(f"sum({there}) as there"), F.expr(f"sum({back}) as back"))
-    turned = both.select("lang", F.col("item").alias("source"), F.col("source").alias("item"), F.col("back").alias("value"))
-    parts = base.unionByName(mine).unionByName(other).unionByName(both.select(*key, F.col("there").alias("value"))).unionByName(turned)
-    return parts.groupBy(*key).agg(F.sum("value").alias("value"))
+    ways = F.explode(F.array(F.struct("source", "item", F.col("there").alias("value")), F.struct(F.col("item").alias("source"), F.col("source").alias("item"), F.col("back").alias("value"))))
+    both = both.select("lang", ways.alias("w")).select("lang", "w.source", "w.item", "w.value")
+    return base.unionByName(mine).unionByName(other).unionByName(both).groupBy(*key).agg(F.sum("value").alias("value"))
 
 
 def source_terms(terms: DataFrame, groups: DataFrame, most: int = TOP_TERMS) -> DataFrame:
     """lang, source, item (a term that the group uses more than its language), value, rank up to ``most``."""
-    whole = terms.groupBy("lang").agg((F.sum("n") + F.count(F.lit(1))).alias("whole"))
     each = terms.select("lang", F.col("term").alias("item"), F.col("n").alias("all"), F.explode("by_source").alias("s"))
-    each = each.select("lang", "s.source", "item", "all", "s.n").join(groups, ["lang", "source"]).join(whole, "lang")
+    each = each.select("lang", "s.source", "item", "all", "s.n").join(groups, ["lang", "source"])
     more = each.select("lang", "source", "item", F.expr(_p("n", "size")).alias("p"), F.expr(_p("all", "whole")).alias("q")).where("p > q")
     return _ranked(more.select("lang", "source", "item", F.expr(_f("p", "q")).alias("value"))).where(F.col("rank") <= most)
 
@@ -150,9 +155,10 @@ def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top_terms: int = T
     whatever their names. A hot source is summed in tasks first; its ranks are cut in tasks too.
     """
     terms = stage(kept_terms(group_terms(docs), least_docs), "divergence-terms")
-    groups = stage(group_sizes(docs, terms), "divergence-groups")
+    alike = stage(like_counts(terms), "divergence-counts")
+    groups = stage(group_sizes(docs, terms, alike), "divergence-groups")
     columns = ["lang", "source", "part", "item", "value", "rank"]
-    pairs = _ranked(source_pairs(terms, groups)).withColumn("part", F.lit("pair")).select(*columns)
+    pairs = _ranked(source_pairs(terms, alike, groups)).withColumn("part", F.lit("pair")).select(*columns)
     return pairs.unionByName(source_terms(terms, groups, top_terms).withColumn("part", F.lit("term")).select(*columns))
 
 
