@@ -119,8 +119,8 @@ class BlockMaxIndex:
             out += np.bincount(np.concatenate(doc) - lo * BLOCK, np.concatenate(share), minlength=len(out))
         return np.minimum(out, 1.0)
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
-        """(similarity, example) of the k nearest above 0, nearest first.
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """Similarities and examples of the k nearest above 0, nearest first, and of all as near as the k-th.
 
         The blocks of the highest bounds are looked at first; they give a similarity that
         the k-th nearest has at least. Then all blocks whose bounds reach it, in runs of
@@ -140,15 +140,15 @@ class BlockMaxIndex:
             best.append(score[at])
             found.append(at + lo * BLOCK)
         if not best:
-            return []
+            return np.zeros(0), np.zeros(0, np.int64)
         score, example = np.round(np.concatenate(best), 12), np.concatenate(found)
         score[example == without] = 0
         if len(score) > k:
             near = np.flatnonzero(score >= np.partition(score, -k)[-k])
             score, example = score[near], example[near]
-        near = np.lexsort((example, -score))[:k]
+        near = np.lexsort((example, -score))
         near = near[score[near] > 0]
-        return list(zip(score[near].tolist(), example[near].tolist(), strict=True))
+        return score[near], example[near]
 
 
 def _runs(blocks: np.ndarray, most: int = 4) -> list[tuple[int, int]]:
@@ -180,13 +180,10 @@ class Model:
     def vector(self, found: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         return unit(found, self.idf)
 
-    def vote(self, near: list[tuple[float, int]]) -> float:
+    def vote(self, similarity: np.ndarray, example: np.ndarray) -> float:
         """Weighted share of toxic neighbours, drawn a little towards the prior."""
-        for_, all_ = 0.2 * self.prior, 0.2
-        for s, i in near:
-            w = s * s * self.weights[i]
-            for_, all_ = for_ + w * self.labels[i], all_ + w
-        return for_ / all_
+        w = similarity * similarity * self.weights[example]
+        return float((0.2 * self.prior + w @ self.labels[example]) / (0.2 + w.sum()))
 
     def score(self, raw: float) -> float:
         return float(np.interp(raw, *self.knots))
@@ -243,7 +240,7 @@ def _raw_votes(model: Model, examples: DataFrame) -> np.ndarray:
         own = shared.value
         for batch in batches:
             at = batch.column(0).to_pylist()
-            raw = [own.vote(own.index.nearest(*own.index.vectors[i], NEIGHBOURS, without=i)) for i in at]
+            raw = [own.vote(*own.index.nearest(*own.index.vectors[i], NEIGHBOURS, without=i)) for i in at]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.float64())], names=["at", "raw"])
 
     n = model.index.size
@@ -340,8 +337,9 @@ def score(
 
     All other columns and their order stay; columns of the two names are replaced. Null and
     empty texts get the score of a text without any known term; whole texts of any length
-    are scored; repeated rows are scored each; an empty table gives no rows. No shuffle, so
-    no key can be hot.
+    are scored; repeated rows are scored each; an empty table gives no rows. All examples as
+    near as the last neighbour vote, so scores don't depend on ids. No shuffle, so no key can
+    be hot.
     """
     docs = docs.drop(score_col, evidence_col)
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
@@ -351,19 +349,24 @@ def score(
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         found_in = Vocabulary(own.terms).find
-        known: dict[tuple, list[tuple[float, int]]] = {}
+        known: dict[tuple, tuple[float, list]] = {}
         for batch in batches:
             out, evidence = [], []
             for text in batch.column(at):
                 found = found_in(text.as_py() or "")
                 key = tuple(sorted(found.items()))
-                near = known.get(key)
-                if near is None:
-                    near = own.index.nearest(*own.vector(found), NEIGHBOURS) if found else []
+                judged = known.get(key)
+                if judged is None:
+                    judged = own.none, []
+                    if found:
+                        near, which = own.index.nearest(*own.vector(found), NEIGHBOURS)
+                        if len(near):
+                            first = zip(near[:3].tolist(), which[:3].tolist(), strict=True)
+                            judged = own.score(own.vote(near, which)), [{"doc_id": own.ids[i], "similarity": x, "toxic": int(own.labels[i])} for x, i in first]
                     if len(key) <= 8 and len(known) < 20_000:  # short ones come again
-                        known[key] = near
-                out.append(own.score(own.vote(near)) if near else own.none)
-                evidence.append([{"doc_id": own.ids[i], "similarity": s, "toxic": int(own.labels[i])} for s, i in near[:3]])
+                        known[key] = judged
+                out.append(judged[0])
+                evidence.append(judged[1])
             cols = [*batch.columns, pa.array(out, pa.float64()), pa.array(evidence, kind)]
             yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names, score_col, evidence_col])
 
