@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -21,6 +21,8 @@ from .common import fresh_path, stage
 
 #: Payloads from this size on are stored once; equal ones revisit the first.
 REVISIT_BYTES = 100
+#: Bytes of unpacked payloads after which a reader hands on what it holds.
+UNPACKED_BYTES = 16 << 20
 
 
 def member(headers: list[tuple[str, str]], payload: bytes) -> bytes:
@@ -94,13 +96,17 @@ def write_archives(pages: DataFrame, folder: str, max_bytes: int = 64 << 20) ->
     return stage(pages.select(*columns).mapInArrow(write, schema), "warc-index")
 
 
-def read_records(index: DataFrame, folder: str, gap: int = 64 << 10, most: int = 4 << 20, span: int = 16 << 20) -> DataFrame:
-    """Records of the selected index rows, each checked against its digest.
+_RECORD = pa.schema(
+    [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())]
+)
 
-    Tasks take spans of ``span`` bytes of a file, so a large file is read by several, and
-    there are as many tasks as the selected bytes fill spans. Ranges at most ``gap`` apart are one read of at most ``most`` bytes (more for a record
-    that is longer itself).
-    """
+
+def range_reader(folder: str, gap: int, most: int, hold: int = UNPACKED_BYTES) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Reads the records of index rows sorted by file and offset; see ``read_records``."""
+
+    def records(out: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*out, strict=True)) or [()] * len(_RECORD)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _RECORD, strict=True)], schema=_RECORD)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -111,7 +117,7 @@ def read_records(index: DataFrame, folder: str, gap: int = 64 << 10, most: int =
             for batch in batches:
                 rows = batch.to_pylist()
                 out: list[tuple] = []
-                lo = 0
+                lo = held = 0
                 while lo < len(rows):
                     start, end, hi = rows[lo]["offset"], rows[lo]["offset"] + rows[lo]["length"], lo + 1
                     while (
@@ -129,6 +135,9 @@ def read_records(index: DataFrame, folder: str, gap: int = 64 << 10, most: int =
                         source = fs.open_input_file(f"{root}/{name}")
                     data = source.read_at(end - start, start)
                     for r in rows[lo:hi]:
+                        if held >= hold:
+                            yield records(out)
+                            out, held = [], 0
                         at = r["offset"] - start
                         headers, payload = parse(zlib.decompress(data[at : at + r["length"]], 31))
                         kind = headers["warc-type"]
@@ -141,15 +150,25 @@ def read_records(index: DataFrame, folder: str, gap: int = 64 << 10, most: int =
                         other = headers.get("warc-refers-to")
                         refers = int(other.removeprefix("<urn:page:").removesuffix(">")) if other else None
                         out.append((r["page_id"], n, digest, kind, refers, payload))
+                        held += len(payload)
+                    yield records(out)
+                    out, held = [], 0
                     lo = hi
-                cols = list(zip(*out, strict=True)) or [()] * 6
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=NAMES)
         finally:
             if source is not None:
                 source.close()
 
-    NAMES = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
+    return read
+
+
+def read_records(index: DataFrame, folder: str, gap: int = 64 << 10, most: int = 4 << 20, span: int = 16 << 20) -> DataFrame:
+    """Records of the selected index rows, each checked against its digest.
+
+    Tasks take spans of ``span`` bytes of a file, so a large file is read by several, and
+    there are as many tasks as the selected bytes fill spans. Ranges at most ``gap`` apart are one
+    read of at most ``most`` bytes (more for a record that is longer itself). Records leave the
+    task after each such range, and within it after UNPACKED_BYTES of payload.
+    """
     selected = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     ranges = (
         index.select("page_id", "file", "offset", "length", F.expr(f"offset div {span}").alias("span"))
@@ -158,7 +177,7 @@ def read_records(index: DataFrame, folder: str, gap: int = 64 << 10, most: int =
         .drop("span")
     )
     return ranges.mapInArrow(
-        read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
+        range_reader(folder, gap, most), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
     )
 
 
