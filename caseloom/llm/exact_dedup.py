@@ -40,24 +40,34 @@ def directory(keys: DataFrame, capacity: int, max_depth: int) -> DataFrame:
     return cells.select("cell", "bucket").join(fits.select("bucket"), "bucket").groupBy("cell").agg(F.min("bucket").alias("bucket"))
 
 
-def build_index(texts: DataFrame, probes: DataFrame, hot: DataFrame, capacity: int, depth: int) -> DataFrame:
+def written_directory(probes: DataFrame, capacity: int, depth: int) -> DataFrame:
+    """The directory of the keys of ``probes``, in the shared folder."""
+    keys = probes.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    return stage(directory(keys, capacity, depth), "exact-directory")
+
+
+def routed(rows: DataFrame, cells: DataFrame, depth: int) -> DataFrame:
+    """``rows`` (key) with the bucket that owns their key's range; a key that no bucket covers drops out.
+
+    Up to ``BROADCAST_DEPTH`` bits the directory is broadcast, beyond that it is joined by shuffle.
+    """
+    near = F.broadcast(cells) if depth <= BROADCAST_DEPTH else cells
+    return rows.withColumn("cell", F.shiftrightunsigned("key", 64 - depth)).join(near, "cell").drop("cell")
+
+
+def build_index(texts: DataFrame, probes: DataFrame, hot: DataFrame, capacity: int, depth: int, cells: DataFrame | None = None) -> DataFrame:
     """The index: bucket, key, norm, keep_id, group_size, chain (place among texts of that hash), chain_size.
 
     ``texts`` has id, key and norm, ``probes`` id and key. ``hot`` (a few keys) are summed
-    before they are sent to their owner. Up to ``BROADCAST_DEPTH`` bits the directory is
-    broadcast, beyond that it is joined by shuffle.
+    before they are sent to their owner. An owner writes its buckets one after the other, so
+    that a reader of one bucket skips the row groups of others.
     """
-    keys = probes.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    cells = stage(directory(keys, capacity, depth), "exact-directory")
-    cells = F.broadcast(cells) if depth <= BROADCAST_DEPTH else cells
+    cells = written_directory(probes, capacity, depth) if cells is None else cells
     marked = texts.join(F.broadcast(hot), "key", "left")
     warm = marked.where("hot").groupBy("key", "norm").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     cold = marked.where("hot is null").select("key", "norm", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     owned = (
-        cold.unionByName(warm)
-        .withColumn("cell", F.shiftrightunsigned("key", 64 - depth))
-        .join(cells, "cell")
-        .drop("cell")
+        routed(cold.unionByName(warm), cells, depth)
         .repartition("bucket")
         .groupBy("bucket", "key", "norm")
         .agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
@@ -67,7 +77,21 @@ def build_index(texts: DataFrame, probes: DataFrame, hot: DataFrame, capacity: i
         "row_number() over (partition by bucket, key order by norm) as chain",
         "count(1) over (partition by bucket, key) as chain_size",
     )
-    return stage(chained, "exact-index")
+    return stage(chained.sortWithinPartitions("bucket", "key"), "exact-index")
+
+
+def lookup(index: DataFrame, cells: DataFrame, probes: DataFrame, hot: DataFrame, depth: int) -> DataFrame:
+    """``probes`` (id, key, more) with keep_id and group_size, where the chain of their key has one text.
+
+    The directory leads a probe to its bucket; bucket and key to its entry. Entries of ``hot``
+    keys (a few) are broadcast, and the probes that have them aren't sent at all.
+    """
+    single = index.where("chain_size = 1").select("bucket", "key", "keep_id", "group_size")
+    marked = probes.join(F.broadcast(hot), "key", "left")
+    cold = routed(marked.where("hot is null").drop("hot"), cells, depth)
+    found = cold.join(single.join(F.broadcast(hot.select("key")), "key", "left_anti"), ["bucket", "key"]).drop("bucket")
+    frequent = single.drop("bucket").join(F.broadcast(hot.select("key")), "key")
+    return found.unionByName(marked.where("hot").drop("hot").join(F.broadcast(frequent), "key"))
 
 
 def normalised(text_col: str = "text") -> Column:
@@ -103,13 +127,10 @@ def exact_dedup(
         depth = max(1, math.ceil(math.log2(max(1, rows / capacity))) + 3)
     hot = probes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(2, -(-rows // hot_share)))
     hot = stage(hot.select("key", F.lit(True).alias("hot")), "exact-hot")
-    index = build_index(texts, probes, hot, capacity, depth)
+    cells = written_directory(probes, capacity, depth)
+    index = build_index(texts, probes, hot, capacity, depth, cells)
     entry = ["keep_id", "group_size"]
-    single = index.where("chain_size = 1").select("key", *entry)
-    marked = probes.join(F.broadcast(hot), "key", "left")
-    found = marked.where("hot is null").drop("hot").join(single.join(F.broadcast(hot.select("key")), "key", "left_anti"), "key")
-    frequent = single.join(F.broadcast(hot.select("key")), "key")  # hot_share rows at most
-    found = found.unionByName(marked.where("hot").drop("hot").join(F.broadcast(frequent), "key")).drop("key")
+    found = lookup(index, cells, probes, hot, depth).drop("key")
     if not index.where("chain_size > 1").isEmpty():  # texts that share a 64-bit hash
         chains = index.where("chain_size > 1").select("key", "norm", *entry)
         again = texts.join(chains, ["key", "norm"]).withColumn("text_sha256", F.sha2("norm", 256))
