@@ -17,7 +17,8 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text whose words are held at once.
@@ -155,9 +156,9 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Codec:
     """Encodes and decodes texts by one rank file and splitting pattern."""
 
-    def __init__(self, ranks_path: str, pattern: str):
-        self.ranks = load_ranks(ranks_path)
-        self.merges = Merges(self.ranks)
+    def __init__(self, ranks_path: str, pattern: str, merges: Merges | None = None):
+        self.merges = Merges(load_ranks(ranks_path)) if merges is None else merges
+        self.ranks = self.merges.ranks
         self.split = regex.compile(pattern).findall
         self.ids: dict[str, tuple[int, ...]] = {}
         self.token = {i: b for b, i in self.ranks.items()}
@@ -182,9 +183,21 @@ class Codec:
         return b"".join(map(self.token.__getitem__, ids))
 
 
-@functools.lru_cache(maxsize=2)
-def codec(ranks_path: str, pattern: str) -> Codec:
-    return Codec(ranks_path, pattern)
+_CODECS: dict[tuple[str, str], Codec] = {}
+
+
+def shared_merges(spark: SparkSession, ranks_path: str) -> Broadcast:
+    """The table of pairs, built once on the driver; it is as large as the vocabulary, whatever the corpus."""
+    return spark.sparkContext.broadcast(Merges(load_ranks(ranks_path)))
+
+
+def codec(shared: Broadcast, ranks_path: str, pattern: str) -> Codec:
+    """A worker's codec of the broadcast pairs; it keeps it, and the words that it has seen, for its next tasks."""
+    key = (ranks_path, pattern)
+    if key not in _CODECS:
+        _CODECS.clear()
+        _CODECS[key] = Codec(ranks_path, pattern, shared.value)
+    return _CODECS[key]
 
 
 def chunks(texts: list[str], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, list[str]]]:
@@ -207,9 +220,10 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
     an empty table gives an empty one; other columns are ignored, whatever their names. No
     shuffle: each task encodes its own rows.
     """
+    shared = shared_merges(docs.sparkSession, ranks_path)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(ranks_path, pattern)
+        own = codec(shared, ranks_path, pattern)
         for batch in batches:
             for lo, texts in chunks(batch.column(1).to_pylist()):
                 ids = pa.array(list(own.encode(texts)), pa.list_(pa.int32()))
@@ -221,9 +235,10 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
 
 def bpe_decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """Bytes of every row's ids: doc_id, decoded (binary)."""
+    shared = shared_merges(encoded.sparkSession, ranks_path)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(ranks_path, pattern)
+        own = codec(shared, ranks_path, pattern)
         for batch in batches:
             out = [own.decode(ids or ()) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "decoded"])
@@ -236,9 +251,10 @@ def bpe_digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "d
 
     Same rules as ``bpe_encode``; ids and bytes never leave the task.
     """
+    shared = shared_merges(docs.sparkSession, ranks_path)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(ranks_path, pattern)
+        own = codec(shared, ranks_path, pattern)
         shown = [str(i) for i in range(max(own.ranks.values()) + 1)]
         for batch in batches:
             for lo, texts in chunks(batch.column(1).to_pylist()):
