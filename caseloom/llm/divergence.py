@@ -45,7 +45,7 @@ def group_terms(docs: DataFrame) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             for (lang, source), (n, docs_) in held.items():
                 k = len(n)
-                cols = [pa.array([lang] * k), pa.array([source] * k), pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64()), pa.array(map(docs_.__getitem__, n), pa.int64())]
+                cols = [pa.array([lang] * k, pa.string()), pa.array([source] * k, pa.string()), pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64()), pa.array([docs_[t] for t in n], pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, names=["lang", "source", "term", "n", "docs"])
             held.clear()
 

@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from caseloom.llm import bpe, exact_dedup, near_dedup, packing, quality, sharding, suffix_array, suffix_dedup, toxicity, url_filter, warc
 
@@ -175,9 +176,12 @@ def test_block_max_index_is_exact():
         sims = np.round(np.minimum(dense @ dense[q], 1), 12)
         sims[q] = -1
         want = sorted(((-s, i) for i, s in enumerate(sims) if s > 0))[:10]
-        got = index.nearest(t, w, 10, without=q)
-        assert [i for _, i in got] == [i for _, i in want]
-        assert [s for s, _ in got] == pytest.approx([-s for s, _ in want])
+        near, which = index.nearest(t, w, 10, without=q)
+        assert which.tolist() == [i for _, i in want]
+        assert near.tolist() == pytest.approx([-s for s, _ in want])
+    tied = toxicity.BlockMaxIndex([vectors[i % 7] for i in range(500)], 60)
+    near, which = tied.nearest(*vectors[3], 10)
+    assert which.tolist() == list(range(3, 500, 7)) and near == pytest.approx(1)  # all that are as near as the tenth
 
 
 def components_by_force(rows, k, percent):
@@ -479,6 +483,22 @@ def test_replayed_merges_match_on_random_bytes():
     assert list(codec.encode([long])) == [enc.encode_ordinary(long)]
 
 
+def test_probes_go_by_the_directory_and_buckets_are_read_alone(spark):
+    texts = spark.range(400).selectExpr("id", "concat('text ', id div 2) as norm").withColumn("key", F.xxhash64("norm"))
+    none = spark.createDataFrame([], "key long, hot boolean")
+    cells = exact_dedup.written_directory(texts.select("id", "key"), 20, 5)
+    index = exact_dedup.build_index(texts, texts, none, 20, 5, cells)
+    sizes = {r.bucket: r.n for r in index.groupBy("bucket").agg(F.countDistinct("key").alias("n")).collect()}
+    assert len(sizes) > 8 and max(sizes.values()) <= 20
+    probes = texts.select("id", "key").where("id < 10").unionByName(spark.createDataFrame([(999, 1)], "id long, key long"))
+    found = {r.id: (r.keep_id, r.group_size) for r in exact_dedup.lookup(index, cells, probes, none, 5).collect()}
+    assert found == {i: (i - i % 2, 2) for i in range(10)}
+    plan = exact_dedup.lookup(index, cells, probes, none, 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "bucket" in plan.split("Join Inner")[1]
+    one = index.where(F.col("bucket") == min(sizes))
+    assert "EqualTo(bucket," in one._jdf.queryExecution().executedPlan().toString() and one.count() == sizes[min(sizes)]
+
+
 def test_packing_is_whole_and_full(docs, none):
     enc = own_encoding()
     got = packing.pack_documents(docs, RANKS, public_tokenizers.PATTERN, {"<|endoftext|>": 50256}, window=128, step_windows=4).collect()
