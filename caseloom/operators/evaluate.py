@@ -85,15 +85,17 @@ def chain_overlap(predicted: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def checkpoint_hits(points: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Share of checkpoints whose signal stands in any evidence text: case_id, system, rate."""
+    """Share of checkpoints whose signal stands in any evidence text: case_id, system, rate.
+
+    A text meets the list of its case's signals, which one ground-truth document states.
+    """
     signals = points.groupBy("case_id", F.lower(F.coalesce("signal", F.lit(""))).alias("signal")).agg(F.count(F.lit(1)).alias("n"))
-    seen = evidence.select("case_id", "system", "text")
-    hits = seen.join(signals.where("signal <> ''"), "case_id").where("contains(lower(text), signal)").select("case_id", "system", "signal", "n").distinct()
-    total = signals.groupBy("case_id").agg(F.sum("n").alias("total"))
-    hit = hits.groupBy("case_id", "system").agg(F.sum("n").alias("hit"))
-    return seen.select("case_id", "system").distinct().join(hit, ["case_id", "system"], "left").join(total, "case_id", "left").select(
-        "case_id", "system", F.coalesce(F.col("hit") / F.col("total"), F.lit(0.0)).alias("checkpoint_rate")
-    )
+    listed = signals.groupBy("case_id").agg(F.collect_list(F.struct("signal", "n")).alias("all"), F.sum("n").alias("total"))
+    seen = evidence.select("case_id", "system", "text").join(listed, "case_id", "left")
+    fits = F.filter("all", lambda s: (s["signal"] != "") & F.contains(F.lower("text"), s["signal"]))
+    hits = seen.select("case_id", "system", F.explode_outer(fits).alias("s"), "total").distinct()
+    hit = hits.groupBy("case_id", "system").agg(F.sum("s.n").alias("hit"), F.first("total").alias("total"))
+    return hit.select("case_id", "system", F.coalesce(F.col("hit") / F.col("total"), F.lit(0.0)).alias("checkpoint_rate"))
 
 
 def final_score(scores: DataFrame) -> DataFrame:

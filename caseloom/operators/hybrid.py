@@ -29,12 +29,12 @@ def alert_queries(alerts: DataFrame, keywords: int = KEYWORDS) -> DataFrame:
 def search(obs: DataFrame, queries: DataFrame, k: int = TOP_K, encoder=None) -> DataFrame:
     """The ``k`` observations of its case nearest to each query: obs, query_ord, vector_score, rank.
 
-    A case has a handful of queries, so a term that many observations hold meets few rows
-    on the other side.
+    Observations without a word of the query score 0 and fill up what is lacking.
     """
-    vectors = retrieve.term_weights(retrieve.corpus(obs), _ROW, encoder)
+    indexed = retrieve.corpus(obs)
+    vectors = retrieve.term_weights(indexed, _ROW, encoder)
     asked = retrieve.term_weights(queries, ["case_id", "query_ord"], encoder)
-    top = retrieve.text_topk(asked, vectors, ["case_id", "query_ord"], _ROW, ["case_id"], k)
+    top = retrieve.text_topk(asked, vectors, ["case_id", "query_ord"], _ROW, ["case_id"], k, asked=queries, rows=indexed)
     return top.join(obs, _ROW)
 
 
@@ -56,11 +56,12 @@ def hybrid_evidence(
     """
     seeds = alerts.select("case_id", F.col("entry_entity_id").alias("entity_id"))
     edges = stage(edges.select("case_id", "src", "dst"), "edges")
-    inside, scores = graph.ranked_entities(graph.nodes_of(entities, edges), edges, seeds, iterations=iterations)
+    pairs = graph.written(graph.undirected(edges))
+    inside, scores = graph.ranked_entities(graph.nodes_of(entities, edges), edges, seeds, iterations=iterations, pairs=pairs)
     kept = stage(retrieve.topology_filter(obs, inside, unresolved_cap), "kept")
     hits = retrieve.fuse(search(kept, alert_queries(alerts), encoder=encoder), scores, alpha, beta)
     vector = stage(retrieve.first_query_wins(hits).withColumn("list_ord", F.lit(0)), "from-vector")
-    members = graph.membership(entities, graph.service_rollup(entities, edges))
+    members = graph.membership(entities, graph.service_rollup(entities, edges, pairs=pairs))
     direct = retrieve.graph_direct(kept, scores, members, alpha).withColumn("query_ord", F.lit(0)).withColumn("list_ord", F.lit(1))
     columns = [*obs.columns, *_SCORES, "query_ord", "list_ord", "rank"]
     direct = stage(direct.select(*columns), "from-direct")

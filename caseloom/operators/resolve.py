@@ -2,12 +2,12 @@
 
 ``index``: case_id, key, entity_id, pos. Names are resolved once each, by equality, then as
 ``service::operation``, then by containment; of several fitting keys the earliest wins.
-Containment is joined on rare substrings, so names don't meet all keys of a case.
+Containment is an equi-join on substrings as long as a key, so names don't meet all keys of a case.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import present
@@ -55,30 +55,21 @@ def _first_key(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("case_id", "name").agg(F.min_by("entity_id", "pos").alias("entity_id"))
 
 
-def _grams(c: Column, sizes: tuple[int, ...] = (1, 2, 3)) -> Column:
-    """Distinct substrings of the given lengths."""
-    of = lambda n: F.transform(F.when(F.length(c) >= n, F.sequence(F.lit(1), F.length(c) - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: c.substr(i, F.lit(n)))
-    return F.array_distinct(F.concat(*[of(n) for n in sizes]))
-
-
 def contained(small: DataFrame, large: DataFrame) -> DataFrame:
     """(case_id, small, large) where the non-empty text ``small`` stands in ``large``.
 
-    A pair meets on one substring: of the three-letter ones of ``small`` (shorter texts are
-    their own) that which the fewest of ``large`` hold.
+    An equi-join on the hash of substrings: a text of ``large`` has one for each place and each
+    length that occurs in ``small`` of its case, however many texts have that length or share
+    parts of it.
     """
-    held = large.select("case_id", "large").distinct().select("case_id", "large", F.explode(_grams(F.col("large"))).alias("gram"))
-    spread = held.groupBy("case_id", "gram").agg(F.count(F.lit(1)).alias("n"))
-    own = F.when(F.length("small") < 3, F.array("small")).otherwise(_grams(F.col("small"), (3,)))
-    asked = small.select("case_id", "small").distinct().where("small <> ''").select("case_id", "small", F.size(own).alias("all"), F.explode(own).alias("gram"))
-    rarest = (
-        asked.join(spread, ["case_id", "gram"])
-        .groupBy("case_id", "small")
-        .agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.count(F.lit(1)).alias("found"), F.first("all").alias("all"))
-        .where("found = all")
-        .select("case_id", "small", "gram")
-    )
-    return rarest.join(held, ["case_id", "gram"]).where("contains(large, small)").select("case_id", "small", "large")
+    keys = small.select("case_id", "small").where("small <> ''").distinct()
+    lengths = keys.groupBy("case_id").agg(F.collect_set(F.length("small")).alias("lengths"))  # no more than the longest key has characters
+    text, at = F.col("large"), F.sequence
+    cut = lambda n: F.transform(at(F.lit(1), F.length(text) - n + 1), lambda i: F.xxhash64(text.substr(i, n)))
+    parts = F.array_distinct(F.flatten(F.transform(F.filter("lengths", lambda n: n <= F.length(text)), cut)))
+    pieces = large.select("case_id", "large").distinct().join(lengths, "case_id").select("case_id", "large", F.explode(parts).alias("part"))
+    found = pieces.join(keys.withColumn("part", F.xxhash64("small")), ["case_id", "part"])
+    return found.where("contains(large, small)").select("case_id", "small", "large")
 
 
 def composite(names: DataFrame, index: DataFrame) -> DataFrame:

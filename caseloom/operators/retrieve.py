@@ -6,25 +6,50 @@ adds graph_score, vector_score, hybrid_score and an order (query_ord, rank).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .search import cosine_topk, text_topk
+
+__all__ = ["cosine_topk", "text_topk"]
 #: Modalities whose text is searched.
 INDEXED = ("logs", "metrics", "events")
-#: Rows of one block of a vector search.
-QUERY_BLOCK, VECTOR_BLOCK = 256, 2048
-#: What tells two observations apart.
-IDENTITY = ("case_id", "source_file", "entity_id", "ts", "text")
+#: Bits of the filter of wanted entities (a multiple of the 32,768 of one bitmap): 2 MB.
+FILTER_BITS = 1 << 24
+
+
+def _one_of_each(evidence: DataFrame, order: Column) -> DataFrame:
+    """The first row by ``order`` of each observation: equal case, file, entity, time and text.
+
+    These are compared by a 128-bit digest, and rows are combined before they are shuffled.
+    """
+    same = F.struct("case_id", "source_file", "entity_id", F.unix_micros("ts").alias("ts"), "text")
+    row = F.struct(*[F.col(f"`{c}`") for c in evidence.columns])
+    keyed = evidence.select(F.unhex(F.md5(F.to_json(same))).alias("__same"), order.alias("__order"), row.alias("__row"))
+    return keyed.groupBy("__same").agg(F.min_by("__row", "__order").alias("__row")).select("__row.*")
+
+
+def wanted_bits(ids: DataFrame) -> DataFrame:
+    """bucket, bits: a bit for the hash of each (case_id, entity_id); FILTER_BITS in all, however many ids there are."""
+    return ids.select((_bit() + 1).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+
+
+def _bit() -> Column:
+    return F.pmod(F.xxhash64("case_id", "entity_id"), F.lit(FILTER_BITS))
+
+
+def maybe_wanted(obs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose entity is among ``ids``, and a few others: a Bloom filter that runs before rows are shuffled."""
+    place = F.bitmap_bit_position(_bit() + 1)
+    marked = obs.where("entity_id is not null").withColumns({"__bucket": F.bitmap_bucket_number(_bit() + 1), "__place": place})
+    bits = F.broadcast(wanted_bits(ids).withColumnRenamed("bucket", "__bucket"))  # FILTER_BITS / 8 bytes at most
+    byte = F.conv(F.hex(F.substring("bits", F.expr("cast(__place div 8 as int) + 1"), 1)), 16, 10).cast("int")
+    return marked.join(bits, "__bucket").withColumn("__byte", byte).where("shiftright(__byte, cast(__place % 8 as int)) & 1 = 1").select(*obs.columns)
 
 
 def topology_filter(obs: DataFrame, inside: DataFrame, unresolved_cap: int | None = None) -> DataFrame:
     """Rows of entities inside, and rows without an entity (null, not ''), capped if asked."""
-    resolved = obs.join(inside.select("case_id", "entity_id"), ["case_id", "entity_id"], "left_semi")
+    resolved = maybe_wanted(obs, inside).join(inside.select("case_id", "entity_id"), ["case_id", "entity_id"], "left_semi")
     loose = obs.where("entity_id is null")
     if unresolved_cap is not None:
         w = Window.partitionBy("case_id", "modality").orderBy("row_ord", "text")
@@ -57,60 +82,6 @@ def term_weights(texts: DataFrame, key: list[str], encoder=None) -> DataFrame:
     return counts.join(norms, key).select(*key, "term", (F.col("n") / F.col("norm")).alias("weight"))
 
 
-def text_topk(queries: DataFrame, vectors: DataFrame, query_key: list[str], key: list[str], on: list[str], k: int = 20) -> DataFrame:
-    """The k nearest rows for each query, by the terms they share (an inverted-index join)."""
-    q = queries.withColumnRenamed("weight", "__w")
-    dots = q.join(vectors, [*on, "term"]).groupBy(*query_key, *[c for c in key if c not in query_key]).agg(
-        F.sum(F.col("__w") * F.col("weight")).alias("vector_score")
-    )
-    order = Window.partitionBy(*query_key).orderBy(F.desc(F.round("vector_score", 9)), *[c for c in key if c not in query_key])
-    return dots.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
-def _blocks(df: DataFrame, key: str, vector: str, rows: int) -> DataFrame:
-    """``rows`` vectors at most to a row: their ids in order and their unit vectors, end to end."""
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
-                part = part.take(pc.sort_indices(part.column(0)))
-                x = np.array(part.column(1).to_pylist(), float)
-                x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
-                ids = pa.array([part.column(0).to_pylist()], pa.list_(part.schema.field(0).type))
-                yield pa.RecordBatch.from_arrays([ids, pa.array([x.tobytes()], pa.binary())], names=[key, vector])
-
-    kind = df.select(key).schema[0].dataType.simpleString()
-    return df.select(key, vector).where(F.col(vector).isNotNull()).mapInArrow(pack, f"{key} array<{kind}>, {vector} binary")
-
-
-def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int = 20) -> DataFrame:
-    """query_id, vec_id, score, rank by exact cosine of dense vectors; null vectors have none.
-
-    ``queries``: query_id and query; ``vectors``: vec_id and embedding; both may be large.
-    Blocks of QUERY_BLOCK queries meet blocks of VECTOR_BLOCK vectors, so a pair of blocks
-    holds QUERY_BLOCK * VECTOR_BLOCK scores; each pair keeps its own k best a query.
-    """
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                q_ids, q, v_ids, v = (batch.column(c)[i] for c in range(4))
-                q = np.frombuffer(q.as_py()).reshape(len(q_ids), -1)
-                v = np.frombuffer(v.as_py()).reshape(len(v_ids), -1)
-                score = q @ v.T
-                top = np.argsort(-np.round(score, 9), axis=1, kind="stable")[:, :k]
-                cols = [q_ids.values.take(pa.array(np.repeat(np.arange(len(q)), top.shape[1]))), v_ids.values.take(pa.array(top.ravel()))]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(np.take_along_axis(score, top, 1).ravel())], names=["query_id", "vec_id", "score"])
-
-    q, v = _blocks(queries, "query_id", "query", QUERY_BLOCK), _blocks(vectors, "vec_id", "embedding", VECTOR_BLOCK)
-    of = lambda df, c: df.select(c).schema[0].dataType.simpleString()
-    schema = f"query_id {of(queries, 'query_id')}, vec_id {of(vectors, 'vec_id')}, score double"
-    scored = q.crossJoin(v).mapInArrow(best, schema)
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
 def fuse(hits: DataFrame, graph_scores: DataFrame, alpha: float = 0.5, beta: float = 0.5) -> DataFrame:
     """hybrid = alpha * graph + beta * vector; entities without a graph score count 0."""
     g = graph_scores.select("case_id", "entity_id", "graph_score")
@@ -123,8 +94,7 @@ def fuse(hits: DataFrame, graph_scores: DataFrame, alpha: float = 0.5, beta: flo
 
 def first_query_wins(evidence: DataFrame) -> DataFrame:
     """One row per observation: that of the earliest query, not the best one."""
-    w = Window.partitionBy(*IDENTITY).orderBy("query_ord", F.desc("hybrid_score"), "rank")
-    return evidence.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    return _one_of_each(evidence, F.struct("query_ord", (-F.col("hybrid_score")).alias("s"), "rank"))
 
 
 def graph_direct(obs: DataFrame, graph_scores: DataFrame, members: DataFrame, alpha: float = 0.5, top: int = 10, per_entity: int = 6) -> DataFrame:
@@ -135,7 +105,7 @@ def graph_direct(obs: DataFrame, graph_scores: DataFrame, members: DataFrame, al
     )
     w = Window.partitionBy("case_id", "service_id").orderBy("member_ord", "entity_id", "mod_ord", "row_ord", "text")
     return (
-        wide.join(obs.where("entity_id <> ''"), ["case_id", "entity_id"])
+        wide.join(maybe_wanted(obs.where("entity_id <> ''"), wide), ["case_id", "entity_id"])
         .withColumn("rank", F.row_number().over(w))
         .where(F.col("rank") <= per_entity)
         .withColumn("vector_score", F.lit(0.0))
@@ -146,8 +116,7 @@ def graph_direct(obs: DataFrame, graph_scores: DataFrame, members: DataFrame, al
 
 def merge(evidence: DataFrame) -> DataFrame:
     """One row per observation: the best; of equals, that of the earlier list (list_ord)."""
-    w = Window.partitionBy(*IDENTITY).orderBy(F.desc("hybrid_score"), "list_ord", "rank")
-    return evidence.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    return _one_of_each(evidence, F.struct((-F.col("hybrid_score")).alias("s"), "list_ord", "rank"))
 
 
 def balanced_sample(obs: DataFrame, total: int = 200) -> DataFrame:
@@ -165,12 +134,14 @@ def alpha_sweep(hits: DataFrame, graph_scores: DataFrame, weights: DataFrame) ->
 
 
 def shortlist(texts: DataFrame, definitions: DataFrame, k: int = 5, encoder=None) -> DataFrame:
-    """case_id, slug, rank: the fault types whose ``slug: definition`` is nearest to a text.
+    """case_id, slug, rank, similarity: the fault types whose ``slug: definition`` is nearest to a text.
 
     ``definitions`` (slug, definition) is a dimension of some dozens of rows; whether it is
-    broadcast is left to its measured size. A blank text
-    gives no rows; the caller then takes all slugs.
+    broadcast is left to its measured size. A text gets min(k, n) types, also such of
+    similarity 0; a blank text gets none, and the caller then takes all.
     """
     known = definitions.select("slug", F.concat_ws(": ", "slug", "definition").alias("text"))
+    asked = texts.where(F.col("text").rlike(r"\S"))
     vectors = term_weights(known, ["slug"], encoder)
-    return text_topk(term_weights(texts, ["case_id"], encoder), vectors, ["case_id"], ["slug"], [], k).select("case_id", "slug", "rank")
+    top = text_topk(term_weights(asked, ["case_id"], encoder), vectors, ["case_id"], ["slug"], [], k, asked=asked, rows=known)
+    return top.select("case_id", "slug", "rank", F.col("vector_score").alias("similarity"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import is_error, present
+from ..session import stage
 
 #: Fixed texts of the summary.
 NO_SIGNAL = "No strong signal in retrieved evidence for this entity"
@@ -111,7 +112,7 @@ def modality_view(summaries: DataFrame, word: str | None) -> DataFrame:
 
 
 def _alert() -> Column:
-    return F.concat(F.lit("Alert: "), F.col("alert_text"), F.lit("\n\n"))
+    return F.concat(F.lit("Alert: "), F.coalesce("alert_text", F.lit("")), F.lit("\n\n"))
 
 
 def _in_order(df: DataFrame, order: str, item: Column, name: str) -> DataFrame:
@@ -120,66 +121,92 @@ def _in_order(df: DataFrame, order: str, item: Column, name: str) -> DataFrame:
     return df.groupBy("case_id").agg(F.transform(listed, lambda x: x["i"]).alias(name))
 
 
+def _or_none(c: str) -> Column:
+    return F.coalesce(F.col(c), F.array().cast("array<string>"))
+
+
 def prompt_table(
-    summaries: DataFrame, alerts: DataFrame, neighbours: DataFrame, candidates: DataFrame, system: str = "proposed_hybrid"
+    summaries: DataFrame, alerts: DataFrame, neighbours: DataFrame | None = None, candidates: DataFrame | None = None, system: str = "proposed_hybrid"
 ) -> DataFrame:
-    """One request text per case and specialist agent, for an inference step outside.
+    """One request text per alert and specialist agent, for an inference step outside.
 
     ``candidates``: case_id, entity_id, rank. Each agent sees its own bullets, the topology
-    agent the neighbours and the ranked candidates.
+    agent the neighbours and the ranked candidates; a system without a topology gives neither.
+    A case that lacks evidence, neighbours or candidates has an empty text or lists.
     """
-    none = F.array().cast("array<string>")
+    summaries = stage(summaries, "summaries")  # each agent reads them
     out = None
     for agent, word in VIEWS.items():
         if agent == "topology_agent":
-            ids = _in_order(candidates, "rank", F.col("entity_id"), "ids")
             body = F.concat(
-                F.lit("Upstream: "), F.to_json("upstream"), F.lit("\nDownstream: "), F.to_json("downstream"),
-                F.lit("\nCandidates: "), F.to_json(F.coalesce("ids", none)), F.lit("\n\n" + ASK),
+                F.lit("Upstream: "), F.to_json(_or_none("upstream")), F.lit("\nDownstream: "), F.to_json(_or_none("downstream")),
+                F.lit("\nCandidates: "), F.to_json(_or_none("ids")), F.lit("\n\n" + ASK),
             )
-            rows = alerts.join(neighbours.drop("entity_id"), "case_id").join(ids, "case_id", "left")
+            none = F.lit(None).cast("array<string>")
+            near = alerts.select("case_id", none.alias("upstream"), none.alias("downstream")) if neighbours is None else neighbours.select("case_id", "upstream", "downstream")
+            ids = alerts.select("case_id", none.alias("ids")) if candidates is None else _in_order(candidates, "rank", F.col("entity_id"), "ids")
+            rows = alerts.join(near, "case_id", "left").join(ids, "case_id", "left")
         else:
-            body = F.concat(F.lit("Evidence:\n"), F.col("summary_text"), F.lit("\n\n" + ASK))
-            rows = alerts.join(summary_text(modality_view(summaries, word)), "case_id")
+            body = F.concat(F.lit("Evidence:\n"), F.coalesce("summary_text", F.lit("")), F.lit("\n\n" + ASK))
+            rows = alerts.join(summary_text(modality_view(summaries, word)), "case_id", "left")
         one = rows.select("case_id", F.lit(system).alias("system"), F.lit(agent).alias("agent"), F.concat(_alert(), body).alias("prompt"))
         out = one if out is None else out.unionByName(one)
     return out
 
 
-def _types(shortlist: DataFrame) -> DataFrame:
-    return _in_order(shortlist, "rank", F.concat(F.lit("- "), "slug"), "types").withColumn("types", F.concat_ws("\n", "types"))
+def _type(extra: Column | None = None) -> Column:
+    """``- slug: definition``; the slug alone where it has no definition."""
+    head = F.concat(F.lit("- "), F.col("slug")) if extra is None else F.concat(F.lit("- "), F.col("slug"), extra)
+    return F.concat(head, F.coalesce(F.concat(F.lit(": "), present(F.col("definition"))), F.lit("")))
+
+
+def all_types(definitions: DataFrame) -> DataFrame:
+    """One row, ``every``: all fault types (slug, definition; some dozens) with their definitions."""
+    listed = F.sort_array(F.collect_list(F.struct(F.col("slug"), _type().alias("line"))))
+    return definitions.select(F.concat_ws("\n", F.transform(listed, lambda x: x["line"])).alias("every"))
+
+
+def type_hints(alerts: DataFrame, shortlist: DataFrame, definitions: DataFrame) -> DataFrame:
+    """case_id, types: the shortlist (case_id, slug, rank, similarity) of each alert, all types where it has none."""
+    named = shortlist.join(definitions.select("slug", "definition"), "slug", "left")
+    line = _type(F.format_string(" (similarity %.3f)", F.round("similarity", 3)))
+    lines = named.groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct("rank", line.alias("line")))).alias("b"))
+    short = lines.select("case_id", F.concat(F.lit("Likely fault types:\n"), F.concat_ws("\n", F.transform("b", lambda x: x["line"]))).alias("short"))
+    whole = F.concat(F.lit("Fault types:\n"), "every")
+    return alerts.select("case_id").distinct().join(short, "case_id", "left").crossJoin(F.broadcast(all_types(definitions))).select(  # one row
+        "case_id", F.coalesce("short", whole).alias("types")
+    )
 
 
-def coordinator_prompts(alerts: DataFrame, found: DataFrame, shortlist: DataFrame, system: str = "proposed_hybrid") -> DataFrame:
-    """One request text per case for the coordinator: the agents' findings and likely fault types."""
+def coordinator_prompts(alerts: DataFrame, found: DataFrame, shortlist: DataFrame, definitions: DataFrame, system: str = "proposed_hybrid") -> DataFrame:
+    """One request text per alert for the coordinator: the agents' findings (none: ``{}``) and likely fault types."""
     said = F.struct("entity_id", "summary", "supporting_evidence", "confidence")
     by_agent = F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("agent"), said.alias("f")))))
-    rows = alerts.join(found.groupBy("case_id").agg(F.to_json(by_agent).alias("said")), "case_id").join(_types(shortlist), "case_id", "left")
-    body = F.concat(F.lit("Findings:\n"), "said", F.lit("\n\nLikely fault types:\n"), F.coalesce("types", F.lit("")), F.lit("\n\n" + FINAL_ASK))
+    rows = alerts.join(found.groupBy("case_id").agg(F.to_json(by_agent).alias("said")), "case_id", "left").join(type_hints(alerts, shortlist, definitions), "case_id", "left")
+    body = F.concat(F.lit("Findings:\n"), F.coalesce("said", F.lit("{}")), F.lit("\n\n"), "types", F.lit("\n\n" + FINAL_ASK))
     return rows.select("case_id", F.lit(system).alias("system"), F.lit("coordinator").alias("agent"), F.concat(_alert(), body).alias("prompt"))
 
 
-def baseline_prompts(alerts: DataFrame, texts: DataFrame, shortlist: DataFrame, candidates: DataFrame, slugs: DataFrame) -> DataFrame:
+def baseline_prompts(alerts: DataFrame, texts: DataFrame, shortlist: DataFrame, candidates: DataFrame, definitions: DataFrame) -> DataFrame:
     """Request texts of the systems of one call: text evidence, ranked entities, the alert alone.
 
-    ``slugs`` is the small table of fault types that the last two may choose from.
+    Every alert has one of each: without evidence or candidates these are empty. ``shortlist`` is
+    that of ``texts``; the last two systems choose from all of ``definitions``.
     """
-    every = slugs.select(F.concat_ws("\n", F.sort_array(F.collect_list(F.concat(F.lit("- "), "slug")))).alias("types"))  # some dozens
-    ranked = _in_order(candidates, "rank", F.concat(F.col("rank").cast("string"), F.lit(". "), "entity_id"), "ids")
-    with_types = lambda title: F.concat(F.lit(title), F.coalesce("types", F.lit("")), F.lit("\n\n" + FINAL_ASK))
+    every = F.broadcast(all_types(definitions))  # one row
+    line = F.concat(F.col("rank").cast("string"), F.lit(". "), "entity_id", F.format_string(" (%.3f)", F.round("graph_score", 3)))
+    ranked = _in_order(candidates, "rank", line, "ids")
+    whole = F.concat(F.lit("Fault types:\n"), "every", F.lit("\n\n" + FINAL_ASK))
     parts = {
         "standard_rag": (
-            alerts.join(texts, "case_id").join(_types(shortlist), "case_id", "left"),
-            F.concat(F.lit("Evidence:\n"), "summary_text", with_types("\n\nLikely fault types:\n")),
+            alerts.join(texts, "case_id", "left").join(type_hints(alerts, shortlist, definitions), "case_id", "left"),
+            F.concat(F.lit("Evidence:\n"), F.coalesce("summary_text", F.lit("")), F.lit("\n\n"), "types", F.lit("\n\n" + FINAL_ASK)),
         ),
         "graphrag_only": (
-            alerts.join(ranked, "case_id").crossJoin(F.broadcast(every)),  # one row
-            F.concat(
-                F.lit("Entry: "), F.coalesce("entry_entity_id", F.lit("none")), F.lit("\nCandidates:\n"), F.concat_ws("\n", "ids"),
-                with_types("\n\nFault types:\n"),
-            ),
+            alerts.join(ranked, "case_id", "left").crossJoin(every),
+            F.concat(F.lit("Entry: "), F.coalesce("entry_entity_id", F.lit("none")), F.lit("\nCandidates:\n"), F.concat_ws("\n", _or_none("ids")), F.lit("\n\n"), whole),
         ),
-        "direct_llm": (alerts.crossJoin(F.broadcast(every)), with_types("Fault types:\n")),  # one row
+        "direct_llm": (alerts.crossJoin(every), whole),
     }
     out = [rows.select("case_id", F.lit(k).alias("system"), F.lit("single").alias("agent"), F.concat(_alert(), body).alias("prompt")) for k, (rows, body) in parts.items()]
     return out[0].unionByName(out[1]).unionByName(out[2])

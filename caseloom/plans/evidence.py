@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graph, retrieve, summarize
+from ..operators import graph, hybrid, retrieve, summarize
+from ..session import stage
 from .graphs import INSIDE, ROLLUP
 from .registry import query
 from .views import base, view
@@ -42,16 +43,19 @@ def cosine_topk(spark, sf):
     return retrieve.cosine_topk(q, emb).withColumn("score", F.round("score", 6))
 
 
-TOPK = f"""WITH w AS MATERIALIZED ({WORDS}), q AS (SELECT doc_id AS query_id, term, weight FROM w WHERE doc_id % 20 = 0)
-SELECT query_id, doc_id, round(s, 6) AS vector_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, doc_id) AS rank FROM (
-SELECT query_id, w.doc_id, sum(q.weight * w.weight) AS s FROM q JOIN w ON w.term = q.term GROUP BY query_id, w.doc_id) d) r WHERE rank <= 20"""
+TOPK = f"""WITH w AS MATERIALIZED ({WORDS}), q AS (SELECT doc_id AS query_id, term, weight FROM w WHERE doc_id % 20 = 0),
+d AS MATERIALIZED (SELECT query_id, w.doc_id, sum(q.weight * w.weight) AS s FROM q JOIN w ON w.term = q.term GROUP BY query_id, w.doc_id),
+z AS (SELECT a.doc_id AS query_id, b.doc_id, 0 AS s FROM documents a CROSS JOIN (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 20) b WHERE a.doc_id % 20 = 0 AND NOT EXISTS (SELECT 1 FROM d WHERE d.query_id = a.doc_id AND d.doc_id = b.doc_id))
+SELECT query_id, doc_id, round(s, 6) AS vector_score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, doc_id) AS rank FROM (SELECT * FROM d UNION ALL SELECT * FROM z) x) r WHERE rank <= 20"""
 
 
 @query(TOPK)
 def text_topk(spark, sf):
-    w = retrieve.term_weights(base(spark, sf, "documents"), ["doc_id"])
-    q = w.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
-    top = retrieve.text_topk(q, w, ["query_id"], ["doc_id"], [])
+    """Every document whose id is divisible by 20 against all; 20 hits each, also without a common word."""
+    docs = base(spark, sf, "documents")
+    w = retrieve.term_weights(docs, ["doc_id"])
+    q, asked = (df.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id") for df in (w, docs.select("doc_id")))
+    top = retrieve.text_topk(q, w, ["query_id"], ["doc_id"], [], asked=asked, rows=docs)
     return top.withColumn("vector_score", F.round("vector_score", 6))
 
 
@@ -65,19 +69,44 @@ def modality_head(spark, sf):
     return retrieve.head_per_modality(view(spark, sf, "fx_obs"), 1500).select("case_id", "modality", "row_ord", "entity_id", "text")
 
 
-FUSED = "SELECT h.*, coalesce(graph_score, 0) AS g, 0.5 * coalesce(graph_score, 0) + 0.5 * vector_score AS hybrid_score FROM fx_hits h LEFT JOIN fx_scores s ON s.case_id = h.case_id AND s.entity_id = h.entity_id"
+KEY = "case_id, mod_ord, row_ord"
+QUERIES_SQL = r"""kw AS (SELECT case_id, word, min(pos) AS pos FROM (SELECT case_id, trim(w, '.,:;') AS word, pos FROM (SELECT case_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos
+FROM (SELECT case_id, string_split_regex(trim(alert_text), '\s+') AS ws FROM fx_alerts) a) b WHERE length(w) > 3) c GROUP BY case_id, word),
+qs AS MATERIALIZED (SELECT case_id, 0 AS query_ord, alert_text AS text FROM fx_alerts UNION ALL SELECT case_id, n, word FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY pos) AS n FROM kw) k WHERE n <= 5),
+qv AS MATERIALIZED (SELECT case_id, query_ord, term, n / sqrt(sum(n * n) OVER (PARTITION BY case_id, query_ord)) AS w FROM (SELECT case_id, query_ord, term, CAST(count(*) AS DOUBLE) AS n
+FROM (SELECT case_id, query_ord, unnest(string_split_regex(lower(text), '[^a-z]+')) AS term FROM qs) x WHERE term <> '' GROUP BY case_id, query_ord, term) y)"""
+
+
+def hits_sql(source: str, most: int) -> str:
+    """CTEs up to ``hit``: the 20 nearest rows of ``source`` for the queries up to ``most``, filled with rows of score 0."""
+    return f"""ix AS MATERIALIZED (SELECT * FROM {source} WHERE modality IN ('logs', 'metrics', 'events')),
+vec AS MATERIALIZED (SELECT {KEY}, term, n / sqrt(sum(n * n) OVER (PARTITION BY {KEY})) AS weight FROM (SELECT {KEY}, term, CAST(count(*) AS DOUBLE) AS n
+FROM (SELECT {KEY}, unnest(string_split_regex(lower(text), '[^a-z]+')) AS term FROM ix) x WHERE term <> '' GROUP BY {KEY}, term) y),
+dot AS MATERIALIZED (SELECT v.case_id, query_ord, v.mod_ord, v.row_ord, sum(w * weight) AS vector_score FROM qv q JOIN vec v ON v.case_id = q.case_id AND v.term = q.term WHERE query_ord <= {most} GROUP BY ALL),
+zero AS (SELECT f.case_id, query_ord, f.mod_ord, f.row_ord, 0 AS vector_score FROM (SELECT {KEY}, row_number() OVER (PARTITION BY case_id ORDER BY mod_ord, row_ord) AS n FROM ix) f JOIN qs ON qs.case_id = f.case_id AND query_ord <= {most}
+WHERE n <= 20 AND NOT EXISTS (SELECT 1 FROM dot d WHERE d.case_id = f.case_id AND d.query_ord = qs.query_ord AND d.mod_ord = f.mod_ord AND d.row_ord = f.row_ord)),
+hit AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY case_id, query_ord ORDER BY round(vector_score, 9) DESC, mod_ord, row_ord) AS rank FROM (SELECT * FROM dot UNION ALL SELECT * FROM zero) s) r WHERE rank <= 20)"""
+
+
+HITS = f"{QUERIES_SQL}, {hits_sql('fx_rows', 5)}, hits AS MATERIALIZED (SELECT o.*, query_ord, h.rank, vector_score FROM hit h JOIN fx_rows o ON o.case_id = h.case_id AND o.mod_ord = h.mod_ord AND o.row_ord = h.row_ord)"
+FUSED = "SELECT h.*, coalesce(graph_score, 0) AS g, 0.5::DOUBLE * coalesce(graph_score, 0) + 0.5::DOUBLE * vector_score AS hybrid_score FROM hits h LEFT JOIN fx_scores s ON s.case_id = h.case_id AND s.entity_id = h.entity_id"
+
+
+def _hits(spark, sf):
+    """What the alerts' texts and keywords find among all observations of their case."""
+    return hybrid.search(stage(view(spark, sf, "fx_rows"), "obs"), hybrid.alert_queries(view(spark, sf, "fx_alerts")))
 
 
 def _fused(spark, sf):
-    return retrieve.fuse(view(spark, sf, "fx_hits"), view(spark, sf, "fx_scores"))
+    return retrieve.fuse(_hits(spark, sf), view(spark, sf, "fx_scores"))
 
 
-@query(f"SELECT case_id, modality, row_ord, query_ord, round(hybrid_score, 6) AS hybrid_score FROM ({FUSED}) f")
+@query(f"WITH {HITS} SELECT case_id, modality, row_ord, query_ord, round(hybrid_score, 6) AS hybrid_score FROM ({FUSED}) f")
 def hybrid_fuse(spark, sf):
     return _fused(spark, sf).select("case_id", "modality", "row_ord", "query_ord", F.round("hybrid_score", 6).alias("hybrid_score"))
 
 
-@query(f"SELECT case_id, modality, text, entity_id, ts, query_ord, round(hybrid_score, 6) AS hybrid_score FROM (SELECT *, row_number() OVER (PARTITION BY {IDENT} ORDER BY query_ord, hybrid_score DESC, rank) AS n FROM ({FUSED}) f) t WHERE n = 1")
+@query(f"WITH {HITS} SELECT case_id, modality, text, entity_id, ts, query_ord, round(hybrid_score, 6) AS hybrid_score FROM (SELECT *, row_number() OVER (PARTITION BY {IDENT} ORDER BY query_ord, hybrid_score DESC, rank) AS n FROM ({FUSED}) f) t WHERE n = 1")
 def multi_query_merge(spark, sf):
     return retrieve.first_query_wins(_fused(spark, sf)).select("case_id", "modality", "text", "entity_id", "ts", "query_ord", F.round("hybrid_score", 6).alias("hybrid_score"))
 
@@ -99,7 +128,7 @@ def direct_evidence(spark, sf):
     return _direct(spark, sf).select("case_id", "service_id", "modality", "entity_id", "row_ord", "rank", F.round("hybrid_score", 6).alias("hybrid_score"))
 
 
-MERGED = f"""{DIRECT}, first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {IDENT} ORDER BY query_ord, hybrid_score DESC, rank) AS n FROM ({FUSED}) f) t WHERE n = 1),
+MERGED = f"""{HITS}, {DIRECT}, first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {IDENT} ORDER BY query_ord, hybrid_score DESC, rank) AS n FROM ({FUSED}) f) t WHERE n = 1),
 both_ AS (SELECT {IDENT}, modality, hybrid_score, rank, 0 AS list_ord FROM first UNION ALL SELECT {IDENT}, modality, hybrid_score, rank, 1 FROM direct),
 merged AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {IDENT} ORDER BY hybrid_score DESC, list_ord, rank) AS n FROM both_) t WHERE n = 1)"""
 
@@ -145,10 +174,10 @@ def fault_shortlist(spark, sf):
     return top.select(F.col("query_id").alias("vec_id"), F.col("vec_id").alias("fault"), "rank")
 
 
-@query("SELECT alpha, beta, h.case_id, count(*) AS n, round(sum(alpha * coalesce(graph_score, 0) + beta * vector_score), 4) AS total FROM fx_hits h LEFT JOIN fx_scores s ON s.case_id = h.case_id AND s.entity_id = h.entity_id CROSS JOIN (SELECT 0.0::DOUBLE AS alpha, 1.0::DOUBLE AS beta UNION ALL SELECT 0.5, 0.5 UNION ALL SELECT 1.0, 0.0) w GROUP BY alpha, beta, h.case_id")
+@query(f"WITH {HITS} SELECT alpha, beta, h.case_id, count(*) AS n, round(sum(alpha * coalesce(graph_score, 0) + beta * vector_score), 4) AS total FROM hits h LEFT JOIN fx_scores s ON s.case_id = h.case_id AND s.entity_id = h.entity_id CROSS JOIN (SELECT 0.0::DOUBLE AS alpha, 1.0::DOUBLE AS beta UNION ALL SELECT 0.5, 0.5 UNION ALL SELECT 1.0, 0.0) w GROUP BY alpha, beta, h.case_id")
 def alpha_sweep(spark, sf):
     weights = spark.createDataFrame([(0.0, 1.0), (0.5, 0.5), (1.0, 0.0)], "alpha double, beta double")
-    out = retrieve.alpha_sweep(view(spark, sf, "fx_hits"), view(spark, sf, "fx_scores"), weights)
+    out = retrieve.alpha_sweep(_hits(spark, sf), view(spark, sf, "fx_scores"), weights)
     return out.groupBy("alpha", "beta", "case_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("hybrid_score"), 4).alias("total"))
 
 

@@ -288,17 +288,51 @@ def coverage_stats(spark, sf):
     return resolve.coverage(view(spark, sf, "fx_obs"), graph.nodes_of(e, view(spark, sf, "fx_edges")))
 
 
-@query("""SELECT case_id, doc_id, round(score, 6) AS score FROM (SELECT case_id, vec_id AS doc_id, score, row_number() OVER (PARTITION BY case_id ORDER BY round(score, 9) DESC, vec_id) AS n FROM (
-SELECT 'r' || (v.vec_id % 5) AS case_id, v.vec_id, sum(CAST(v.x AS DOUBLE) * q.x) / sqrt(sum(CAST(v.x AS DOUBLE) * v.x)) / sqrt(sum(CAST(q.x AS DOUBLE) * q.x)) AS score
+@query("""SELECT case_id, query_id, vec_id, round(score, 6) AS score, CAST(n AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY case_id, query_id ORDER BY round(score, 9) DESC, vec_id) AS n FROM (
+SELECT 'r' || (v.vec_id % 5) AS case_id, q.vec_id AS query_id, v.vec_id, sum(CAST(v.x AS DOUBLE) * q.x) / sqrt(sum(CAST(v.x AS DOUBLE) * v.x)) / sqrt(sum(CAST(q.x AS DOUBLE) * q.x)) AS score
 FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) v
-JOIN (SELECT unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE vec_id = 0) q ON q.i = v.i WHERE v.vec_id % 5 = 2 GROUP BY v.vec_id) s) t WHERE n <= 20""")
+JOIN (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE vec_id % 20 = 0) q ON q.i = v.i AND v.vec_id % 5 = (q.vec_id // 20) % 5 GROUP BY v.vec_id, q.vec_id) s) t WHERE n <= 20""")
 def vector_search_case(spark, sf):
-    """Vectors are written by case; one case is searched."""
-    from ..operators.retrieve import cosine_topk
+    """Vectors are written by case; every vector whose id is divisible by 20 is searched in a case."""
+    from ..operators.search import case_topk
 
     path = fresh_path(spark, "vectors")
-    emb = base(spark, sf, "embeddings")
+    emb = base(spark, sf, "embeddings").select("vec_id", "embedding")
     cases.write_vectors(emb.withColumn("case_id", F.concat(F.lit("r"), F.col("vec_id") % 5)), path)
-    one = spark.read.parquet(path).where("case_id = 'r2'")
-    q = emb.where("vec_id = 0").select(F.lit(0).alias("query_id"), F.col("embedding").alias("query"))
-    return cosine_topk(q, one).select(F.lit("r2").alias("case_id"), F.col("vec_id").alias("doc_id"), F.round("score", 6).alias("score"))
+    q = emb.where("vec_id % 20 = 0").select(F.concat(F.lit("r"), F.expr("vec_id div 20 % 5")).alias("case_id"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    kind = emb.schema["embedding"].dataType.simpleString()
+    asked = cases.read_vectors(spark, path, f"vec_id bigint, embedding {kind}, case_id string", q)
+    return case_topk(q, asked).withColumn("score", F.round("score", 6))
+
+
+METRIC_FILES = "SELECT case_id, l_orderkey * 10 + l_linenumber AS id, s_name, l_quantity AS value, l_shipdate FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN (SELECT n_nationkey, 'r' || n_regionkey AS case_id FROM nation) n ON n_nationkey = s_nationkey"
+
+
+def _metric_files(spark, sf) -> str:
+    """A folder of the metrics of each case, whose files differ in types and columns by case."""
+    root = fresh_path(spark, "benchmark")
+    rows = view(spark, sf, METRIC_FILES).withColumn("time", F.unix_micros("l_shipdate"))
+    for n, case in enumerate(sorted(r.case_id for r in rows.select("case_id").distinct().collect())):
+        time = (F.col("time"), F.col("time").cast("string"), F.col("l_shipdate"))[n % 3].alias("time")
+        value = (F.col("value").cast("double"), F.col("value").cast("string"))[n % 2].alias("value")
+        more = [F.lit("x").alias("unit")] if n == 1 else [F.lit(None).cast("string").alias("service")]
+        some = rows.where(F.col("case_id") == case).select(F.col("s_name").alias("entity_name"), F.lit("quantity").alias("metric"), value, time, *more)
+        some.coalesce(1).write.parquet(f"{root}/{case}/metrics.parquet")
+    return root
+
+
+@query(f"SELECT case_id, s_name AS entity_name, l_shipdate AS ts, value::DOUBLE AS value, count(*) AS n FROM ({METRIC_FILES}) m GROUP BY ALL")
+def telemetry_read(spark, sf):
+    """Metrics read back from files that differ in their types by case."""
+    raw = cases.read_telemetry(spark, _metric_files(spark, sf), "metrics")
+    at = scalars.epoch_timestamp(F.col("time"), "us")
+    return raw.groupBy("case_id", "entity_name", at.alias("ts"), "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH c AS (SELECT DISTINCT 'r' || n_regionkey AS case_id FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey), n AS (SELECT case_id, row_number() OVER (ORDER BY case_id) - 1 AS n FROM c)
+SELECT case_id, 'entity_name' AS "column", 'string' AS type FROM n UNION ALL SELECT case_id, 'metric', 'string' FROM n UNION ALL SELECT case_id, 'value', CASE n % 2 WHEN 0 THEN 'double' ELSE 'string' END FROM n
+UNION ALL SELECT case_id, 'time', CASE n % 3 WHEN 0 THEN 'bigint' WHEN 1 THEN 'string' ELSE 'timestamp' END FROM n UNION ALL SELECT case_id, CASE WHEN n = 1 THEN 'unit' ELSE 'service' END, 'string' FROM n""")
+def telemetry_columns(spark, sf):
+    """Columns and types of each case's files, from their footers."""
+    files = cases.telemetry_files(spark, _metric_files(spark, sf), "metrics")
+    return files.select("case_id", F.explode("columns").alias("c")).select("case_id", F.col("c.name").alias("column"), F.col("c.type").alias("type"))

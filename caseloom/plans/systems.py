@@ -7,31 +7,15 @@ from pyspark.sql import functions as F
 from ..operators import evaluate, graph, hybrid, retrieve, summarize
 from ..session import fresh_path, stage
 from ..sources import cases
-from .evidence import E_, IDENT, SUMMARY
+from .evidence import E_, IDENT, QUERIES_SQL, SUMMARY, hits_sql
 from .graphs import ROLLUP, ppr_sql
 from .registry import query
 from .views import base, view
 
 #: Rounds of the ranking in these queries, so that SQL can unroll them.
 ROUNDS = 20
-KEY = "case_id, mod_ord, row_ord"
 OBS = "case_id, modality, mod_ord, row_ord, entity_id, ts, text, source_file"
 
-QUERIES_SQL = r"""kw AS (SELECT case_id, word, min(pos) AS pos FROM (SELECT case_id, trim(w, '.,:;') AS word, pos FROM (SELECT case_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos
-FROM (SELECT case_id, string_split_regex(trim(alert_text), '\s+') AS ws FROM fx_alerts) a) b WHERE length(w) > 3) c GROUP BY case_id, word),
-qs AS (SELECT case_id, 0 AS query_ord, alert_text AS text FROM fx_alerts UNION ALL SELECT case_id, n, word FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY pos) AS n FROM kw) k WHERE n <= 5),
-qv AS MATERIALIZED (SELECT case_id, query_ord, term, n / sqrt(sum(n * n) OVER (PARTITION BY case_id, query_ord)) AS w FROM (SELECT case_id, query_ord, term, CAST(count(*) AS DOUBLE) AS n
-FROM (SELECT case_id, query_ord, unnest(string_split_regex(lower(text), '[^a-z]+')) AS term FROM qs) x WHERE term <> '' GROUP BY case_id, query_ord, term) y)"""
-
-
-def hits_sql(source: str, most: int) -> str:
-    """CTEs up to ``hit``: the 20 nearest rows of ``source`` for the queries up to ``most``."""
-    return f"""vec AS MATERIALIZED (SELECT {KEY}, term, n / sqrt(sum(n * n) OVER (PARTITION BY {KEY})) AS weight FROM (SELECT {KEY}, term, CAST(count(*) AS DOUBLE) AS n
-FROM (SELECT {KEY}, unnest(string_split_regex(lower(text), '[^a-z]+')) AS term FROM {source} WHERE modality IN ('logs', 'metrics', 'events')) x WHERE term <> '' GROUP BY {KEY}, term) y),
-hit AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY case_id, query_ord ORDER BY round(vector_score, 9) DESC, mod_ord, row_ord) AS rank
-FROM (SELECT v.case_id, query_ord, v.mod_ord, v.row_ord, sum(w * weight) AS vector_score FROM qv q JOIN vec v ON v.case_id = q.case_id AND v.term = q.term WHERE query_ord <= {most} GROUP BY ALL) s) r WHERE rank <= 20)"""
-
-
 HYBRID = f"""{ppr_sql(ROUNDS)},
 gs AS MATERIALIZED (SELECT case_id, entity_id, rank, score / max(score) OVER (PARTITION BY case_id) AS graph_score FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY round(score, 12) DESC, entity_id) AS rank FROM k{ROUNDS}) t WHERE rank <= 15),
 kept AS MATERIALIZED (SELECT o.* FROM fx_rows o LEFT JOIN ins i ON i.case_id = o.case_id AND i.entity_id = o.entity_id WHERE o.entity_id IS NULL OR i.entity_id IS NOT NULL),
@@ -102,7 +86,7 @@ def top_entities(spark, sf):
 SELECT case_id, size AS candidates FROM n""")
 def rank_without_seed(spark, sf):
     """Alerts without an entry, or with a foreign one, count the whole topology of their case."""
-    e, x = view(spark, sf, "fx_entities"), view(spark, sf, "fx_edges")
+    e, x = view(spark, sf, "fx_entities"), stage(view(spark, sf, "fx_edges").select("case_id", "src", "dst"), "edges")
     entry = F.when(F.col("case_id") < "r3", "gone")
     seeds = view(spark, sf, "fx_seed").select("case_id", entry.alias("entity_id"))
     inside, scores = graph.ranked_entities(graph.nodes_of(e, x), x, seeds, iterations=5)
@@ -111,68 +95,96 @@ def rank_without_seed(spark, sf):
 
 
 ASK = summarize.ASK.replace("'", "''")
-AGENT_PROMPTS = f"""{SUMMARY}, ag AS (SELECT 'metrics_agent' AS agent, 'metric' AS word UNION ALL SELECT 'logs_agent', 'log' UNION ALL SELECT 'trace_agent', 'span'),
+FINAL_ASK = summarize.FINAL_ASK.replace("'", "''")
+
+
+def agents_sql(known: bool) -> str:
+    """Bodies of the agents' requests, from the summary ``su``: every alert has one for each agent."""
+    ids = "(SELECT to_json(list(entity_id ORDER BY rank)) FROM fx_scores c WHERE c.case_id = a.case_id)" if known else "NULL"
+    ends = [f"(SELECT to_json(list(DISTINCT {x} ORDER BY {x})) FROM fx_edges e WHERE e.case_id = a.case_id AND {y} = a.entry_entity_id)" if known else "NULL" for x, y in (("src", "dst"), ("dst", "src"))]
+    return f"""ag AS (SELECT 'metrics_agent' AS agent, 'metric' AS word UNION ALL SELECT 'logs_agent', 'log' UNION ALL SELECT 'trace_agent', 'span'),
 hw AS (SELECT s.*, agent, contains(lower(bullet), word) AS hit FROM su s CROSS JOIN ag), hx AS (SELECT *, bool_or(hit) OVER (PARTITION BY case_id, agent) AS any_hit FROM hw),
 ln AS (SELECT case_id, agent, entity_rank, entity_id || E'\\n' || string_agg('  • ' || bullet, E'\\n' ORDER BY n) AS line FROM hx WHERE hit OR NOT any_hit GROUP BY case_id, agent, entity_rank, entity_id),
-tx AS (SELECT case_id, agent, 'Evidence:' || E'\\n' || string_agg(line, E'\\n' ORDER BY entity_rank) AS body FROM ln GROUP BY case_id, agent),
-nb_ AS (SELECT s.case_id, (SELECT coalesce(to_json(list(DISTINCT src ORDER BY src)), '[]') FROM fx_edges e WHERE e.case_id = s.case_id AND dst = s.entity_id) AS up,
-(SELECT coalesce(to_json(list(DISTINCT dst ORDER BY dst)), '[]') FROM fx_edges e WHERE e.case_id = s.case_id AND src = s.entity_id) AS down FROM fx_seed s),
-cd AS (SELECT case_id, to_json(list(entity_id ORDER BY rank)) AS ids FROM fx_scores GROUP BY case_id),
-tp AS (SELECT n.case_id, 'topology_agent' AS agent, 'Upstream: ' || up || E'\\nDownstream: ' || down || E'\\nCandidates: ' || coalesce(ids, '[]') AS body FROM nb_ n LEFT JOIN cd ON cd.case_id = n.case_id)"""
+tx AS (SELECT case_id, agent, string_agg(line, E'\\n' ORDER BY entity_rank) AS body FROM ln GROUP BY case_id, agent),
+bo AS (SELECT a.case_id, a.agent, alert_text, 'Evidence:' || E'\\n' || coalesce(body, '') AS body FROM (SELECT case_id, alert_text, agent FROM fx_requests CROSS JOIN ag) a LEFT JOIN tx ON tx.case_id = a.case_id AND tx.agent = a.agent
+UNION ALL SELECT a.case_id, 'topology_agent', alert_text, 'Upstream: ' || coalesce({ends[0]}, '[]') || E'\\nDownstream: ' || coalesce({ends[1]}, '[]') || E'\\nCandidates: ' || coalesce({ids}, '[]') FROM fx_requests a)"""
 
 
-@query(f"""WITH {AGENT_PROMPTS} SELECT x.case_id, 'proposed_hybrid' AS system, agent, 'Alert: ' || alert_text || E'\\n\\n' || body || E'\\n\\n' || '{ASK}' AS prompt FROM (SELECT * FROM tx UNION ALL SELECT * FROM tp) x JOIN fx_alerts a ON a.case_id = x.case_id""")
+@query(f"""WITH {SUMMARY}, {agents_sql(True)} SELECT case_id, 'proposed_hybrid' AS system, agent, 'Alert: ' || alert_text || E'\\n\\n' || body || E'\\n\\n' || '{ASK}' AS prompt FROM bo""")
 def prompt_table(spark, sf):
+    """The agents' requests of every alert, of one without evidence, neighbours and candidates too."""
     near = graph.neighbours(view(spark, sf, "fx_edges"), view(spark, sf, "fx_seed"))
-    alerts = view(spark, sf, "fx_alerts").select("case_id", "alert_text")
-    return summarize.prompt_table(summarize.summary(view(spark, sf, "fx_evidence")), alerts, near, view(spark, sf, "fx_scores"))
+    return summarize.prompt_table(summarize.summary(view(spark, sf, "fx_evidence")), view(spark, sf, "fx_requests"), near, view(spark, sf, "fx_scores"))
 
 
-FINAL_ASK = summarize.FINAL_ASK.replace("'", "''")
-FAULTS = "SELECT o_orderpriority AS slug, 'orders of priority ' || o_orderpriority || ' late by error' AS definition FROM orders GROUP BY o_orderpriority"
-SHORT = f"""fl AS (SELECT case_id, string_agg(entity_id || ': ' || line, E'\\n' ORDER BY entity_rank) AS text FROM (SELECT case_id, entity_rank, entity_id, string_agg(bullet, '; ' ORDER BY n) AS line FROM su GROUP BY case_id, entity_rank, entity_id) l GROUP BY case_id),
+SAMPLED = """sm AS (SELECT * EXCLUDE (n), 0.0::DOUBLE AS hybrid_score, row_number() OVER (PARTITION BY case_id ORDER BY mod_ord, n) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY case_id, modality ORDER BY (coalesce(entity_id, '') = '')::INTEGER, row_ord, entity_id NULLS FIRST, text) AS n FROM fx_obs) t WHERE n <= 40)"""
+
+
+@query(f"""WITH {SAMPLED}, {SUMMARY.replace('fx_evidence', 'sm')}, {agents_sql(False)} SELECT case_id, 'multi_agent_only' AS system, agent, 'Alert: ' || alert_text || E'\\n\\n' || body || E'\\n\\n' || '{ASK}' AS prompt FROM bo""")
+def multi_agent_prompts(spark, sf):
+    """The agents' requests of the system without retrieval: sampled evidence, no topology."""
+    sampled = hybrid.sampled_evidence(view(spark, sf, "fx_obs"))
+    return summarize.prompt_table(summarize.summary(sampled), view(spark, sf, "fx_requests"), system="multi_agent_only")
+
+
+FAULTS = "SELECT o_orderpriority AS slug, CASE WHEN o_orderpriority NOT LIKE '3%' THEN 'orders of priority ' || o_orderpriority || ' late by error' END AS definition FROM orders GROUP BY o_orderpriority"
+FLAT = "fl AS (SELECT case_id, string_agg(entity_id || ': ' || line, E'\\n' ORDER BY entity_rank) AS text FROM (SELECT case_id, entity_rank, entity_id, string_agg(bullet, '; ' ORDER BY n) AS line FROM su GROUP BY case_id, entity_rank, entity_id) l GROUP BY case_id)"
+LINES = "fl AS (SELECT case_id, string_agg(line, E'\\n' ORDER BY entity_rank) AS text FROM (SELECT case_id, entity_rank, entity_id || E'\\n' || string_agg('  • ' || bullet, E'\\n' ORDER BY n) AS line FROM su GROUP BY case_id, entity_rank, entity_id) l GROUP BY case_id)"
+
+
+def short_sql(text: str) -> str:
+    """CTEs up to ``th``: the hints of each request, by the five types nearest to ``fl``, all where there is no text."""
+    return rf"""{text},
 fv AS (SELECT case_id, term, n / sqrt(sum(n * n) OVER (PARTITION BY case_id)) AS w FROM (SELECT case_id, term, CAST(count(*) AS DOUBLE) AS n FROM (SELECT case_id, unnest(string_split_regex(lower(text), '[^a-z]+')) AS term FROM fl) x WHERE term <> '' GROUP BY case_id, term) y),
-dv AS (SELECT slug, term, n / sqrt(sum(n * n) OVER (PARTITION BY slug)) AS w FROM (SELECT slug, term, CAST(count(*) AS DOUBLE) AS n FROM (SELECT slug, unnest(string_split_regex(lower(slug || ': ' || definition), '[^a-z]+')) AS term FROM ({FAULTS}) f) x WHERE term <> '' GROUP BY slug, term) y),
-sl AS (SELECT case_id, slug, row_number() OVER (PARTITION BY case_id ORDER BY round(sum(fv.w * dv.w), 9) DESC, slug) AS rank FROM fv JOIN dv ON dv.term = fv.term GROUP BY case_id, slug)"""
+fd AS MATERIALIZED ({FAULTS}),
+dv AS (SELECT slug, term, n / sqrt(sum(n * n) OVER (PARTITION BY slug)) AS w FROM (SELECT slug, term, CAST(count(*) AS DOUBLE) AS n FROM (SELECT slug, unnest(string_split_regex(lower(concat_ws(': ', slug, definition)), '[^a-z]+')) AS term FROM fd) x WHERE term <> '' GROUP BY slug, term) y),
+ds AS (SELECT case_id, slug, sum(fv.w * dv.w) AS s FROM fv JOIN dv ON dv.term = fv.term GROUP BY case_id, slug),
+sl AS (SELECT * FROM (SELECT fl.case_id, fd.slug, definition, coalesce(s, 0) AS similarity, CAST(row_number() OVER (PARTITION BY fl.case_id ORDER BY round(coalesce(s, 0), 9) DESC, fd.slug) AS INTEGER) AS rank
+FROM fl CROSS JOIN fd LEFT JOIN ds ON ds.case_id = fl.case_id AND ds.slug = fd.slug WHERE regexp_matches(text, '\S')) r WHERE rank <= 5),
+st AS (SELECT case_id, E'Likely fault types:\n' || string_agg('- ' || slug || format(' (similarity {{:.3f}})', round(similarity, 3)) || coalesce(': ' || definition, ''), E'\n' ORDER BY rank) AS types FROM sl GROUP BY case_id),
+al AS (SELECT E'Fault types:\n' || string_agg('- ' || slug || coalesce(': ' || definition, ''), E'\n' ORDER BY slug) AS types FROM fd),
+th AS (SELECT a.case_id, a.entry_entity_id, a.alert_text, al.types AS every, coalesce(st.types, al.types) AS types FROM fx_requests a CROSS JOIN al LEFT JOIN st ON st.case_id = a.case_id)"""
 
 
-def _shortlist(spark, sf):
-    flat = summarize.flat_text(summarize.summary(view(spark, sf, "fx_evidence"))).withColumnRenamed("summary_text", "text")
+def _definitions(spark, sf):
     base(spark, sf, "orders").createOrReplaceTempView("orders")
-    return retrieve.shortlist(flat, spark.sql(FAULTS), 5)
+    return spark.sql(FAULTS)
 
 
-@query(f"WITH {SUMMARY}, {SHORT} SELECT * FROM sl WHERE rank <= 5")
+def _shortlist(spark, sf):
+    flat = stage(summarize.flat_text(summarize.summary(view(spark, sf, "fx_evidence"))).withColumnRenamed("summary_text", "text"), "texts")
+    return retrieve.shortlist(flat, _definitions(spark, sf), 5)
+
+
+@query(f"WITH {SUMMARY}, {short_sql(FLAT)} SELECT case_id, slug, rank, round(similarity, 6) AS similarity FROM sl")
 def summary_shortlist(spark, sf):
-    """The five fault types nearest to each case's flat summary."""
-    return _shortlist(spark, sf)
+    """The five fault types nearest to each case's flat summary, also such without a common word."""
+    return _shortlist(spark, sf).withColumn("similarity", F.round("similarity", 6))
 
 
-@query(f"""WITH {SUMMARY}, {SHORT}, st AS (SELECT case_id, string_agg('- ' || slug, E'\\n' ORDER BY rank) AS types FROM sl WHERE rank <= 5 GROUP BY case_id),
+@query(f"""WITH {SUMMARY}, {short_sql(FLAT)},
 fi AS (SELECT case_id, '{{"logs_agent":{{"summary":"","supporting_evidence":[],"confidence":0.0}},"metrics_agent":{{"entity_id":"' || predicted || '","summary":"s","supporting_evidence":["' || step1 || '"],"confidence":0.5}}}}' AS said FROM fx_pred WHERE sys = 0)
-SELECT a.case_id, 'proposed_hybrid' AS system, 'coordinator' AS agent, 'Alert: ' || alert_text || E'\\n\\nFindings:\\n' || said || E'\\n\\nLikely fault types:\\n' || types || E'\\n\\n' || '{FINAL_ASK}' AS prompt
-FROM fx_alerts a JOIN fi ON fi.case_id = a.case_id JOIN st ON st.case_id = a.case_id""")
+SELECT a.case_id, 'proposed_hybrid' AS system, 'coordinator' AS agent, 'Alert: ' || alert_text || E'\\n\\nFindings:\\n' || coalesce(said, '{{}}') || E'\\n\\n' || types || E'\\n\\n' || '{FINAL_ASK}' AS prompt
+FROM th a LEFT JOIN fi ON fi.case_id = a.case_id""")
 def coordinator_prompts(spark, sf):
     p = view(spark, sf, "fx_pred").where("sys = 0")
     none = F.array().cast("array<string>")
     good = p.select("case_id", F.lit("metrics_agent").alias("agent"), F.col("predicted").alias("entity_id"), F.lit("s").alias("summary"), F.array("step1").alias("supporting_evidence"), F.lit(0.5).alias("confidence"))
     other = p.select("case_id", F.lit("logs_agent").alias("agent"), F.lit(None).cast("string").alias("entity_id"), F.lit("").alias("summary"), none.alias("supporting_evidence"), F.lit(0.0).alias("confidence"))
-    alerts = view(spark, sf, "fx_alerts").select("case_id", "alert_text")
-    return summarize.coordinator_prompts(alerts, good.unionByName(other), _shortlist(spark, sf))
+    return summarize.coordinator_prompts(view(spark, sf, "fx_requests"), good.unionByName(other), _shortlist(spark, sf), _definitions(spark, sf))
 
 
-@query(f"""WITH {SUMMARY}, {SHORT}, st AS (SELECT case_id, string_agg('- ' || slug, E'\\n' ORDER BY rank) AS types FROM sl WHERE rank <= 5 GROUP BY case_id),
-al AS (SELECT string_agg('- ' || slug, E'\\n' ORDER BY slug) AS types FROM ({FAULTS}) f),
-ln AS (SELECT case_id, entity_rank, entity_id || E'\\n' || string_agg('  • ' || bullet, E'\\n' ORDER BY n) AS line FROM su GROUP BY case_id, entity_rank, entity_id), tx AS (SELECT case_id, string_agg(line, E'\\n' ORDER BY entity_rank) AS body FROM ln GROUP BY case_id),
-cd AS (SELECT case_id, string_agg(rank || '. ' || entity_id, E'\\n' ORDER BY rank) AS ids FROM fx_scores GROUP BY case_id)
-SELECT a.case_id, 'standard_rag' AS system, 'single' AS agent, 'Alert: ' || alert_text || E'\\n\\nEvidence:\\n' || body || E'\\n\\nLikely fault types:\\n' || types || E'\\n\\n' || '{FINAL_ASK}' AS prompt FROM fx_alerts a JOIN tx ON tx.case_id = a.case_id JOIN st ON st.case_id = a.case_id
-UNION ALL SELECT a.case_id, 'graphrag_only', 'single', 'Alert: ' || alert_text || E'\\n\\nEntry: ' || entry_entity_id || E'\\nCandidates:\\n' || ids || E'\\n\\nFault types:\\n' || types || E'\\n\\n' || '{FINAL_ASK}' FROM fx_alerts a JOIN cd ON cd.case_id = a.case_id CROSS JOIN al
-UNION ALL SELECT a.case_id, 'direct_llm', 'single', 'Alert: ' || alert_text || E'\\n\\nFault types:\\n' || types || E'\\n\\n' || '{FINAL_ASK}' FROM fx_alerts a CROSS JOIN al""")
+@query(f"""WITH {SUMMARY}, {short_sql(LINES)},
+cd AS (SELECT case_id, string_agg(rank || '. ' || entity_id || format(' ({{:.3f}})', round(graph_score, 3)), E'\\n' ORDER BY rank) AS ids FROM fx_scores GROUP BY case_id)
+SELECT a.case_id, 'standard_rag' AS system, 'single' AS agent, 'Alert: ' || alert_text || E'\\n\\nEvidence:\\n' || coalesce(fl.text, '') || E'\\n\\n' || types || E'\\n\\n' || '{FINAL_ASK}' AS prompt FROM th a LEFT JOIN fl ON fl.case_id = a.case_id
+UNION ALL SELECT a.case_id, 'graphrag_only', 'single', 'Alert: ' || alert_text || E'\\n\\nEntry: ' || coalesce(entry_entity_id, 'none') || E'\\nCandidates:\\n' || coalesce(ids, '') || E'\\n\\n' || every || E'\\n\\n' || '{FINAL_ASK}' FROM th a LEFT JOIN cd ON cd.case_id = a.case_id
+UNION ALL SELECT case_id, 'direct_llm', 'single', 'Alert: ' || alert_text || E'\\n\\n' || every || E'\\n\\n' || '{FINAL_ASK}' FROM th""")
 def baseline_prompts(spark, sf):
-    alerts = view(spark, sf, "fx_alerts")
-    text = summarize.summary_text(summarize.summary(view(spark, sf, "fx_evidence")))
-    base(spark, sf, "orders").createOrReplaceTempView("orders")
-    return summarize.baseline_prompts(alerts, text, _shortlist(spark, sf), view(spark, sf, "fx_scores"), spark.sql(FAULTS).select("slug"))
+    """One request of every alert for each system of one call; the text's own shortlist goes with it."""
+    text = stage(summarize.summary_text(summarize.summary(view(spark, sf, "fx_evidence"))), "texts")
+    short = retrieve.shortlist(text.withColumnRenamed("summary_text", "text"), _definitions(spark, sf), 5)
+    return summarize.baseline_prompts(view(spark, sf, "fx_requests"), text, short, view(spark, sf, "fx_scores"), _definitions(spark, sf))
 
 
 @query("SELECT case_id, CASE WHEN case_id < 'r2' THEN target ELSE s_name END AS target FROM fx_truth JOIN supplier ON 'supplier:' || s_suppkey = target")

@@ -43,6 +43,8 @@ WHERE event_type = 'error' GROUP BY n_regionkey, c_custkey, c_name) s WHERE n =
     "fx_alerts": """
 SELECT case_id, entity_id AS entry_entity_id, name AS entity_name,
        'High error rate, latency: ' || name || ' errors; timeout of quantity and click. click metric errors;' AS alert_text FROM fx_seed""",
+    "fx_requests": """
+SELECT case_id, entry_entity_id, alert_text FROM fx_alerts UNION ALL SELECT 'rx', CAST(NULL AS STRING), 'Nothing is known of this case'""",
     "fx_obs": """
 SELECT 'r' || n_regionkey AS case_id, 'metrics' AS modality, 0 AS mod_ord, l_orderkey * 10 + l_linenumber AS row_ord, 'supplier:' || s_suppkey AS entity_id,
        l_shipdate AS ts, '[metric] ' || s_name || ' quantity=' || CAST(l_quantity AS BIGINT) AS text, 'metrics' AS source_file
@@ -68,13 +70,10 @@ UNION SELECT 'r' || n_regionkey, s_name FROM supplier JOIN nation ON n_nationkey
 UNION SELECT 'r' || n_regionkey, 'x-' || s_name FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey % 2 = 0
 UNION SELECT 'r' || n_regionkey, 'unknown ' || s_suppkey FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey % 9 = 0
 UNION SELECT 'r' || n_regionkey, n_name || '::' || CASE WHEN c_custkey % 20 = 0 THEN '' WHEN c_custkey % 20 = 10 THEN 'nothing' ELSE c_name END
-FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey % 10 = 0""",
+FROM customer JOIN nation ON n_nationkey = c_nationkey""",
     "fx_scores": """
 SELECT case_id, entity_id, CAST(1 AS DOUBLE) / rank AS graph_score, rank FROM (
 SELECT case_id, dst AS entity_id, row_number() OVER (PARTITION BY case_id ORDER BY count(*) DESC, dst) AS rank FROM fx_edges GROUP BY case_id, dst) t WHERE rank <= 15""",
-    "fx_hits": """
-SELECT o.*, q AS query_ord, row_number() OVER (PARTITION BY case_id, q ORDER BY row_ord % (7 + q), row_ord, mod_ord, entity_id, text) AS rank, CAST((row_ord * (q + 3)) % 101 AS DOUBLE) / 101 AS vector_score
-FROM fx_obs o CROSS JOIN (SELECT 0 AS q UNION ALL SELECT 1 UNION ALL SELECT 2) qs WHERE row_ord % 3 = q % 2 AND modality <> 'logs'""",
     "fx_evidence": """
 SELECT case_id, modality, mod_ord, row_ord, entity_id, ts, text, source_file, hybrid_score, row_number() OVER (PARTITION BY case_id ORDER BY hybrid_score DESC, mod_ord, row_ord, entity_id, text) AS rank
 FROM (SELECT o.*, CAST((row_ord * 37 + mod_ord * 11) % 997 AS DOUBLE) / 997 AS hybrid_score FROM fx_obs o

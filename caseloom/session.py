@@ -33,3 +33,15 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stage_by(df: DataFrame, label: str, *keys: str) -> DataFrame:
+    """Write ``df`` as a table bucketed by ``keys``: joins on them read it where it lies, without a shuffle.
+
+    There are as many buckets as shuffle partitions, so the other side's shuffle fits them.
+    """
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"caseloom_{label}_{uuid.uuid4().hex}".replace("-", "_")
+    df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).option("path", fresh_path(spark, label)).saveAsTable(name)
+    return spark.table(name)

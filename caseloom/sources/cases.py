@@ -6,8 +6,14 @@ from the path, row order from the file.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.scalars import iso_timestamp, json_map, present, tag_attribute
 
@@ -23,8 +29,6 @@ TELEMETRY = {
 EDGE_KEYS = ("edges", "relations", "links", "calls", "dependencies")
 SRC, DST = ("src", "source", "from", "source_id", "caller"), ("dst", "target", "to", "target_id", "callee")
 RELATION = ("relation", "relation_type", "type")
-_ENTITY = "struct<id:string,type:string,name:string,props:map<string,string>>"
-_EDGE = "struct<" + ",".join(f"`{c}`:string" for c in (*SRC, *DST, *RELATION)) + ">"
 _EXPECTED = "struct<comparator:string,value:string,unit:string>"
 _STEP = f"struct<step:string,step_type:string,target:string,fault_id:string,description:string,observability:array<struct<source_type:string,signal:string,expected:{_EXPECTED}>>>"
 TRUTH = (
@@ -45,10 +49,68 @@ def read_manifest(spark: SparkSession, path: str, n_cases: int | None = None) ->
     return out if n_cases is None else out.orderBy("ord").limit(n_cases)
 
 
+def telemetry_files(spark: SparkSession, root: str, modality: str) -> DataFrame:
+    """case_id, path, columns (array of name, type): what each file of one kind holds, as its footer says.
+
+    The files are listed by Spark; footers are read in tasks, by ``pyarrow.fs``.
+    """
+    listed = spark.read.format("binaryFile").load(f"{root}/*/{modality}.parquet").select("path")
+
+    def footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for path in batch.column(0).to_pylist():
+                store, inside = fs.FileSystem.from_uri(path)
+                with store.open_input_file(inside) as f:
+                    found.append([{"name": c.name, "type": _spark_type(c.type)} for c in pq.read_schema(f)])
+            kind = pa.list_(pa.struct([("name", pa.string()), ("type", pa.string())]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], names=["path", "columns"])
+
+    found = listed.mapInArrow(footers, "path string, columns array<struct<name:string,type:string>>")
+    return found.select(_telemetry_case(F.col("path"), modality).alias("case_id"), "path", "columns")
+
+
+def _spark_type(t: pa.DataType) -> str:
+    from pyspark.sql.pandas.types import from_arrow_type
+
+    return from_arrow_type(t).simpleString()
+
+
+def _telemetry_case(path: Column, modality: str) -> Column:
+    return F.regexp_extract(path, rf"([^/]+)/{modality}\.parquet", 1)
+
+
 def read_telemetry(spark: SparkSession, root: str, modality: str) -> DataFrame:
-    """Raw rows of one kind for all cases, missing columns null: case_id, row_ord, columns."""
-    df = spark.read.schema(TELEMETRY[modality]).parquet(f"{root}/*/{modality}.parquet")
-    return df.select(_case_of(F.col("_metadata.file_path"), 2).alias("case_id"), F.col("_metadata.row_index").alias("row_ord"), *df.columns)
+    """Raw rows of one kind for all cases, missing columns null: case_id, row_ord, columns.
+
+    Files need not agree on their columns' types: they are grouped by the types that they have,
+    each group is read as it is and cast to the common types (what can't be cast is null, times
+    become microseconds). There are as many groups as combinations of types, mostly one.
+    """
+    wanted = [(f.name, f.dataType.simpleString()) for f in StructType.fromDDL(TELEMETRY[modality])]
+    known = F.filter("columns", lambda c: c["name"].isin([n for n, _ in wanted]))
+    groups = telemetry_files(spark, root, modality).groupBy(F.array_sort(known).alias("columns")).agg(F.collect_list("path").alias("paths"))
+    out = None
+    for group in groups.collect():  # the list of paths is on the driver anyway, to be read
+        types = {c["name"]: c["type"] for c in group["columns"]}
+        df = spark.read.schema(", ".join(f"`{n}` {types.get(n, t)}" for n, t in wanted)).parquet(*group["paths"])
+        columns = [_common(F.col(f"`{n}`"), types.get(n, t), t).alias(n) for n, t in wanted]
+        at = _telemetry_case(F.col("_metadata.file_path"), modality)
+        part = df.select(at.alias("case_id"), F.col("_metadata.row_index").alias("row_ord"), *columns)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _common(c: Column, given: str, wanted: str) -> Column:
+    if given == wanted:
+        return c
+    if given.startswith("timestamp") and wanted == "bigint":
+        return F.unix_micros(c.cast("timestamp"))
+    if given in ("double", "float") and wanted == "string":  # whole numbers that a missing value turned into fractions
+        return F.coalesce(F.when(c == F.floor(c), F.floor(c).cast("string")), c.cast("string"))
+    if given == "string" and wanted == "bigint":
+        return F.coalesce(c.try_cast("bigint"), F.floor(c.try_cast("double")))
+    return c.try_cast(wanted)
 
 
 def parse_topology(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -57,18 +119,20 @@ def parse_topology(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     Of a repeated id the last attributes count, at its first place. Edges without an end
     are dropped; of repeated edges the last relation counts.
     """
-    nodes = F.from_json(F.get_json_object("value", "$.entities"), f"array<{_ENTITY}>")
-    e = raw.select("case_id", F.posexplode(nodes).alias("ord", "n")).where("n.id is not null")
+    parsed = raw.select("case_id", F.try_parse_json("value").alias("v"))
+    get = lambda c, k, t="string": F.try_variant_get(c, f"$.{k}", t)
+    e = parsed.select("case_id", F.posexplode(get(F.col("v"), "entities", "array<variant>")).alias("ord", "x")).select(
+        "case_id", "ord", F.struct(*[get(F.col("x"), k).alias(k) for k in ("id", "type", "name")], get(F.col("x"), "props", "map<string,string>").alias("props")).alias("n")
+    ).where("n.id is not null")
     entities = e.groupBy("case_id", F.col("n.id").alias("entity_id")).agg(F.max_by("n", "ord").alias("n"), F.min("ord").cast("bigint").alias("ord"))
     props = F.coalesce(F.col("n.props"), F.create_map().cast("map<string,string>"))
     entities = entities.select(
         "case_id", "entity_id", "ord", F.coalesce("n.type", F.lit("unknown")).alias("entity_type"), "n.name",
         props["pod_name"].alias("pod_name"), props["service"].alias("service"), props.alias("attributes"),
     )
-    lists = [F.get_json_object("value", f"$.{k}") for k in EDGE_KEYS]
-    chosen = F.coalesce(*[F.when(x.startswith("["), x) for x in lists])
-    x = raw.select("case_id", F.posexplode(F.from_json(chosen, f"array<{_EDGE}>")).alias("ord", "e"))
-    pick = lambda names: present(*[F.col(f"e.`{c}`") for c in names])
+    chosen = F.coalesce(*[get(F.col("v"), k, "array<variant>") for k in EDGE_KEYS])
+    x = parsed.select("case_id", F.posexplode(chosen).alias("ord", "e"))
+    pick = lambda names: present(*[get(F.col("e"), c) for c in names])
     edges = x.select("case_id", "ord", pick(SRC).alias("src"), pick(DST).alias("dst"), F.coalesce(pick(RELATION), F.lit("related_to")).alias("relation"))
     edges = edges.where("src is not null and dst is not null").groupBy("case_id", "src", "dst").agg(
         F.max_by("relation", "ord").alias("relation"), F.min("ord").cast("bigint").alias("ord")
@@ -86,7 +150,8 @@ def parse_tasks(raw: DataFrame) -> DataFrame:
 
     The tag in the prompt stands in only where the structured id is null.
     """
-    get = lambda k: F.get_json_object("value", f"$.{k}")
+    raw = raw.select("case_id", "value", F.try_parse_json("value").alias("v"))
+    get = lambda k: F.try_variant_get("v", f"$.{k}", "string")
     prompt = F.coalesce(get("prompt_text"), F.lit(""))
     given = get("alert_entity.entity_id").isNotNull()
     pick = lambda k: F.when(given, get(f"alert_entity.{k}")).otherwise(F.coalesce(tag_attribute(prompt, k), get(f"alert_entity.{k}") if k != "entity_id" else F.lit(None)))
@@ -106,9 +171,12 @@ def parse_truth(raw: DataFrame, mapping: DataFrame | None = None) -> DataFrame:
 
     The real case id is the given one, else the mapping's, else the task's.
     """
-    inner = F.from_json(F.get_json_object("value", "$.raw_ground_truth"), TRUTH)
-    names = F.from_json(F.get_json_object("value", "$.root_cause_entities"), "array<string>")
-    out = raw.select("task_id", present(F.get_json_object("value", "$.case_id")).alias("given"), inner.alias("t"), names.alias("root_cause_entities"))
+    get = lambda k, t="string": F.try_variant_get("v", f"$.{k}", t)
+    parsed = raw.select("task_id", F.try_parse_json("value").alias("v"))
+    out = parsed.select(
+        "task_id", present(get("case_id")).alias("given"), F.from_json(get("raw_ground_truth"), TRUTH).alias("t"),
+        get("root_cause_entities", "array<string>").alias("root_cause_entities"),
+    )
     mapped = out.withColumn("mapped", F.lit(None).cast("string")) if mapping is None else out.join(mapping.withColumnRenamed("case_id", "mapped"), "task_id", "left")
     return mapped.select(
         "task_id", F.coalesce("given", present(F.col("mapped")), "task_id").alias("case_id"),
@@ -141,6 +209,14 @@ def write_vectors(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("case_id").parquet(path)
 
 
+def read_vectors(spark: SparkSession, path: str, schema: str, cases: DataFrame) -> DataFrame:
+    """Vectors of the cases in ``cases`` (case_id): files of other cases aren't opened.
+
+    ``schema`` names the columns, case_id among them. The join prunes partitions at run time.
+    """
+    return spark.read.schema(schema).parquet(path).join(F.broadcast(cases.select("case_id").distinct()), "case_id", "left_semi")  # ids of cases
+
+
 def profile(df: DataFrame) -> DataFrame:
     """Per column: type, rows, nulls; one pass over the data."""
     counts = df.agg(F.count(F.lit(1)).alias("__rows"), *[F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in df.columns])

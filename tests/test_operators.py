@@ -86,6 +86,27 @@ def test_first_query_wins_but_merging_keeps_the_best(spark):
     assert [r.hybrid_score for r in best.collect()] == [0.9] and [r.hybrid_score for r in retrieve.merge(best).collect()] == [0.9]
 
 
+def test_observations_are_combined_by_digest(spark):
+    schema = "case_id string, source_file string, entity_id string, ts timestamp, text string, query_ord int, list_ord int, rank int, hybrid_score double"
+    rows = [("c", "f", e, None, t, 1, 0, 1, 0.5) for e, t in ((None, "a"), ("", "a"), ("a", None), ("a", ""), (None, "a"))]
+    e = spark.createDataFrame(rows, schema)
+    assert retrieve.merge(e).count() == 4  # null and empty differ
+    plan = retrieve.merge(e)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "hashpartitioning(__same" in plan
+    micro = spark.sql("SELECT 'c' AS case_id, 'f' AS source_file, 'a' AS entity_id, timestamp_micros(m) AS ts, 't' AS text, 1 AS query_ord, 0 AS list_ord, 1 AS rank, 0.5D AS hybrid_score FROM VALUES (1L), (2L), (2L) x(m)")
+    assert retrieve.first_query_wins(micro).count() == 2
+
+
+def test_few_unwanted_observations_reach_the_join(spark):
+    o = spark.range(20_000).selectExpr("'c' as case_id", "case when id % 50 = 0 then null else concat('e', id) end as entity_id", "id")
+    ids = spark.range(300).selectExpr("'c' as case_id", "concat('e', id * 60 + 1) as entity_id")
+    kept = retrieve.maybe_wanted(o, ids)
+    exact = o.join(ids, ["case_id", "entity_id"], "left_semi")
+    assert exact.count() > 200 and exact.join(kept, "id", "left_anti").isEmpty()
+    assert kept.count() <= exact.count() + 40 and kept.columns == o.columns
+    assert retrieve.maybe_wanted(o, ids.limit(0)).isEmpty()
+
+
 def test_window_ends_count(spark):
     o = spark.sql("SELECT 'c' AS case_id, m, timestamp'2024-01-01 12:00:00' + make_interval(0,0,0,0,0,m) AS ts FROM VALUES (-16), (-15), (0), (15), (16), (NULL) t(m)")
     c = spark.sql("SELECT 'c' AS case_id, 1 AS centre_id, timestamp'2024-01-01 12:00:00' AS centre")
@@ -151,7 +172,7 @@ def test_shortlist_by_text(spark):
     d = spark.createDataFrame([("F1-disk", "disk writes are slow"), ("F2-dns", "lookups fail"), ("F3-cpu", "cpu is busy")], "slug string, definition string")
     t = spark.createDataFrame([("a", "slow disk, slow writes"), ("b", " "), ("c", "cpu and dns lookups fail")], "case_id string, text string")
     got = [(r.case_id, r.slug) for r in retrieve.shortlist(t, d, 2).orderBy("case_id", "rank").collect()]
-    assert got == [("a", "F1-disk"), ("c", "F2-dns"), ("c", "F3-cpu")]
+    assert got == [("a", "F1-disk"), ("a", "F2-dns"), ("c", "F2-dns"), ("c", "F3-cpu")]
 
 
 def test_ranking_falls_back_to_the_whole_graph(spark):
@@ -175,12 +196,85 @@ def test_pagerank_tries_again_with_a_wider_tolerance(spark):
     assert {r.entity_id: r.score for r in got.collect()} == pytest.approx({r.entity_id: r.score for r in want.collect()})
 
 
-def test_search_ends_when_all_are_found(spark):
-    x = edges(spark, *[(f"n{i}", f"n{i + 1}") for i in range(9)])
-    pairs = graph.undirected(x)
-    assert graph.bfs(pairs, seed(spark, "n0"), 9, wanted=seed(spark, "n2")).count() == 3
-    assert graph.bfs(pairs, seed(spark, "n0"), 9, wanted=seed(spark, "n2", "gone")).count() == 3  # without an edge: not waited for
-    assert [r.hop for r in graph.path_lengths(x, seed(spark, "n3", "gone"), seed(spark, "n0")).collect()] == [3]
+def test_ends_meet_in_the_middle(spark, monkeypatch):
+    x = edges(spark, *[(f"n{i}", f"n{i + 1}") for i in range(16)], ("y", "z"))
+    rounds, step = [], graph._next
+    monkeypatch.setattr(graph, "_next", lambda *a: rounds.append(1) or step(*a))
+    lengths = lambda *ids: {r.entity_id: r.hop for r in graph.path_lengths(x, seed(spark, *ids), seed(spark, "n0", "z")).collect()}
+    assert lengths("n0", "n3", "n14", "n15", "gone") == {"n0": 0, "n3": 3, "n14": 14} and len(rounds) == 7
+    rounds.clear()
+    assert lengths("n0", "y", "gone") == {"n0": 0, "y": 1} and len(rounds) == 1
+    rounds.clear()
+    assert lengths("gone") == {} and not rounds  # without an edge: not waited for
+    odd = graph.path_lengths(x, seed(spark, "n3", "n4"), seed(spark, "n0"), hops=3)
+    assert {r.entity_id: r.hop for r in odd.collect()} == {"n3": 3}
+
+
+def test_a_round_shuffles_the_frontier_only(spark):
+    pairs = graph.written(graph.undirected(edges(spark, ("a", "b"), ("b", "c"))))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = graph._next(pairs, seed(spark, "a"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+    assert {r.entity_id for r in graph._next(pairs, seed(spark, "b")).collect()} == {"a", "c"}
+
+
+def ring(n, case="c"):
+    """A ring with chords and a few nodes that lead nowhere."""
+    arcs = [(i, (i + 1) % n) for i in range(n)] + [(i, (i * 7 + 3) % n) for i in range(0, n, 3)]
+    return [(case, f"{case}{a:03d}", f"{case}{b:03d}") for a, b in arcs if a != b and a % 11 != 5]
+
+
+def test_whole_graph_ranking_runs_to_the_tolerance(spark):
+    rows = ring(60) + ring(7, "d") + [("e", "e0", "e1")]
+    x = spark.createDataFrame(rows, "case_id string, src string, dst string")
+    nodes = graph.nodes_of(spark.createDataFrame([("c", "alone")], "case_id string, entity_id string"), x)
+    got = {r.entity_id: r.score for r in graph.global_pagerank(nodes, x).collect()}
+    want, took = {}, {}
+    for case in "cde":
+        own = sorted({a for c, *ab in rows if c == case for a in ab} | ({"alone"} if case == "c" else set()))
+        out = {a: sorted({t for c, s, t in rows if s == a}) for a in own}
+        score = dict.fromkeys(own, 1 / len(own))
+        for took[case] in range(1, 101):
+            was, score = score, dict.fromkeys(own, 0.0)
+            lost = sum(was[a] for a in own if not out[a])
+            for a in own:
+                for b in out[a]:
+                    score[b] += 0.85 * was[a] / len(out[a])
+            score = {a: v + (0.85 * lost + 0.15) / len(own) for a, v in score.items()}
+            if sum(abs(score[a] - was[a]) for a in own) < len(own) * 1e-6:
+                break
+        want |= score
+    assert len(set(took.values())) > 1 and got == pytest.approx(want, rel=1e-9)
+
+
+def test_forward_push_is_exact_and_joins_few_nodes(spark):
+    rows = ring(60) + [("c", "c000", f"leaf{i}") for i in range(40)] + [("d", "d0", "d1")]
+    x = spark.createDataFrame(rows, "case_id string, src string, dst string")
+    starts = spark.createDataFrame([("c", "c010"), ("d", "d0"), ("e", "e0")], "case_id string, entity_id string")
+    nodes = graph.nodes_of(spark.createDataFrame([("e", "e0")], "case_id string, entity_id string"), x)
+    sizes = []
+    got = graph.push_pagerank(nodes, x, starts, k=5, tolerance=1e-9, pushed=lambda df: sizes.append(df.where("case_id = 'c'").count()))
+    got = {r.entity_id: r.score for r in got.collect()}
+    want = {r.entity_id: r.score for r in graph.personalized_pagerank(nodes, x, starts, iterations=150).collect()}
+    assert got == pytest.approx(want, abs=1e-6) and got["e0"] == pytest.approx(1.0)
+    size = sum(k.startswith(("c", "leaf")) for k in want)
+    assert sizes[0] == 1 and sum(sizes) < 0.8 * size * len(sizes)
+
+
+def test_keys_that_share_their_parts_meet_only_their_own_names(spark):
+    """Ten thousand keys of the same pieces: a name meets the keys that it holds or stands in, no others."""
+    keys = spark.range(10_000).selectExpr("'c' as case_id", "format_string('node-%05d', id) as small")
+    names = spark.range(10_000).where("id % 10 = 0").selectExpr("'c' as case_id", "format_string('the node-%05d.x', id) as large")
+    got = resolve.contained(keys, names)
+    assert got.count() == 1000 and got.where("contains(large, small)").count() == 1000
+    back = resolve.contained(names.withColumnRenamed("large", "small"), keys.withColumnRenamed("small", "large"))
+    assert back.count() == 0
+    odd = spark.createDataFrame([("c", ""), ("c", "é日"), ("d", "é日")], "case_id string, small string")
+    held = resolve.contained(odd, spark.createDataFrame([("c", "xé日é日"), ("c", ""), ("d", "é")], "case_id string, large string"))
+    assert [tuple(r) for r in held.collect()] == [("c", "é日", "xé日é日")]
 
 
 def test_names_stand_in_for_target_ids(spark):

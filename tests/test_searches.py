@@ -1,12 +1,15 @@
 """Searches by brute force, every query against every row."""
 
+import math
 import os
+import random
 
 import numpy as np
 import pytest
 
-from caseloom.operators import retrieve
+from caseloom.operators import retrieve, search
 from caseloom.plans import evidence
+from caseloom.sources import cases
 
 SF = "/root/testdata/sf0.001"
 
@@ -30,3 +33,107 @@ def test_query_sets_are_whole(spark):
     found = {r.query_id for r in evidence.cosine_topk(spark, SF).collect()}
     assert found == {r.vec_id for r in emb.where("vec_id % 20 = 0").collect()}
     assert evidence.fault_shortlist(spark, SF).select("vec_id").distinct().count() == emb.count()
+
+
+def sparse_rows(groups=12, each=150):
+    """Rows of a few words of their group, all with one common word; ids in mixed order."""
+    r = random.Random(8)
+    rows = []
+    for i in range(groups * each):
+        g = i % groups
+        rows.append((i, {"common": 1.0} | {f"g{g}w{r.randrange(40)}": 1.0 + r.randrange(3) for _ in range(6)}))
+    rows += [(groups * each + i, {}) for i in range(5)] + [(groups * each + 5 + i, dict(rows[3][1])) for i in range(40)]
+    return rows
+
+
+def unit(words):
+    norm = math.sqrt(sum(w * w for w in words.values()))
+    return {t: w / norm for t, w in words.items()}
+
+
+def test_text_topk_by_force(spark):
+    rows = sparse_rows()
+    flat = [(i, t, w) for i, words in rows for t, w in unit(words).items()] if rows else []
+    vectors = spark.createDataFrame(flat, "doc_id long, term string, weight double").repartition(4)
+    ids = spark.createDataFrame([(i,) for i, _ in rows], "doc_id long")
+    queries = vectors.where("doc_id % 20 = 3 or doc_id = 1801").withColumnRenamed("doc_id", "query_id")
+    asked = ids.where("doc_id % 20 = 3 or doc_id = 1801").withColumnRenamed("doc_id", "query_id")
+    got = {}
+    for r in retrieve.text_topk(queries, vectors, ["query_id"], ["doc_id"], [], 9, asked=asked, rows=ids).orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append((r.doc_id, round(r.vector_score, 9)))
+    every = {i: unit(words) if words else {} for i, words in rows}
+    assert set(got) == {i for i in every if i % 20 == 3 or i == 1801}
+    for q in got:
+        scores = [(round(sum(w * every[i].get(t, 0) for t, w in every[q].items()), 9), i) for i in every]
+        assert got[q] == [(i, pytest.approx(s, abs=2e-9)) for s, i in sorted(scores, key=lambda x: (-x[0], x[1]))[:9]]
+    assert got[1801] == [(i, 0) for i in range(9)]  # a query without words has the first rows
+
+
+def test_blocks_that_cannot_matter_are_left_out(spark):
+    """All rows share a word, so all pairs do; few of them are scored."""
+    rows = [x for x in sparse_rows(24, 100) if x[1]]
+    vectors = spark.createDataFrame([(i, t, w) for i, words in rows for t, w in unit(words).items()], "doc_id long, term string, weight double")
+    queries = vectors.where("doc_id % 20 = 3").withColumnRenamed("doc_id", "query_id")
+    blocks = search.text_blocks(vectors, ["doc_id"], [])
+    _, rest, asked = search.text_candidates(queries, blocks, ["query_id"], [], 5)
+    n = asked.count()
+    assert (rest.count() + n * search.FIRST_BLOCKS) * search.TEXT_BLOCK < 0.35 * n * len(rows)
+
+
+def test_search_keeps_to_its_case_and_fills_up(spark):
+    v = spark.createDataFrame([("a", 1, "x", 1.0), ("b", 2, "x", 1.0), ("a", 3, "y", 1.0)], "case_id string, row long, term string, weight double")
+    rows = spark.createDataFrame([("a", i) for i in range(4)] + [("b", 2)], "case_id string, row long")
+    q = spark.createDataFrame([("a", 0, "x", 1.0), ("b", 0, "y", 1.0)], "case_id string, q long, term string, weight double")
+    got = retrieve.text_topk(q, v, ["case_id", "q"], ["case_id", "row"], ["case_id"], 3, rows=rows).orderBy("case_id", "rank").collect()
+    assert [(r.case_id, r.row, r.vector_score, r["rank"]) for r in got] == [("a", 1, 1.0, 1), ("a", 0, 0.0, 2), ("a", 2, 0.0, 3), ("b", 2, 0.0, 1)]
+
+
+def clustered(n=2400, centres=40, dims=16, spread=0.03):
+    rng = np.random.default_rng(7)
+    c = rng.normal(size=(centres, dims))
+    c /= np.linalg.norm(c, axis=1, keepdims=True)
+    return c[np.arange(n) % centres] + spread * rng.normal(size=(n, dims))
+
+
+def test_cells_that_cannot_matter_are_left_out(spark):
+    x = clustered()
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    q = df.where("vec_id % 20 = 0").selectExpr("vec_id as query_id", "embedding as query")
+    got = {(r.query_id, r["rank"]): r.vec_id for r in retrieve.cosine_topk(q, df, 5, pivots=30).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for i in range(0, len(x), 20):
+        assert [got[i, n + 1] for n in range(5)] == sorted(range(len(x)), key=lambda j: (-round(float(u[i] @ u[j]), 9), j))[:5]
+    pivot = search.pivots_of(df, 30)
+    placed = search.in_cells(df, "vec_id", "embedding", pivot).collect()
+    cells = {}
+    for r in placed:
+        lo, hi = cells.get(r.cell, (9, -9))
+        cells[r.cell] = min(lo, r.lo), max(hi, r.hi)
+    last = {i: float(u[i] @ u[got[i, 5]]) for i in range(0, len(x), 20)}
+    known = spark.createDataFrame(list(last.items()), "id long, score double")
+    asked = search.in_cells(q, "query_id", "query", pivot).select("id", "unit")
+    sent = search.cells_asked(asked, known, cells, pivot).count()
+    assert len(last) <= sent < 0.3 * len(last) * len(cells)
+
+
+def test_a_very_common_vector_is_few_rows(spark):
+    rows = [(i, [1.0, 0.0]) for i in range(3000)] + [(5000, [0.6, 0.8]), (5001, None), (5002, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    q = spark.createDataFrame([(7, [2.0, 0.0]), (8, [0.0, 1.0])], "query_id long, query array<double>")
+    got = {}
+    for r in retrieve.cosine_topk(q, df, 4, pivots=2).orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, round(r.score, 6)))
+    assert got == {7: [(i, 1.0) for i in range(4)], 8: [(5000, 0.8), (0, 0.0), (1, 0.0), (2, 0.0)]}
+
+
+def test_only_files_of_asked_cases_are_opened(spark, tmp_path):
+    df = spark.createDataFrame([(i, [float(i), 1.0], f"c{i % 3}") for i in range(9)], "vec_id long, embedding array<double>, case_id string")
+    cases.write_vectors(df.coalesce(1), str(tmp_path))
+    for f in (tmp_path / "case_id=c1").glob("*.parquet"):
+        f.write_bytes(b"not a parquet file")
+        (f.parent / f".{f.name}.crc").unlink(missing_ok=True)
+    q = spark.createDataFrame([("c0", 1, [1.0, 0.0]), ("c2", 1, [0.0, 1.0]), ("gone", 2, [1.0, 0.0])], "case_id string, query_id long, query array<double>").where("query_id < 9")
+    q.write.parquet(str(tmp_path / "../q"), mode="overwrite")
+    q = spark.read.parquet(str(tmp_path / "../q")).where("query_id < 9")
+    got = search.case_topk(q, cases.read_vectors(spark, str(tmp_path), "vec_id long, embedding array<double>, case_id string", q), 2)
+    assert sorted((r.case_id, r.query_id, r.vec_id, r["rank"]) for r in got.collect()) == [("c0", 1, 3, 2), ("c0", 1, 6, 1), ("c2", 1, 2, 1), ("c2", 1, 5, 2)]

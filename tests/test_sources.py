@@ -50,3 +50,26 @@ def test_results_and_vectors_are_written_by_their_key(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(case_id" in spark.read.parquet(str(tmp_path / "v")).where("case_id = 'a'")._jdf.queryExecution().toString()
     nulls = {r.column: (r.rows, r.nulls) for r in cases.profile(df).collect()}
     assert nulls["score"] == (2, 0)
+
+
+def test_files_that_differ_by_case_are_read_whole(spark, tmp_path):
+    """``time`` is a number, a text and a time; a value is a text; columns lack or are new."""
+    import datetime
+
+    import pandas as pd
+
+    one = pd.DataFrame({"entity_name": ["n", None], "metric": ["m", "m"], "value": [1.5, None], "time": [1_000_000, 2_000_000]})
+    two = pd.DataFrame({"time": ["3000000", "soon", None], "value": ["2.5", "x", None], "metric": ["m", "m", "m"], "unit": ["u", "u", "u"]})
+    three = pd.DataFrame({"time": [datetime.datetime(1970, 1, 1, 0, 0, 4)], "value": [7], "metric": ["m"]})
+    for name, df in (("t1", one), ("t2", two), ("t3", three), ("t4", one)):
+        (tmp_path / name).mkdir()
+        df.to_parquet(tmp_path / name / "metrics.parquet")
+    got = cases.read_telemetry(spark, str(tmp_path), "metrics")
+    assert got.columns == ["case_id", "row_ord", "entity_id", "entity_name", "service", "metric", "value", "time"]
+    rows = sorted((r.case_id, r.row_ord, r.entity_name, r.value, r.time) for r in got.collect())
+    first = [(0, "n", 1.5, 1_000_000), (1, None, None, 2_000_000)]
+    assert [r[1:] for r in rows if r[0] == "t1"] == [r[1:] for r in rows if r[0] == "t4"] == first
+    assert [r[1:] for r in rows if r[0] == "t2"] == [(0, None, 2.5, 3_000_000), (1, None, None, None), (2, None, None, None)]
+    assert [r[1:] for r in rows if r[0] == "t3"] == [(0, None, 7.0, 4_000_000)]
+    types = {(r.case_id, c.name): c.type for r in cases.telemetry_files(spark, str(tmp_path), "metrics").collect() for c in r["columns"]}
+    assert (types["t1", "time"], types["t2", "time"], types["t3", "time"], types["t2", "unit"]) == ("bigint", "string", "timestamp", "string")
