@@ -97,7 +97,7 @@ def push_pagerank(
     residual or more (so three quarters of it all): 1 - ``alpha`` of theirs is score, the rest goes
     on to their neighbours. Only these nodes meet the links. What residual is left in a case bounds
     the error of each of its scores. A case ends when that is no more than its number of nodes times
-    ``tolerance`` and less than the gap after its ``k``-th score (where that is a tie: a thousandth
+    ``tolerance`` and less than the gap after its ``k``-th score (where that is a tie: a tenth
     of it); it is looked at every five rounds, and left out once it has ended. ``pushed`` is given
     the pushing nodes of each round.
     """
@@ -144,7 +144,7 @@ def _certain(state: DataFrame, sizes: DataFrame, k: int, tolerance: float) -> Da
     gap = near.groupBy("case_id").agg(F.when(F.count(F.lit(1)) == 2, F.max("total") - F.min("total")).otherwise(F.lit(2.0)).alias("gap"))
     small = F.col("size") * tolerance
     return rest.join(sizes, "case_id").join(gap, "case_id", "left").where(
-        (F.col("rest") <= small) & ((F.col("rest") < F.coalesce("gap", F.lit(2.0))) | (F.col("rest") <= small / 1000))
+        (F.col("rest") <= small) & ((F.col("rest") < F.coalesce("gap", F.lit(2.0))) | (F.col("rest") <= small / 10))
     ).select("case_id")
 
 

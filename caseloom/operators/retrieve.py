@@ -6,6 +6,12 @@ adds graph_score, vector_score, hybrid_score and an order (query_ord, rank).
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +20,8 @@ from .search import cosine_topk, text_topk
 __all__ = ["cosine_topk", "text_topk"]
 #: Modalities whose text is searched.
 INDEXED = ("logs", "metrics", "events")
+#: Bytes of text that are weighed at once.
+WEIGHED_BYTES = 8 << 20
 #: Bits of the filter of wanted entities (a multiple of the 32,768 of one bitmap): 2 MB.
 FILTER_BITS = 1 << 24
 
@@ -68,18 +76,36 @@ def corpus(obs: DataFrame, modalities: tuple[str, ...] = INDEXED) -> DataFrame:
 
 
 def term_weights(texts: DataFrame, key: list[str], encoder=None) -> DataFrame:
-    """Unit-length sparse vectors: key columns, term, weight.
+    """Unit-length sparse vectors: key columns, term, weight; ``key`` tells the texts apart.
 
     Terms are runs of a-z of the lower-cased text, weighted by count. ``encoder`` (a
     function for mapInPandas from key and text to key, term, weight) may stand in for it.
+    A task weighs its own texts, so nothing is shuffled.
     """
+    kinds = ", ".join(f"{c} {t}" for c, t in texts.select(*key).dtypes)
     if encoder is not None:
-        schema = ", ".join(f"{c} {t}" for c, t in texts.select(*key).dtypes) + ", term string, weight double"
-        return texts.select(*key, "text").mapInPandas(encoder, schema)
-    terms = texts.select(*key, F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("term")).where("term <> ''")
-    counts = terms.groupBy(*key, "term").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    norms = counts.groupBy(*key).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    return counts.join(norms, key).select(*key, "term", (F.col("n") / F.col("norm")).alias("weight"))
+        return texts.select(*key, "text").mapInPandas(encoder, f"{kinds}, term string, weight double")
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.cumsum(pc.binary_length(batch.column(len(key))).to_numpy(zero_copy_only=False)) // WEIGHED_BYTES
+            cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), batch.num_rows]
+            for lo, hi in itertools.pairwise(cuts):
+                part = batch.slice(lo, hi - lo)
+                lists = pc.split_pattern_regex(part.column(len(key)), "[^a-z]+")
+                terms = lists.flatten().dictionary_encode()
+                row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+                kinds_of = max(1, len(terms.dictionary))
+                pair, n = np.unique(row * kinds_of + terms.indices.to_numpy(), return_counts=True)
+                row, code = pair // kinds_of, pair % kinds_of
+                some = pc.not_equal(terms.dictionary, "").to_numpy(zero_copy_only=False)[code] if len(code) else np.zeros(0, bool)
+                row, code, n = row[some], code[some], n[some].astype(float)
+                norm = np.sqrt(np.bincount(row, n * n, minlength=len(lists)))
+                cols = [part.column(c).take(pa.array(row)) for c in range(len(key))]
+                yield pa.RecordBatch.from_arrays([*cols, terms.dictionary.take(pa.array(code)), pa.array(n / norm[row])], names=[*key, "term", "weight"])
+
+    lowered = texts.where("text is not null").select(*key, F.lower("text").alias("text"))
+    return lowered.mapInArrow(weigh, f"{kinds}, term string, weight double")
 
 
 def fuse(hits: DataFrame, graph_scores: DataFrame, alpha: float = 0.5, beta: float = 0.5) -> DataFrame:

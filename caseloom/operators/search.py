@@ -133,7 +133,9 @@ def text_topk(
     0 and follow in order of their key, as ties do. Of ``vectors`` only terms of queries are read.
     """
     ids = [c for c in key if c not in query_key]
-    known = vectors.join(queries.select(*on, "term").distinct(), [*on, "term"], "left_semi")
+    # Written first, so that a join with few terms is planned as one.
+    wanted = stage(queries.select(*on, "term").distinct(), "terms")
+    known = vectors.join(wanted, [*on, "term"], "left_semi")
     blocks = text_blocks(known, ids, on)
     first, rest, own = text_candidates(queries, blocks, query_key, on, k)
     hits = first.unionByName(_evaluate(rest, own, blocks, on, k))

