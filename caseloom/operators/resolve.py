@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import present
+from ..session import stage
 
 
 def name_index(entities: DataFrame) -> DataFrame:
@@ -107,12 +108,16 @@ def substring(names: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def resolve_entities(names: DataFrame, index: DataFrame) -> DataFrame:
-    """Distinct (case_id, name) -> entity_id by the first way that finds one; else null."""
-    todo = names.select("case_id", "name").distinct()
+    """Distinct (case_id, name) -> entity_id by the first way that finds one; else null.
+
+    Index, names and what is left after each way are written, as several ways read them.
+    """
+    index = stage(index, "name-index")
+    todo = stage(names.select("case_id", "name").distinct(), "names")
     key = ["case_id", "name"]
-    found = exact(todo, index)
-    left = todo.join(found, key, "left_anti")
-    by_parts = composite(left, index)
+    found = stage(exact(todo, index), "names-exact")
+    left = stage(todo.join(found, key, "left_anti"), "names-left")
+    by_parts = stage(composite(left, index), "names-composite")
     by_text = substring(left.join(by_parts, key, "left_anti"), index)
     return todo.join(found.unionByName(by_parts).unionByName(by_text), key, "left")
 
