@@ -73,9 +73,15 @@ def telemetry_files(spark: SparkSession, root: str, modality: str) -> DataFrame:
 def _spark_type(t: pa.DataType) -> str:
     from pyspark.sql.pandas.types import from_arrow_type
 
+    if pa.types.is_timestamp(t) and t.unit == "ns":
+        return NANOS
     return from_arrow_type(t).simpleString()
 
 
+#: Times in nanoseconds, which Spark reads as numbers.
+NANOS = "timestamp in ns"
+
+
 def _telemetry_case(path: Column, modality: str) -> Column:
     return F.regexp_extract(path, rf"([^/]+)/{modality}\.parquet", 1)
 
@@ -93,7 +99,8 @@ def read_telemetry(spark: SparkSession, root: str, modality: str) -> DataFrame:
     out = None
     for group in groups.collect():  # the list of paths is on the driver anyway, to be read
         types = {c["name"]: c["type"] for c in group["columns"]}
-        df = spark.read.schema(", ".join(f"`{n}` {types.get(n, t)}" for n, t in wanted)).parquet(*group["paths"])
+        read_as = {n: types.get(n, t).replace(NANOS, "bigint") for n, t in wanted}
+        df = spark.read.schema(", ".join(f"`{n}` {t}" for n, t in read_as.items())).parquet(*group["paths"])
         columns = [_common(F.col(f"`{n}`"), types.get(n, t), t).alias(n) for n, t in wanted]
         at = _telemetry_case(F.col("_metadata.file_path"), modality)
         part = df.select(at.alias("case_id"), F.col("_metadata.row_index").alias("row_ord"), *columns)
@@ -104,6 +111,8 @@ def read_telemetry(spark: SparkSession, root: str, modality: str) -> DataFrame:
 def _common(c: Column, given: str, wanted: str) -> Column:
     if given == wanted:
         return c
+    if given == NANOS:
+        c, given = F.timestamp_micros(F.floor(c / 1000).cast("bigint")), "timestamp"
     if given.startswith("timestamp") and wanted == "bigint":
         return F.unix_micros(c.cast("timestamp"))
     if given in ("double", "float") and wanted == "string":  # whole numbers that a missing value turned into fractions

@@ -60,8 +60,8 @@ def test_files_that_differ_by_case_are_read_whole(spark, tmp_path):
 
     one = pd.DataFrame({"entity_name": ["n", None], "metric": ["m", "m"], "value": [1.5, None], "time": [1_000_000, 2_000_000]})
     two = pd.DataFrame({"time": ["3000000", "soon", None], "value": ["2.5", "x", None], "metric": ["m", "m", "m"], "unit": ["u", "u", "u"]})
-    three = pd.DataFrame({"time": [datetime.datetime(1970, 1, 1, 0, 0, 4)], "value": [7], "metric": ["m"]})
-    for name, df in (("t1", one), ("t2", two), ("t3", three), ("t4", one)):
+    three = pd.DataFrame({"time": [datetime.datetime(1970, 1, 1, 0, 0, 4)], "value": [7], "metric": ["m"]}).astype({"time": "datetime64[us]"})
+    for name, df in (("t1", one), ("t2", two), ("t3", three), ("t4", one), ("t5", three.astype({"time": "datetime64[ns]"}))):
         (tmp_path / name).mkdir()
         df.to_parquet(tmp_path / name / "metrics.parquet")
     got = cases.read_telemetry(spark, str(tmp_path), "metrics")
@@ -70,6 +70,7 @@ def test_files_that_differ_by_case_are_read_whole(spark, tmp_path):
     first = [(0, "n", 1.5, 1_000_000), (1, None, None, 2_000_000)]
     assert [r[1:] for r in rows if r[0] == "t1"] == [r[1:] for r in rows if r[0] == "t4"] == first
     assert [r[1:] for r in rows if r[0] == "t2"] == [(0, None, 2.5, 3_000_000), (1, None, None, None), (2, None, None, None)]
-    assert [r[1:] for r in rows if r[0] == "t3"] == [(0, None, 7.0, 4_000_000)]
+    assert [r[1:] for r in rows if r[0] == "t3"] == [r[1:] for r in rows if r[0] == "t5"] == [(0, None, 7.0, 4_000_000)]
     types = {(r.case_id, c.name): c.type for r in cases.telemetry_files(spark, str(tmp_path), "metrics").collect() for c in r["columns"]}
-    assert (types["t1", "time"], types["t2", "time"], types["t3", "time"], types["t2", "unit"]) == ("bigint", "string", "timestamp", "string")
+    assert (types["t1", "time"], types["t2", "time"], types["t2", "unit"]) == ("bigint", "string", "string")
+    assert types["t3", "time"].startswith("timestamp") and types["t5", "time"] == cases.NANOS
