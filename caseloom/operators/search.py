@@ -43,7 +43,8 @@ def text_blocks(vectors: DataFrame, key: list[str], on: list[str]) -> DataFrame:
     """
     rows = _grouped(vectors, [F.col(c) for c in key], on, "d")
     heavy = F.slice(F.sort_array(F.transform("terms", lambda x: F.struct((-x["weight"]).alias("w"), x["term"].alias("t")))), 1, 3)
-    rows = rows.withColumn("lead", F.concat_ws(" ", F.transform(heavy, lambda x: x["t"])))
+    # Written first, as sorting by range reads its rows twice.
+    rows = stage(rows.withColumn("lead", F.concat_ws(" ", F.transform(heavy, lambda x: x["t"]))), "text-rows")
     order = [*on, "lead", "d"]
     placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("block", F.expr(f"monotonically_increasing_id() div {TEXT_BLOCK}"))
     return stage(placed.select(*on, "block", "d", "terms"), "blocks")

@@ -53,8 +53,8 @@ SELECT query_id, doc_id, round(s, 6) AS vector_score, CAST(rank AS INTEGER) AS r
 def text_topk(spark, sf):
     """Every document whose id is divisible by 20 against all; 20 hits each, also without a common word."""
     docs = base(spark, sf, "documents")
-    w = retrieve.term_weights(docs, ["doc_id"])
-    q, asked = (df.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id") for df in (w, docs.select("doc_id")))
+    asked = docs.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
+    q, w = retrieve.term_weights(asked, ["query_id"]), retrieve.term_weights(docs, ["doc_id"])
     top = retrieve.text_topk(q, w, ["query_id"], ["doc_id"], [], asked=asked, rows=docs)
     return top.withColumn("vector_score", F.round("vector_score", 6))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph
 from .registry import query
-from .views import view
+from .views import view, write_views
 
 PAIRS = "SELECT case_id, src AS a, dst AS b FROM fx_edges UNION SELECT case_id, dst, src FROM fx_edges"
 NODES = "SELECT case_id, entity_id FROM fx_entities UNION SELECT case_id, src FROM fx_edges UNION SELECT case_id, dst FROM fx_edges"
@@ -64,6 +64,7 @@ def pagerank_sql(iterations: int) -> str:
 
 
 def _graph(spark, sf):
+    sf = write_views(spark, sf, "fx_calls")
     e, x, s = (view(spark, sf, v) for v in ("fx_entities", "fx_edges", "fx_seed"))
     nodes = graph.nodes_of(e, x)
     inside = graph.candidate_nodes(nodes, x, s)
@@ -106,6 +107,7 @@ def ppr_topk(spark, sf):
 
 @query(f"{pagerank_sql(20)} SELECT case_id, entity_id, round(score, 9) AS score FROM k20")
 def pagerank_global(spark, sf):
+    sf = write_views(spark, sf, "fx_calls")
     e, x = view(spark, sf, "fx_entities"), view(spark, sf, "fx_edges")
     return graph.global_pagerank(graph.nodes_of(e, x), x, iterations=20).withColumn("score", F.round("score", 9))
 
@@ -127,11 +129,13 @@ ROLLUP = f"{reach('v', SERVICES, 3)}, roll AS (SELECT n.case_id, n.entity_id, v3
 
 @query(f"WITH {ROLLUP} SELECT * FROM roll")
 def service_rollup(spark, sf):
+    sf = write_views(spark, sf, "fx_calls")
     return graph.service_rollup(view(spark, sf, "fx_entities"), view(spark, sf, "fx_edges"))
 
 
 @query(f"WITH {ROLLUP} SELECT r.case_id, coalesce(service_id, r.entity_id) AS service_id, r.entity_id AS member_id, e.ord AS member_ord FROM roll r JOIN fx_entities e ON e.case_id = r.case_id AND e.entity_id = r.entity_id")
 def membership(spark, sf):
+    sf = write_views(spark, sf, "fx_calls")
     e = view(spark, sf, "fx_entities")
     return graph.membership(e, graph.service_rollup(e, view(spark, sf, "fx_edges")))
 
@@ -141,6 +145,7 @@ TARGETS = "SELECT case_id, target AS entity_id, target AS origin, CAST(0 AS BIGI
 
 @query(f"WITH {reach('t', TARGETS, 14)} SELECT DISTINCT p.case_id, predicted AS entity_id, hop FROM fx_pred p JOIN t14 ON t14.case_id = p.case_id AND t14.entity_id = predicted")
 def path_length(spark, sf):
+    sf = write_views(spark, sf, "fx_calls", "fx_truth", "fx_pred")
     p = view(spark, sf, "fx_pred").select("case_id", F.col("predicted").alias("entity_id"))
     t = view(spark, sf, "fx_truth").select("case_id", F.col("target").alias("entity_id"))
     return graph.path_lengths(view(spark, sf, "fx_edges"), p, t)

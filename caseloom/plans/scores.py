@@ -8,7 +8,7 @@ from ..operators import evaluate, graph, resolve, summarize
 from .graphs import ROLLUP, TARGETS, reach
 from .ingest import INDEX
 from .registry import query
-from .views import view
+from .views import view, write_views
 
 DIST = f"{reach('t', TARGETS, 14)}, dist AS (SELECT p.case_id, system, CASE WHEN predicted = target THEN 1.0::DOUBLE ELSE coalesce(pow(0.5::DOUBLE, hop), 0) END AS s FROM fx_pred p JOIN fx_truth g ON g.case_id = p.case_id LEFT JOIN t14 ON t14.case_id = p.case_id AND t14.entity_id = predicted), el AS (SELECT case_id, system, round_even(s, 4) AS entity_localization FROM dist)"
 FAULT = "fm AS (SELECT p.case_id, system, CASE WHEN lower(fault) = lower(slug) OR contains(lower(fault), split_part(lower(slug), '-', -1)) THEN 1.0::DOUBLE ELSE 0 END AS fault_identification FROM fx_pred p JOIN fx_truth t ON t.case_id = p.case_id)"
@@ -24,6 +24,11 @@ PR = f"""{ROLLUP}, ru AS (SELECT DISTINCT se.case_id, system, coalesce(service_i
 pr AS (SELECT ru.case_id, system, round_even(count(w.entity_id)::DOUBLE / count(*), 4) AS retrieval_precision, round_even(count(w.entity_id)::DOUBLE, 4) AS retrieval_recall FROM ru LEFT JOIN want w ON w.case_id = ru.case_id AND w.entity_id = ru.entity_id WHERE ru.case_id IN (SELECT case_id FROM want) GROUP BY ru.case_id, system)"""
 
 
+def _outcomes(spark, sf):
+    """The folder with calls, truth and predictions written, which the scores read several times each."""
+    return write_views(spark, sf, "fx_calls", "fx_seed", "fx_truth", "fx_pred")
+
+
 def _results(spark, sf):
     p = view(spark, sf, "fx_pred")
     return p.select("case_id", "system", F.array("predicted").alias("predicted_entity_ids"), F.col("fault").alias("predicted_fault_type"), F.array("step1", "step2").alias("reasoning_chain"))
@@ -34,6 +39,7 @@ def _targets(spark, sf):
 
 
 def _localization(spark, sf):
+    sf = _outcomes(spark, sf)
     p = view(spark, sf, "fx_pred").select("case_id", F.col("predicted").alias("entity_id"))
     t = view(spark, sf, "fx_truth").select("case_id", F.col("target").alias("entity_id"))
     lengths = graph.path_lengths(view(spark, sf, "fx_edges"), p, t)
@@ -59,12 +65,14 @@ def _hits(spark, sf):
 
 
 def _final(spark, sf):
+    sf = _outcomes(spark, sf)
     key = ["case_id", "system"]
     parts = _localization(spark, sf).join(_fault(spark, sf), key).join(_chain(spark, sf), key).join(_hits(spark, sf), key, "left")
     return evaluate.final_score(parts.fillna(0.0, subset=["checkpoint_rate"]))
 
 
 def _pr(spark, sf):
+    sf = write_views(spark, sf, "fx_calls", "fx_truth")
     rollup = graph.service_rollup(view(spark, sf, "fx_entities"), view(spark, sf, "fx_edges"))
     t = view(spark, sf, "fx_truth").select("case_id", F.col("target").alias("entity_id")).join(rollup, ["case_id", "entity_id"], "left")
     targets = t.select("case_id", F.array(F.coalesce("service_id", "entity_id")).alias("targets"))
@@ -134,6 +142,7 @@ REPORT = f"{DIST}, {FAULT}, {CHAIN}, {HITS}, {FINAL}, {PR.replace(ROLLUP.split('
 
 
 def _report(spark, sf):
+    sf = _outcomes(spark, sf)
     stats = summarize.usage(view(spark, sf, "fx_log"))
     return evaluate.case_report(_final(spark, sf), _pr(spark, sf), _explain(spark, sf), stats)
 
@@ -155,6 +164,7 @@ FROM (SELECT case_id FROM fx_truth) c CROSS JOIN (SELECT *, sys = 2 AS f FROM fx
 
 
 def _grid(spark, sf):
+    sf = _outcomes(spark, sf)
     report = _final(spark, sf).where("not (system = 'direct_llm' and case_id = 'r0')").select("case_id", "system", *COLUMNS.split(", "))
     errors = view(spark, sf, "fx_truth").where("case_id = 'r0'").select("case_id", F.lit("direct_llm").alias("system"), F.lit("failed").alias("error"))
     return evaluate.system_grid(view(spark, sf, "fx_truth"), view(spark, sf, "fx_systems"), report, errors)

@@ -6,9 +6,13 @@ orders are calls and traces, lineitems metrics, documents logs.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import stage
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings labels conversations".split()
 
 VIEWS = {
@@ -104,12 +108,16 @@ def _needs(name: str, sql: str) -> list[str]:
     return [v for v in VIEWS if v != name and v in sql]
 
 
-def with_views(sql: str) -> str:
-    """``sql`` with a WITH clause for the views it names, in the order they need."""
+def with_views(sql: str, written: dict[str, str] | None = None) -> str:
+    """``sql`` with a WITH clause for the views it names, in the order they need.
+
+    ``written`` has the tables of views that are written already: these are read instead.
+    """
     order: list[str] = []
+    texts = {**VIEWS, **{v: f"SELECT * FROM {table}" for v, table in (written or {}).items()}}
 
     def add(name: str) -> None:
-        for v in _needs(name, VIEWS[name]):
+        for v in _needs(name, texts[name]):
             if v not in order:
                 add(v)
         if name not in order:
@@ -119,7 +127,7 @@ def with_views(sql: str) -> str:
         add(v)
     if not order:
         return sql
-    head = ",\n".join(f"{v} AS ({VIEWS[v]})" for v in order)
+    head = ",\n".join(f"{v} AS ({texts[v]})" for v in order)
     body = sql.strip()
     upper = body[:15].upper()
     if upper.startswith("WITH RECURSIVE"):
@@ -136,8 +144,34 @@ def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def view(spark: SparkSession, sf_dir: str, name_or_sql: str) -> DataFrame:
     """A view, or SQL over views and tables, on the tables of ``sf_dir``."""
     sql = name_or_sql if " " in name_or_sql.strip() else f"SELECT * FROM {name_or_sql}"
-    full = with_views(sql)
+    full = with_views(sql, getattr(sf_dir, "written", None))
+    opened = getattr(sf_dir, "opened", {})
     for t in TABLES:
         if t in full:
-            base(spark, sf_dir, t).createOrReplaceTempView(t)
+            if t not in opened:
+                opened[t] = base(spark, sf_dir, t)
+            opened[t].createOrReplaceTempView(t)
     return spark.sql(full)
+
+
+class Folder(str):
+    """A folder of tables, for one query.
+
+    ``written`` has tables of its written views by their names; ``opened`` the tables whose
+    schemas have been read.
+    """
+
+    written: dict[str, str]
+    opened: dict[str, DataFrame]
+
+
+def write_views(spark: SparkSession, sf_dir: str, *names: str) -> Folder:
+    """The folder with the named views written, once: queries that read one several times compute it once."""
+    out = Folder(sf_dir)
+    out.written, out.opened = dict(getattr(sf_dir, "written", {})), dict(getattr(sf_dir, "opened", {}))
+    for name in names:
+        if name not in out.written:
+            table = f"{name}_{uuid.uuid4().hex}"
+            stage(view(spark, out, name), name).createOrReplaceTempView(table)
+            out.written[name] = table
+    return out

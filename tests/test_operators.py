@@ -291,3 +291,18 @@ def test_names_stand_in_for_target_ids(spark):
     truth = spark.createDataFrame([("a", None, [("", "pay")]), ("b", [], [("e1", "pay")]), ("c", ["e2"], [("e1", "pay")]), ("d", None, None)], schema)
     found = spark.createDataFrame([("e", 0, "x")], "case_id string, pos int, entity_id string")
     assert {r.case_id: r.targets for r in evaluate.target_ids(truth, found).collect()} == {"a": ["pay"], "b": ["e1"], "c": ["e2"], "d": []}
+
+
+def test_checkpoints_meet_evidence_without_a_shuffle_of_texts(spark):
+    from caseloom.operators import evaluate
+
+    points = spark.createDataFrame([("a", "CPU"), ("a", "disk"), ("a", ""), ("b", None)], "case_id string, signal string")
+    evidence = spark.createDataFrame(
+        [("a", "s", "high cpu here"), ("a", "t", None), ("b", "s", "x"), ("c", "s", "cpu")], "case_id string, system string, text string"
+    )
+    out = evaluate.checkpoint_hits(points, evidence)
+    assert {tuple(r) for r in out.collect()} == {("a", "s", 1 / 3), ("a", "t", 0.0), ("b", "s", 0.0), ("c", "s", 0.0)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    signals = [r for r in plan.splitlines() if "Join" in r]
+    executed = out._jdf.queryExecution().executedPlan().toString()
+    assert len(signals) == 1 and "BroadcastHashJoin" in executed and "SortMergeJoin" not in executed

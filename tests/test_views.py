@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from caseloom.plans.views import VIEWS, base, view
+from caseloom.plans.views import VIEWS, base, view, write_views
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")
@@ -46,3 +46,11 @@ def test_the_head_of_a_modality_is_1500_rows(spark):
     n = {tuple(r)[:2]: r["count"] for r in view(spark, SF, "fx_obs").groupBy("case_id", "modality").count().collect()}
     got = {tuple(r)[:2]: r["count"] for r in modality_head(spark, SF).groupBy("case_id", "modality").count().collect()}
     assert got == {k: min(v, 1500) for k, v in n.items()}
+
+
+def test_written_views_are_read_in_place_of_their_sql(spark):
+    once = write_views(spark, SF, "fx_calls", "fx_truth")
+    assert set(once.written) == {"fx_calls", "fx_truth"} and once == SF
+    assert write_views(spark, once, "fx_calls").written["fx_calls"] == once.written["fx_calls"]
+    for name in ("fx_calls", "fx_truth", "fx_edges", "fx_pred"):
+        assert sorted(map(tuple, view(spark, once, name).collect()), key=str) == sorted(map(tuple, view(spark, SF, name).collect()), key=str)
