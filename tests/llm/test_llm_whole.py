@@ -53,6 +53,20 @@ def test_url_model_on_rows_that_it_did_not_see(spark):
     assert sum(got[i].verdict == v for i, v in want.items()) >= 0.93 * len(want)
 
 
+def test_url_model_on_words_that_it_did_not_see(spark):
+    """Of hosts made of left-out words few are blocked, and most of those that are should be (README has the recall)."""
+    held = {*url_filter.JUNK_WORDS[::4], *url_filter.PLAIN_WORDS[::4]}
+    own = {*url_filter.JUNK_WORDS, *url_filter.PLAIN_WORDS} - held
+    rows = [(r.n, r.url, r.verdict) for r in url_filter.labelled_urls(spark).collect()]
+    has = lambda r, words: any(w in r[1].split("/")[2] for w in words)
+    table = lambda some: spark.createDataFrame(some, "page_id long, url string, verdict string")
+    new = [r for r in rows if has(r, held) and not has(r, own)]
+    got = {r.page_id: r.verdict for r in url_filter.url_filter(table(new), table([r for r in rows if not has(r, held)]), rules=()).collect()}
+    right, wrong = (sum(v == kind and got[i] == "block" for i, _, v in new) for kind in ("block", "allow"))
+    assert right > 0 and right / (right + wrong) >= 0.6
+    assert wrong <= 0.05 * sum(v == "allow" for _, _, v in new)
+
+
 def test_archives_are_read_by_as_many_tasks_as_their_bytes_need(spark):
     rng = np.random.default_rng(3)
     rows = [(i, f"http://x/{i}", rng.bytes(3000).hex()) for i in range(200)]
