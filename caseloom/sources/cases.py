@@ -62,7 +62,7 @@ def telemetry_files(spark: SparkSession, root: str, modality: str) -> DataFrame:
             for path in batch.column(0).to_pylist():
                 store, inside = fs.FileSystem.from_uri(path)
                 with store.open_input_file(inside) as f:
-                    found.append([{"name": c.name, "type": _spark_type(c.type)} for c in pq.read_schema(f)])
+                    found.append(_footer(pq.ParquetFile(f)))
             kind = pa.list_(pa.struct([("name", pa.string()), ("type", pa.string())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], names=["path", "columns"])
 
@@ -70,6 +70,13 @@ def telemetry_files(spark: SparkSession, root: str, modality: str) -> DataFrame:
     return found.select(_telemetry_case(F.col("path"), modality).alias("case_id"), "path", "columns")
 
 
+def _footer(file: pq.ParquetFile) -> list[dict[str, str]]:
+    """Columns of a file as Spark reads them: INT96, which arrow calls nanoseconds too, are times, not numbers."""
+    leaves = [file.schema.column(i) for i in range(len(file.schema))]
+    old = {c.path for c in leaves if c.physical_type == "INT96"}
+    return [{"name": c.name, "type": "timestamp" if c.name in old else _spark_type(c.type)} for c in file.schema_arrow]
+
+
 def _spark_type(t: pa.DataType) -> str:
     from pyspark.sql.pandas.types import from_arrow_type
 
@@ -78,7 +85,7 @@ def _spark_type(t: pa.DataType) -> str:
     return from_arrow_type(t).simpleString()
 
 
-#: Times in nanoseconds, which Spark reads as numbers.
+#: Times in nanoseconds (64 bits), which Spark reads as numbers.
 NANOS = "timestamp in ns"
 
 

@@ -74,3 +74,20 @@ def test_files_that_differ_by_case_are_read_whole(spark, tmp_path):
     types = {(r.case_id, c.name): c.type for r in cases.telemetry_files(spark, str(tmp_path), "metrics").collect() for c in r["columns"]}
     assert (types["t1", "time"], types["t2", "time"], types["t2", "unit"]) == ("bigint", "string", "string")
     assert types["t3", "time"].startswith("timestamp") and types["t5", "time"] == cases.NANOS
+
+
+def test_times_of_96_bits_are_times(spark, tmp_path):
+    """Spark's writer may store times as INT96, which arrow shows as nanoseconds."""
+    import datetime
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    at = pa.table({"metric": ["m", "m", "m"], "time": pa.array([datetime.datetime(1970, 1, 1, 0, 0, 4, 5), datetime.datetime(1969, 12, 31), None], pa.timestamp("us"))})
+    for name, old in (("t1", True), ("t2", False)):
+        (tmp_path / name).mkdir()
+        pq.write_table(at, tmp_path / name / "metrics.parquet", use_deprecated_int96_timestamps=old)
+    types = {(r.case_id, c.name): c.type for r in cases.telemetry_files(spark, str(tmp_path), "metrics").collect() for c in r["columns"]}
+    assert types["t1", "time"] == spark.read.parquet(str(tmp_path / "t1/metrics.parquet")).schema["time"].dataType.simpleString() == "timestamp"
+    rows = sorted((r.case_id, r.row_ord, r.time) for r in cases.read_telemetry(spark, str(tmp_path), "metrics").collect())
+    assert [r[1:] for r in rows if r[0] == "t1"] == [r[1:] for r in rows if r[0] == "t2"] == [(0, 4_000_005), (1, -86_400_000_000), (2, None)]
