@@ -54,3 +54,17 @@ def test_written_views_are_read_in_place_of_their_sql(spark):
     assert write_views(spark, once, "fx_calls").written["fx_calls"] == once.written["fx_calls"]
     for name in ("fx_calls", "fx_truth", "fx_edges", "fx_pred"):
         assert sorted(map(tuple, view(spark, once, name).collect()), key=str) == sorted(map(tuple, view(spark, SF, name).collect()), key=str)
+
+
+def test_evidence_is_ranked_row_by_row_in_the_order_of_its_sql(spark):
+    """The rank of the SQL, a window over all texts of a case, kept filters from the tables and sorted each case in one task."""
+    from caseloom.plans.views import with_views
+
+    view(spark, SF, "fx_evidence")  # opens the tables
+    want = spark.sql(with_views("SELECT * FROM fx_evidence"))
+    key = ("case_id", "modality", "row_ord", "entity_id", "text", "hybrid_score")
+    of = lambda df: [tuple(r[c] for c in key) for r in df.orderBy("case_id", "rank", "entity_id", "text").collect()]
+    got = view(spark, SF, "fx_evidence")
+    assert got.where("rank is null").isEmpty() and of(got) == of(want)
+    plan = got.where("modality = 'metrics'")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "l_suppkey" in plan and "doc_id" not in plan and "event_id" not in plan
