@@ -137,3 +137,32 @@ def test_only_files_of_asked_cases_are_opened(spark, tmp_path):
     q = spark.read.parquet(str(tmp_path / "../q")).where("query_id < 9")
     got = search.case_topk(q, cases.read_vectors(spark, str(tmp_path), "vec_id long, embedding array<double>, case_id string", q), 2)
     assert sorted((r.case_id, r.query_id, r.vec_id, r["rank"]) for r in got.collect()) == [("c0", 1, 3, 2), ("c0", 1, 6, 1), ("c2", 1, 2, 1), ("c2", 1, 5, 2)]
+
+
+def test_rows_of_equal_words_are_few_before_they_are_weighed(spark):
+    """Readings that differ in numbers only are one vector: the first k of them can be hits, all were weighed and shuffled."""
+    from pyspark.sql import functions as F
+
+    from caseloom.operators import hybrid
+
+    r = random.Random(3)
+    texts = [r.choice(["[metric] s quantity={}", "Metric {} s: quantity", "{} error late", "{}"]).format(i) for i in range(3000)]
+    order = r.sample(range(3000), 3000)
+    rows = [(f"r{i % 2}", i % 3, order[i], t, ("metrics", "logs", "events")[i % 3]) for i, t in enumerate(texts)] + [("r0", 0, 9000, None, "metrics")]
+    obs = spark.createDataFrame(rows, "case_id string, mod_ord int, row_ord long, text string, modality string").repartition(3)
+    queries = spark.createDataFrame([("r0", 0, "quantity metric"), ("r0", 1, "ERROR"), ("r1", 0, "nothing here"), ("r1", 1, "late s")], "case_id string, query_ord int, text string")
+    few = retrieve.first_of_equal(obs, ["case_id"], ["mod_ord", "row_ord"], 5)
+    assert few.count() < 500 and few.select("case_id", "mod_ord", "row_ord").distinct().count() == few.count()
+    # By another encoder numbers may count, so only equal texts are equal.
+    assert retrieve.first_of_equal(obs, ["case_id"], ["mod_ord", "row_ord"], 5, encoder=len).select("text").distinct().count() == len(set(texts))
+    got = {}
+    for x in hybrid.search(obs, queries, 5).orderBy("rank").collect():
+        got.setdefault((x.case_id, x.query_ord), []).append((x.mod_ord, x.row_ord, round(x.vector_score, 6)))
+    words = lambda t: [w for w in __import__("re").split("[^a-z]+", (t or "").lower()) if w]
+    def cosine(a, b):
+        n = lambda x: math.sqrt(sum(x.count(w) ** 2 for w in set(x))) or 1
+        return sum(a.count(w) * b.count(w) for w in set(a)) / n(a) / n(b)
+    for q in queries.collect():
+        every = sorted((-round(cosine(words(q.text), words(t)), 9), m, o) for c, m, o, t, _ in rows if c == q.case_id)[:5]
+        assert got[q.case_id, q.query_ord] == [(m, o, pytest.approx(-s, abs=1e-6)) for s, m, o in every]
+    assert not few.where(F.col("text").isNull()).count()

@@ -68,3 +68,15 @@ def test_evidence_is_ranked_row_by_row_in_the_order_of_its_sql(spark):
     assert got.where("rank is null").isEmpty() and of(got) == of(want)
     plan = got.where("modality = 'metrics'")._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "l_suppkey" in plan and "doc_id" not in plan and "event_id" not in plan
+
+
+def test_rows_are_numbered_by_runs_of_keys(spark):
+    """Numbers agree with the SQL's, whose window put all rows of a case and modality into one task."""
+    from caseloom.plans.views import with_views
+
+    got = view(spark, SF, "fx_rows")
+    want = spark.sql(with_views("SELECT * FROM fx_rows"))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    runs = view(spark, SF, "SELECT DISTINCT case_id, mod_ord, row_ord div 8192 FROM fx_obs").count()
+    assert runs > view(spark, SF, "SELECT DISTINCT case_id, mod_ord FROM fx_obs").count()
+    assert "row_number() windowspecdefinition(case_id" in (plan := got._jdf.queryExecution().optimizedPlan().toString()) and "run#" in plan
