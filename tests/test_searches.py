@@ -166,3 +166,20 @@ def test_rows_of_equal_words_are_few_before_they_are_weighed(spark):
         every = sorted((-round(cosine(words(q.text), words(t)), 9), m, o) for c, m, o, t, _ in rows if c == q.case_id)[:5]
         assert got[q.case_id, q.query_ord] == [(m, o, pytest.approx(-s, abs=1e-6)) for s, m, o in every]
     assert not few.where(F.col("text").isNull()).count()
+
+
+def test_the_head_of_a_modality_sorts_few_rows(spark, monkeypatch):
+    """Only rows up to the run of the n-th key are sorted; ties, null keys and modalities of fewer rows are kept right."""
+    monkeypatch.setattr(retrieve, "HEAD_RUN", 16)
+    r = random.Random(5)
+    rows = [("a", "metrics", r.randrange(400), f"e{r.randrange(9)}", f"t{i}") for i in range(2000)] + [("a", "logs", i, None, "x") for i in range(7)]
+    rows += [("b", "logs", None if i < 30 else i % 3, f"e{i % 4}", f"t{i}") for i in range(90)] + [("c", "logs", None if i < 5 else i, "e", f"t{i}") for i in range(40)]
+    obs = spark.createDataFrame(rows, "case_id string, modality string, row_ord long, entity_id string, text string").repartition(3)
+    low = lambda v: (v is not None, v if v is not None else 0)
+    want = []
+    for key in sorted({x[:2] for x in rows}):
+        want += sorted((x for x in rows if x[:2] == key), key=lambda x: (low(x[2]), (x[3] is not None, x[3] or ""), x[4]))[:20]
+    head = retrieve.head_per_modality(obs, 20)
+    assert sorted(map(tuple, head.collect()), key=str) == sorted(want, key=str)
+    plan = head._jdf.queryExecution().optimizedPlan().toString()
+    assert "__last" in plan and plan.index("Window [row_number()") < plan.index("__last")
