@@ -306,3 +306,17 @@ def test_checkpoints_meet_evidence_without_a_shuffle_of_texts(spark):
     signals = [r for r in plan.splitlines() if "Join" in r]
     executed = out._jdf.queryExecution().executedPlan().toString()
     assert len(signals) == 1 and "BroadcastHashJoin" in executed and "SortMergeJoin" not in executed
+
+
+def test_scores_of_a_large_graph_are_not_sent_to_the_driver(spark, monkeypatch):
+    """Written scores are few bytes on disk, so each round broadcast them, however many rows there were."""
+    seen = []
+    monkeypatch.setattr(graph, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(graph, "stage", lambda df, label, real=graph.stage: (seen.append(df._jdf.queryExecution().executedPlan().toString()), real(df, label))[1])
+    nodes = spark.createDataFrame([("c", x) for x in "abcd"], "case_id string, entity_id string")
+    edges = spark.createDataFrame([("c", *x) for x in ("ab", "ac", "cd", "da")], "case_id string, src string, dst string")
+    got = {r.entity_id: r.score for r in graph.global_pagerank(nodes, edges, iterations=3).collect()}
+    monkeypatch.undo()
+    assert got == pytest.approx({r.entity_id: r.score for r in graph.global_pagerank(nodes, edges, iterations=3).collect()})
+    rounds = [p for p in seen if "was#" in p]
+    assert len(rounds) == 3 and all(p.count("ShuffledHashJoin") >= 2 for p in rounds)
