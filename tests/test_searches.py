@@ -5,6 +5,7 @@ import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from caseloom.operators import retrieve, search
@@ -183,3 +184,41 @@ def test_the_head_of_a_modality_sorts_few_rows(spark, monkeypatch):
     assert sorted(map(tuple, head.collect()), key=str) == sorted(want, key=str)
     plan = head._jdf.queryExecution().optimizedPlan().toString()
     assert "__last" in plan and plan.index("Window [row_number()") < plan.index("__last")
+
+
+def test_search_of_many_queries_writes_no_row_for_each_query_and_block(spark, monkeypatch):
+    """What is written grows with rows and hits, not with queries times blocks."""
+    rows = [x for x in sparse_rows(24, 100) if x[1]]
+    vectors = spark.createDataFrame([(i, t, w) for i, words in rows for t, w in unit(words).items()], "doc_id long, term string, weight double")
+    queries = vectors.where("doc_id % 20 = 3").withColumnRenamed("doc_id", "query_id")
+    written, stage = [], search.stage
+    monkeypatch.setattr(search, "TEXT_BLOCK", 8)
+    monkeypatch.setattr(search, "stage", lambda df, *rest: written.append(stage(df, *rest)) or written[-1])
+    n, k = queries.select("query_id").distinct().count(), 5
+    assert retrieve.text_topk(queries, vectors, ["query_id"], ["doc_id"], [], k).count() == n * k
+    assert sum(df.count() for df in written) <= len(rows) + n * (k + 1)
+
+
+def test_products_of_small_and_large_blocks_agree(spark, monkeypatch):
+    """Blocks of any size have the same hits, ties by key; terms go by matrices or entry by entry alike."""
+    rows = sparse_rows()
+    vectors = spark.createDataFrame([(f"k{i}", i % 3, t, w) for i, words in rows for t, w in unit(words).items()], "a string, b long, term string, weight double").repartition(3)
+    queries = vectors.where("b = 1").selectExpr("a as q", "term", "weight")
+    found = []
+    for most in (1024, 50):
+        monkeypatch.setattr(search, "PRODUCT_ROWS", most)
+        top = search.text_topk(queries, vectors, ["q"], ["a", "b"], [], 4)
+        found.append(sorted((r.q, r["rank"], r.a, r.b, round(r.vector_score, 8)) for r in top.collect()))
+    assert found[0] == found[1]
+    got = {(q, rank): (a, b) for q, rank, a, b, _ in found[0]}
+    every = [(f"k{i}", i % 3, unit(words)) for i, words in rows if words]
+    for q, b, own in every[::50]:
+        if b == 1:
+            best = sorted((-round(sum(w * x.get(t, 0) for t, w in own.items()), 9), a, b) for a, b, x in every)[:4]
+            assert [got[q, n + 1] for n in range(4)] == [(a, b) for _, a, b in best]
+    one, other = [search._Block(pa.scalar(r.body)) for r in search.pack_vectors(search.term_lists(vectors, ["a", "b"]), ["a", "b"], "packed").collect()][:2]
+    by_force = [[sum(w * x.get(t, 0) for t, w in own.items()) for x in (unit(dict(rows)[int(i["a"][1:])]) for i in other.ids.to_pylist())] for own in (unit(dict(rows)[int(i["a"][1:])]) for i in one.ids.to_pylist()[:20])]
+    for share, step in ((0.0, 1 << 21), (2.0, 100), (1 / 300, 1000)):
+        monkeypatch.setattr(search, "DENSE_SHARE", share)
+        monkeypatch.setattr(search, "PAIR_STEP", step)
+        assert np.allclose(search._products(one, other)[:20], by_force, atol=1e-12)
