@@ -137,6 +137,23 @@ def test_summary_bullets(spark):
     assert summarize.modality_view(s, "no such word").count() == 3
 
 
+def test_only_evidence_of_the_best_entities_becomes_bullets(spark, monkeypatch):
+    """Bullets of every entity were made and shuffled, and the names of every entity, though a summary has eight."""
+    rows = [("c", f"e{i:02}" if i < 30 else None, "metrics", 0, f"[metric] m={i % 7}", float(i), 100 - i) for i in range(31)]
+    rows += [("d", "e01", "events", 3, "[event:W] up", 0.1, 1), ("c", "e01", "events", 3, "[event:W] down", 0.1, 101)]
+    seen, plain = [], summarize.metric_bullets
+    monkeypatch.setattr(summarize, "metric_bullets", lambda e: (seen.append(e), plain(e))[1])
+    s = summarize.summary(spark.createDataFrame(rows, EVID))
+    got = {(r.case_id, r.entity_rank): (r.entity_id, r.bullets) for r in s.collect()}
+    best = ["unresolved", *[f"e{i:02}" for i in range(29, 22, -1)]]
+    assert got == {("c", i + 1): (e, [f"Metric observed: m={(30 - i) % 7}"]) for i, e in enumerate(best)} | {("d", 1): ("e01", ["[event:W] up"])}
+    assert sorted(r.entity_id for r in seen[0].where("case_id = 'c'").collect()) == sorted(best)
+    names = spark.createDataFrame([("c", "e29", "the best"), ("d", "e29", "another"), ("d", "e02", "none")], "case_id string, entity_id string, name string")
+    text = summarize.summary_text(s, names)
+    assert {r.case_id: r.summary_text.split("\n")[2 if r.case_id == "c" else 0] for r in text.collect()} == {"c": "the best", "d": "e01"}
+    assert text._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") == 1
+
+
 def test_answers_are_parsed(spark):
     raw = ['{"a": 1}', 'say {"a": 2} end', "no json", "} {", None]
     got = [(r.parsed, r.parse_error) for r in summarize.parse_response(spark.createDataFrame([(r,) for r in raw], "raw string")).collect()]
