@@ -80,3 +80,12 @@ def test_rows_are_numbered_by_runs_of_keys(spark):
     runs = view(spark, SF, "SELECT DISTINCT case_id, mod_ord, row_ord div 8192 FROM fx_obs").count()
     assert runs > view(spark, SF, "SELECT DISTINCT case_id, mod_ord FROM fx_obs").count()
     assert "row_number() windowspecdefinition(case_id" in (plan := got._jdf.queryExecution().optimizedPlan().toString()) and "run#" in plan
+
+
+@pytest.mark.parametrize("name", ["baseline_prompts"])
+def test_prompts_read_the_events_once(spark, name):
+    """Each system's requests were found anew in all events and customers."""
+    from caseloom.plans import systems
+
+    plan = getattr(systems, name)(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "event_type" not in plan
