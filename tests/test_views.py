@@ -82,7 +82,7 @@ def test_rows_are_numbered_by_runs_of_keys(spark):
     assert "row_number() windowspecdefinition(case_id" in (plan := got._jdf.queryExecution().optimizedPlan().toString()) and "run#" in plan
 
 
-@pytest.mark.parametrize("name", ["baseline_prompts"])
+@pytest.mark.parametrize("name", ["baseline_prompts", "coordinator_prompts"])
 def test_prompts_read_the_events_once(spark, name):
     """Each system's requests were found anew in all events and customers."""
     from caseloom.plans import systems
