@@ -89,3 +89,25 @@ def test_prompts_read_the_events_once(spark, name):
 
     plan = getattr(systems, name)(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "event_type" not in plan
+
+
+@pytest.mark.parametrize("name", ["evidence_summary", "summary_shortlist"])
+def test_texts_of_documents_are_not_shuffled_to_their_few_suppliers(spark, monkeypatch, name):
+    """Where the table of suppliers was over the size of a broadcast, all texts went by ten keys to as many tasks."""
+    from caseloom.operators import summarize
+
+    seen, plain = [], summarize.log_bullets
+    monkeypatch.setattr(summarize, "log_bullets", lambda e: (seen.append(e), plain(e))[1])
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        import __spark_entry__
+
+        __spark_entry__.queries()[name](spark, SF)
+        plan = seen[0].where("modality = 'logs'")._jdf.queryExecution().executedPlan().toString()
+        by_key = [x for x in plan.splitlines() if "Exchange hashpartitioning(" in x and "doc_id" in x]
+        assert "BroadcastHashJoin [(doc_id" in plan and not by_key
+        logs = view(spark, SF, "fx_obs").where("modality = 'logs'")
+        assert logs.count() == base(spark, SF, "documents").count() and logs.select("entity_id").distinct().count() == 10
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
