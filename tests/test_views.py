@@ -111,3 +111,19 @@ def test_texts_of_documents_are_not_shuffled_to_their_few_suppliers(spark, monke
         assert logs.count() == base(spark, SF, "documents").count() and logs.select("entity_id").distinct().count() == 10
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+
+
+def test_evidence_of_other_entities_is_dropped_before_the_views_join(spark, monkeypatch):
+    """Lines, orders and events of every entity were joined, and at size shuffled, before all but those of the ranked ones were dropped."""
+    from caseloom.operators import summarize
+
+    seen, plain = [], summarize.log_bullets
+    monkeypatch.setattr(summarize, "log_bullets", lambda e: (seen.append(e), plain(e))[1])
+    evidence = view(spark, SF, "fx_evidence")
+    rows = lambda: sorted(map(str, summarize.summary(evidence).collect()))
+    got = rows()
+    for modality, key, other in (("metrics", "l_suppkey", "s_suppkey"), ("traces", "o_custkey", "c_custkey"), ("events", "user_id", "c_custkey")):
+        plan = seen[0].where(f"modality = '{modality}'")._jdf.queryExecution().optimizedPlan().toString()
+        assert any("Filter (" in x and " INSET " in x and f"{key}#" in x and f"{other}#" not in x for x in plan.splitlines()), modality
+    monkeypatch.setattr(summarize, "MOST_NAMED", 0)
+    assert rows() == got and " INSET " not in seen[1].where("modality = 'traces'")._jdf.queryExecution().analyzed().toString()
