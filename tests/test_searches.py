@@ -222,3 +222,28 @@ def test_products_of_small_and_large_blocks_agree(spark, monkeypatch):
         monkeypatch.setattr(search, "DENSE_SHARE", share)
         monkeypatch.setattr(search, "PAIR_STEP", step)
         assert np.allclose(search._products(one, other)[:20], by_force, atol=1e-12)
+
+
+def test_copies_of_a_text_are_scored_once(spark, monkeypatch):
+    """Every copy of a text was multiplied with every query, and every copy of a query with every text."""
+    from pyspark.sql import functions as F
+
+    words = "alpha beta gamma delta".split()
+    texts = [None if i % 31 == 0 else " ".join(words[: 1 + i % 3] * (1 + i % 2) + ["own"] * (i % 5 == 0)) for i in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    first, copies = retrieve.first_texts(docs, "doc_id")
+    assert sorted(r.text for r in first.collect()) == sorted({t for t in texts if t})
+    assert {r.doc_id: texts[r.first] for r in copies.collect()} == {i: t for i, t in enumerate(texts) if t and texts.index(t) != i}
+    monkeypatch.setattr(retrieve, "FILTER_BITS", 1 << 15)  # so that some keys are taken for a copy's wrongly
+    many = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t "), (F.col("id") % 12_000).cast("string")).alias("text"))
+    assert retrieve.first_texts(many, "doc_id")[0].select("doc_id").distinct().count() == 12_000
+    monkeypatch.setattr(evidence, "base", lambda *_: docs)
+    met, real = [], search.text_products
+    monkeypatch.setattr(search, "text_products", lambda q, v, *a: (met.extend([q.count(), v.count()]), real(q, v, *a))[1])
+    key = ("query_id", "rank", "doc_id", "vector_score")
+    got = sorted(tuple(r[c] for c in key) for r in evidence.text_topk(spark, "").collect())
+    asked = docs.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
+    q, v = retrieve.term_weights(asked, ["query_id"], listed=True), retrieve.term_weights(docs, ["doc_id"], listed=True)
+    want = retrieve.text_topk(q, v, ["query_id"], ["doc_id"], [], asked=asked, rows=docs)
+    assert got == sorted((r.query_id, r.rank, r.doc_id, round(r.vector_score, 6)) for r in want.collect())
+    assert met[:2] == [len({t for t in texts[::20] if t}), len({t for t in texts if t})]
